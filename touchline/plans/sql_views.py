@@ -155,3 +155,73 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
     for n, sql in (extra or {}).items():
         parts.append(f"{n} AS ({sql.strip()})")
     return "WITH " + ",\n".join(parts) + "\n" + body.strip() if parts else body.strip()
+
+
+# ------------------------------------------------------------------ SPADL twin
+def _norm(x: str) -> str:
+    return f"coalesce(lower(trim(replace(replace({x}, '*', ''), '-', ' '))), '')"
+
+
+def _in(values) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _spadl_sql() -> str:
+    from ..operators import spadl as S
+
+    t, pt, st = _norm("e.type"), _norm("e.pass_type"), _norm("e.shot_type")
+    crossed = "coalesce(e.is_cross, false)"
+    mapped = "CASE " + " ".join(f"WHEN {t} = '{k}' THEN '{v}'" for k, v in S.TYPE_MAPPING.items()) + " ELSE 'non_action' END"
+    stype = f"""CASE WHEN {t} = 'pass' THEN (CASE WHEN {pt} = 'corner' THEN (CASE WHEN {crossed} THEN 'corner_crossed' ELSE 'corner_short' END)
+                  WHEN {pt} = 'free_kick' THEN (CASE WHEN {crossed} THEN 'freekick_crossed' ELSE 'freekick_short' END)
+                  WHEN {pt} = 'throw_in' THEN 'throw_in' WHEN {pt} = 'goal_kick' THEN 'goalkick'
+                  WHEN {crossed} THEN 'cross' ELSE 'pass' END)
+            WHEN {t} = 'shot' THEN (CASE WHEN {st} = 'penalty' THEN 'shot_penalty' WHEN {st} = 'free_kick' THEN 'shot_freekick' ELSE 'shot' END)
+            ELSE {mapped} END"""
+    b = _norm("e.body_part")
+    body = (f"CASE WHEN {b} = 'left_foot' THEN 'foot_left' WHEN {b} = 'right_foot' THEN 'foot_right' "
+            f"WHEN {b} = 'head' THEN 'head' WHEN {b} IN ('other', 'keeper_hands') THEN 'other' ELSE 'foot' END")
+
+    def cx(x):
+        return f"greatest(0.0, least(105.0, greatest(0.0, least(120.0, {x})) / 120.0 * 105.0))"
+
+    def cy(y):
+        return f"greatest(0.0, least(68.0, (80.0 - greatest(0.0, least(80.0, {y}))) / 80.0 * 68.0))"
+
+    has_end = "e.end_location_x IS NOT NULL AND e.end_location_y IS NOT NULL"
+    return f"""
+SELECT e.match_id, e.event_id, e.period, e.sequence, e.team_id, e.player_id, m.home_team_id,
+       cast(e.minute AS double) * 60.0 + cast(e."second" AS double) AS time_seconds,
+       {cx('e.location_x')} AS sx, {cy('e.location_y')} AS sy,
+       CASE WHEN {has_end} THEN {cx('e.end_location_x')} ELSE {cx('e.location_x')} END AS ex,
+       CASE WHEN {has_end} THEN {cy('e.end_location_y')} ELSE {cy('e.location_y')} END AS ey,
+       {stype} AS spadl_type, {_norm('e.outcome')} AS o, {body} AS spadl_bodypart
+FROM v_events e JOIN v_matches m ON m.match_id = e.match_id
+WHERE e.location_x IS NOT NULL AND e.location_y IS NOT NULL"""
+
+
+def _spadl_result_sql() -> str:
+    from ..operators import spadl as S
+
+    return f"""
+SELECT *, CASE WHEN o IN {_in(S.OFFSIDE_OUTCOMES)} THEN 'offside' WHEN o IN {_in(S.OWN_GOAL_OUTCOMES)} THEN 'owngoal'
+               WHEN o IN {_in(S.YELLOW_CARD_OUTCOMES)} THEN 'yellow_card' WHEN o IN {_in(S.RED_CARD_OUTCOMES)} THEN 'red_card'
+               WHEN o IN {_in(S.FAIL_OUTCOMES)} THEN 'fail' WHEN o IN {_in(S.SUCCESS_OUTCOMES)} THEN 'success'
+               WHEN spadl_type IN {_in(S.SUCCESS_DEFAULT_TYPES)} THEN 'success'
+               WHEN spadl_type IN {_in(S.SHOT_TYPES)} THEN 'fail' ELSE 'success' END AS spadl_result
+FROM v_spadl_stage"""
+
+
+view("v_spadl_stage", _spadl_sql(), "v_events", "v_matches")
+view("v_spadl_staged", _spadl_result_sql(), "v_spadl_stage")
+view("v_spadl", """
+SELECT event_id AS action_id, match_id,
+       cast(row_number() OVER (PARTITION BY match_id ORDER BY period, sequence) - 1 AS integer) AS action_order,
+       event_id AS source_event_id, cast(period AS integer) AS period, time_seconds, team_id, player_id,
+       CASE WHEN team_id IS NOT DISTINCT FROM home_team_id THEN sx ELSE 105.0 - sx END AS start_x,
+       CASE WHEN team_id IS NOT DISTINCT FROM home_team_id THEN sy ELSE 68.0 - sy END AS start_y,
+       CASE WHEN team_id IS NOT DISTINCT FROM home_team_id THEN ex ELSE 105.0 - ex END AS end_x,
+       CASE WHEN team_id IS NOT DISTINCT FROM home_team_id THEN ey ELSE 68.0 - ey END AS end_y,
+       spadl_type, spadl_result, spadl_bodypart
+FROM v_spadl_staged
+""", "v_spadl_staged")

@@ -55,6 +55,13 @@ class MatchData:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def memo(self, name: str, build):
+        """Build a derived table once per MatchData (plans share the object)."""
+        cache = self.__dict__.setdefault("_memo", {})
+        if name not in cache:
+            cache[name] = build()
+        return cache[name]
+
     def read(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *columns)
 
