@@ -10,11 +10,14 @@ from __future__ import annotations
 
 VIEWS: dict[str, str] = {}
 DEPENDS: dict[str, tuple[str, ...]] = {}
+RECURSIVE: set[str] = set()
 
 
-def view(name: str, sql: str, *deps: str) -> None:
+def view(name: str, sql: str, *deps: str, recursive: bool = False) -> None:
     VIEWS[name] = sql.strip()
     DEPENDS[name] = deps
+    if recursive:
+        RECURSIVE.add(name)
 
 
 view("v_teams", """
@@ -151,10 +154,12 @@ def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> s
 
     ``extra`` adds statement-specific CTEs after the shared ones, in order.
     """
-    parts = [f"{n} AS ({VIEWS[n]})" for n in _closure(names)]
+    names = _closure(names)
+    parts = [f"{n} AS ({VIEWS[n]})" for n in names]
     for n, sql in (extra or {}).items():
         parts.append(f"{n} AS ({sql.strip()})")
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip() if parts else body.strip()
+    head = "WITH RECURSIVE " if RECURSIVE.intersection(names) else "WITH "
+    return head + ",\n".join(parts) + "\n" + body.strip() if parts else body.strip()
 
 
 # ------------------------------------------------------------------ SPADL twin
@@ -225,3 +230,62 @@ SELECT event_id AS action_id, match_id,
        spadl_type, spadl_result, spadl_bodypart
 FROM v_spadl_staged
 """, "v_spadl_staged")
+
+
+# -------------------------------------------------------------------- xT twin
+def _cell(x: str, y: str) -> str:
+    return (f"(cast(least(greatest(floor({y} / 68.0 * 8), 0), 7) AS integer) * 12 + "
+            f"cast(least(greatest(floor({x} / 105.0 * 12), 0), 11) AS integer))")
+
+
+view("v_xt_counts", f"""
+SELECT cell, shots, goals, moves,
+       CASE WHEN shots + moves > 0 THEN shots / (shots + moves) ELSE 0.0 END AS p_shot,
+       CASE WHEN shots > 0 THEN goals / shots ELSE 0.0 END AS p_goal,
+       CASE WHEN shots + moves > 0 THEN moves / (shots + moves) ELSE 0.0 END AS p_move
+FROM (SELECT {_cell('start_x', 'start_y')} AS cell,
+             cast(count(*) FILTER (WHERE spadl_type = 'shot') AS double) AS shots,
+             cast(count(*) FILTER (WHERE spadl_type = 'shot' AND spadl_result = 'success') AS double) AS goals,
+             cast(count(*) FILTER (WHERE spadl_type IN ('pass', 'cross', 'dribble')) AS double) AS moves
+      FROM v_spadl WHERE spadl_type IN ('shot', 'pass', 'cross', 'dribble') GROUP BY 1) c
+""", "v_spadl")
+
+view("v_xt_trans", f"""
+SELECT o.start_cell, o.end_cell, o.n_ok, s.n_start, o.n_ok / s.n_start AS p
+FROM (SELECT {_cell('start_x', 'start_y')} AS start_cell, {_cell('end_x', 'end_y')} AS end_cell, cast(count(*) AS double) AS n_ok
+      FROM v_spadl WHERE spadl_type IN ('pass', 'cross', 'dribble') AND spadl_result = 'success' GROUP BY 1, 2) o
+JOIN (SELECT {_cell('start_x', 'start_y')} AS start_cell, cast(count(*) AS double) AS n_start
+      FROM v_spadl WHERE spadl_type IN ('pass', 'cross', 'dribble') GROUP BY 1) s ON s.start_cell = o.start_cell
+""", "v_spadl")
+
+view("v_xt_cells", "SELECT cast(range AS integer) AS cell FROM range(96)")
+
+view("v_xt_params", """
+SELECT (SELECT list(coalesce(c.p_shot * c.p_goal, 0.0) ORDER BY k.cell) FROM v_xt_cells k LEFT JOIN v_xt_counts c ON c.cell = k.cell) AS gs,
+       (SELECT list(coalesce(c.p_move, 0.0) ORDER BY k.cell) FROM v_xt_cells k LEFT JOIN v_xt_counts c ON c.cell = k.cell) AS pm,
+       (SELECT list(coalesce(t.p, 0.0) ORDER BY a.cell, b.cell)
+        FROM v_xt_cells a CROSS JOIN v_xt_cells b LEFT JOIN v_xt_trans t ON t.start_cell = a.cell AND t.end_cell = b.cell) AS tm
+""", "v_xt_cells", "v_xt_counts", "v_xt_trans")
+
+view("v_xt_iter", """
+SELECT 0 AS i, list_transform(range(96), lambda c: 0.0::double) AS g, 1.0::double AS md
+UNION ALL
+SELECT i + 1, ng, list_max(list_transform(range(1, 97), lambda c: ng[c] - g[c]))
+FROM (SELECT it.i, it.g,
+             list_transform(range(96), lambda c: p.gs[c + 1] + p.pm[c + 1] *
+                 list_sum(list_transform(range(96), lambda j: p.tm[c * 96 + j + 1] * it.g[j + 1]))) AS ng
+      FROM v_xt_iter it, v_xt_params p WHERE it.md > 0.00001) s
+""", "v_xt_params", recursive=True)
+
+view("v_xt_grid", """
+SELECT k.cell, last.g[k.cell + 1] AS xt
+FROM (SELECT g FROM v_xt_iter ORDER BY i DESC LIMIT 1) last, v_xt_cells k
+""", "v_xt_iter", "v_xt_cells")
+
+view("v_xt_values", f"""
+SELECT a.action_id,
+       CASE WHEN a.spadl_type IN ('pass', 'cross', 'dribble') AND a.spadl_result = 'success' THEN ge.xt - gs.xt END AS xt_value
+FROM v_spadl a
+LEFT JOIN v_xt_grid gs ON gs.cell = {_cell('a.start_x', 'a.start_y')}
+LEFT JOIN v_xt_grid ge ON ge.cell = {_cell('a.end_x', 'a.end_y')}
+""", "v_spadl", "v_xt_grid")

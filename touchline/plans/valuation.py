@@ -67,3 +67,48 @@ def spadl_coordinates(md: MatchData) -> DataFrame:
 def basic_006(md: MatchData) -> DataFrame:
     return (spadl(md).join(wc_matches(md).select("match_id"), "match_id", "left_semi")
             .agg(F.count(F.lit(1)).alias("action_count")))
+
+
+# ----------------------------------------------------------------------- xT
+from ..operators import xt as XT  # noqa: E402
+
+
+def xt_grid(md: MatchData) -> DataFrame:
+    return md.memo("xt_grid", lambda: XT.fit_xt(spadl(md))[0])
+
+
+def xt_values(md: MatchData) -> DataFrame:
+    return md.memo("xt_values", lambda: XT.xt_values(spadl(md), xt_grid(md)))
+
+
+@register("xt_cell", f"SELECT action_id, {'{'}c{'}'} AS start_cell FROM v_spadl".replace(
+    "{c}", "(cast(least(greatest(floor(start_y / 68.0 * 8), 0), 7) AS integer) * 12 + "
+           "cast(least(greatest(floor(start_x / 105.0 * 12), 0), 11) AS integer))"), ("v_spadl",))
+def xt_cell(md: MatchData) -> DataFrame:
+    return spadl(md).select("action_id", XT.cell(F.col("start_x"), F.col("start_y")).alias("start_cell"))
+
+
+@register("xt_cell_counts", """
+SELECT cell, cast(shots AS bigint) AS shots, cast(goals AS bigint) AS goals, cast(moves AS bigint) AS moves,
+       round(p_shot, 6) AS p_shot, round(p_goal, 6) AS p_goal, round(p_move, 6) AS p_move FROM v_xt_counts
+""", ("v_xt_counts",))
+def xt_cell_counts(md: MatchData) -> DataFrame:
+    return _rounded(XT.xt_cell_counts(spadl(md)), "p_shot", "p_goal", "p_move")
+
+
+@register("xt_transitions", """
+SELECT start_cell, end_cell, cast(n_ok AS bigint) AS n_ok, cast(n_start AS bigint) AS n_start, round(p, 6) AS p
+FROM v_xt_trans
+""", ("v_xt_trans",))
+def xt_transitions(md: MatchData) -> DataFrame:
+    return _rounded(XT.xt_transitions(spadl(md)), "p")
+
+
+@register("xt_grid", "SELECT cell, round(xt, 6) AS xt FROM v_xt_grid", ("v_xt_grid",))
+def xt_grid_query(md: MatchData) -> DataFrame:
+    return _rounded(xt_grid(md), "xt")
+
+
+@register("xt_values", "SELECT action_id, round(xt_value, 6) AS xt_value FROM v_xt_values", ("v_xt_values",))
+def xt_values_query(md: MatchData) -> DataFrame:
+    return _rounded(xt_values(md), "xt_value")
