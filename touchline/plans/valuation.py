@@ -112,3 +112,153 @@ def xt_grid_query(md: MatchData) -> DataFrame:
 @register("xt_values", "SELECT action_id, round(xt_value, 6) AS xt_value FROM v_xt_values", ("v_xt_values",))
 def xt_values_query(md: MatchData) -> DataFrame:
     return _rounded(xt_values(md), "xt_value")
+
+
+# ----------------------------------------------------------------------- xG
+from ..operators import vaep as VA  # noqa: E402
+from ..operators import xg as XG  # noqa: E402
+
+
+def shot_xg(md: MatchData) -> DataFrame:
+    return md.memo("shot_xg", lambda: XG.shot_xg(spadl(md)))
+
+
+@register("shot_geometry", """
+SELECT action_id, round(sqrt((105.0 - start_x) * (105.0 - start_x) + (34.0 - start_y) * (34.0 - start_y)), 6) AS distance,
+       round(acos(greatest(-1.0, least(1.0, CASE WHEN den <> 0 THEN (dl * dl + dr * dr - 7.32 * 7.32) / den ELSE 1.0 END))), 6) AS angle
+FROM (SELECT *, 2.0 * dl * dr AS den FROM (
+  SELECT action_id, start_x, start_y,
+         sqrt((105.0 - start_x) * (105.0 - start_x) + (34.0 - 3.66 - start_y) * (34.0 - 3.66 - start_y)) AS dl,
+         sqrt((105.0 - start_x) * (105.0 - start_x) + (34.0 + 3.66 - start_y) * (34.0 + 3.66 - start_y)) AS dr
+  FROM v_spadl WHERE spadl_type IN ('shot', 'shot_penalty', 'shot_freekick')) g) h
+""", ("v_spadl",))
+def shot_geometry(md: MatchData) -> DataFrame:
+    f = XG.xg_features(spadl(md))
+    return _rounded(f.select("action_id", "distance", "angle"), "distance", "angle")
+
+
+@register("xg_features", """
+SELECT action_id,
+       CASE WHEN spadl_bodypart = 'head' THEN 1 ELSE 0 END AS is_head,
+       CASE WHEN spadl_bodypart = 'foot_left' THEN 1 ELSE 0 END AS is_left_foot,
+       CASE WHEN spadl_bodypart = 'foot_right' THEN 1 ELSE 0 END AS is_right_foot,
+       CASE WHEN spadl_bodypart = 'other' THEN 1 ELSE 0 END AS is_other_body_part,
+       CASE WHEN spadl_type = 'shot_penalty' THEN 1 ELSE 0 END AS is_penalty,
+       CASE WHEN spadl_type = 'shot_freekick' THEN 1 ELSE 0 END AS is_free_kick,
+       CASE WHEN spadl_result = 'success' THEN 1 ELSE 0 END AS label
+FROM v_spadl WHERE spadl_type IN ('shot', 'shot_penalty', 'shot_freekick')
+""", ("v_spadl",))
+def xg_features(md: MatchData) -> DataFrame:
+    return XG.xg_features(spadl(md)).select("action_id", "is_head", "is_left_foot", "is_right_foot",
+                                            "is_other_body_part", "is_penalty", "is_free_kick", "label")
+
+
+@register("xg_model")
+def xg_model(md: MatchData) -> DataFrame:
+    return _rounded(shot_xg(md), "xg")
+
+
+@register("single_class_fallback", """
+SELECT CASE WHEN count(DISTINCT label) = 1 THEN 'constant' ELSE 'fitted' END AS mode,
+       CASE WHEN count(DISTINCT label) = 1 THEN cast(min(label) AS double) END AS constant_value
+FROM (SELECT CASE WHEN spadl_result = 'success' THEN 1 ELSE 0 END AS label
+      FROM v_spadl WHERE spadl_type IN ('shot', 'shot_penalty', 'shot_freekick')) s
+""", ("v_spadl",))
+def single_class_fallback(md: MatchData) -> DataFrame:
+    f = XG.xg_features(spadl(md))
+    one = F.countDistinct("label") == 1
+    return f.agg(F.when(one, "constant").otherwise("fitted").alias("mode"),
+                 F.when(one, F.min("label").cast("double")).alias("constant_value"))
+
+
+# --------------------------------------------------------------------- VAEP
+def vaep_probs(md: MatchData) -> DataFrame:
+    return md.memo("vaep_probs", lambda: VA.probabilities(spadl(md)))
+
+
+def vaep(md: MatchData) -> DataFrame:
+    return md.memo("vaep", lambda: VA.formula(spadl(md), vaep_probs(md)))
+
+
+@register("game_states", """
+SELECT action_id, spadl_type AS spadl_type_a0,
+       coalesce(lag(spadl_type, 1) OVER w, first_value(spadl_type) OVER w) AS spadl_type_a1,
+       coalesce(lag(spadl_type, 2) OVER w, first_value(spadl_type) OVER w) AS spadl_type_a2,
+       round(coalesce(lag(time_seconds, 1) OVER w, first_value(time_seconds) OVER w), 6) AS time_seconds_a1,
+       round(coalesce(lag(end_x, 2) OVER w, first_value(end_x) OVER w), 6) AS end_x_a2
+FROM v_spadl WINDOW w AS (PARTITION BY match_id, period ORDER BY action_order)
+""", ("v_spadl",))
+def game_states(md: MatchData) -> DataFrame:
+    g = VA.game_states(spadl(md))
+    return _rounded(g.select("action_id", "spadl_type_a0", "spadl_type_a1", "spadl_type_a2", "time_seconds_a1",
+                             "end_x_a2"), "time_seconds_a1", "end_x_a2")
+
+
+@register("vaep_features", """
+SELECT action_id,
+       round(sqrt((105.0 - start_x) * (105.0 - start_x) + (34.0 - start_y) * (34.0 - start_y)), 6) AS start_dist_to_goal_a0,
+       round(end_x - start_x, 6) AS dx_a0,
+       round(time_seconds - coalesce(lag(time_seconds, 1) OVER w, first_value(time_seconds) OVER w), 6) AS time_delta_1,
+       round(coalesce(lag(end_x, 2) OVER w, first_value(end_x) OVER w) - start_x, 6) AS dx_a02
+FROM v_spadl WINDOW w AS (PARTITION BY match_id, period ORDER BY action_order)
+""", ("v_spadl",))
+def vaep_features(md: MatchData) -> DataFrame:
+    f, _ = VA.features(spadl(md))
+    return _rounded(f.select("action_id", "start_dist_to_goal_a0", "dx_a0", "time_delta_1", "dx_a02"),
+                    "start_dist_to_goal_a0", "dx_a0", "time_delta_1", "dx_a02")
+
+
+GOAL_FLAGS_SQL = """
+SELECT *, coalesce(team_id = first_value(team_id) OVER wm, false) AS is_a,
+       coalesce(spadl_type LIKE '%shot%' AND spadl_result = 'success', false) AS goal,
+       coalesce(spadl_type LIKE '%shot%' AND spadl_result = 'owngoal', false) AS own
+FROM v_spadl WINDOW wm AS (PARTITION BY match_id ORDER BY action_order)"""
+
+
+@register("vaep_goal_score", """
+SELECT action_id,
+       CASE WHEN is_a THEN sa ELSE sb END AS goalscore_team,
+       CASE WHEN is_a THEN sb ELSE sa END AS goalscore_opponent,
+       CASE WHEN is_a THEN sa - sb ELSE sb - sa END AS goalscore_diff
+FROM (SELECT action_id, is_a,
+             coalesce(sum(CASE WHEN (goal AND is_a) OR (own AND NOT is_a) THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY match_id ORDER BY action_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sa,
+             coalesce(sum(CASE WHEN (goal AND NOT is_a) OR (own AND is_a) THEN 1 ELSE 0 END)
+                      OVER (PARTITION BY match_id ORDER BY action_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sb
+      FROM flags) s
+""", ("v_spadl",), {"flags": GOAL_FLAGS_SQL})
+def vaep_goal_score(md: MatchData) -> DataFrame:
+    return VA.goal_score(spadl(md)).select("action_id", "goalscore_team", "goalscore_opponent", "goalscore_diff")
+
+
+LABELS_SQL = """
+SELECT a.action_id,
+       cast(a.goal OR coalesce(bool_or((b.goal AND coalesce(b.team_id = a.team_id, false))
+                                       OR (b.own AND NOT coalesce(b.team_id = a.team_id, false))), false) AS integer) AS scores,
+       cast(a.own OR coalesce(bool_or((b.goal AND NOT coalesce(b.team_id = a.team_id, false))
+                                      OR (b.own AND coalesce(b.team_id = a.team_id, false))), false) AS integer) AS concedes
+FROM flags a LEFT JOIN flags b
+  ON b.match_id = a.match_id AND b.action_order > a.action_order AND b.action_order <= a.action_order + 9
+GROUP BY a.action_id, a.goal, a.own"""
+
+
+@register("vaep_labels_scores", "SELECT action_id, scores FROM labels", ("v_spadl",),
+          {"flags": GOAL_FLAGS_SQL, "labels": LABELS_SQL})
+def vaep_labels_scores(md: MatchData) -> DataFrame:
+    return VA.labels(spadl(md)).select("action_id", "scores")
+
+
+@register("vaep_labels_concedes", "SELECT action_id, concedes FROM labels", ("v_spadl",),
+          {"flags": GOAL_FLAGS_SQL, "labels": LABELS_SQL})
+def vaep_labels_concedes(md: MatchData) -> DataFrame:
+    return VA.labels(spadl(md)).select("action_id", "concedes")
+
+
+@register("vaep_models")
+def vaep_models(md: MatchData) -> DataFrame:
+    return _rounded(vaep_probs(md), "p_scores", "p_concedes")
+
+
+@register("vaep_formula")
+def vaep_formula(md: MatchData) -> DataFrame:
+    return _rounded(vaep(md), "vaep_offensive", "vaep_defensive", "vaep_value")
