@@ -262,3 +262,176 @@ def vaep_models(md: MatchData) -> DataFrame:
 @register("vaep_formula")
 def vaep_formula(md: MatchData) -> DataFrame:
     return _rounded(vaep(md), "vaep_offensive", "vaep_defensive", "vaep_value")
+
+
+# ------------------------------------------------------------ value tables
+from ..operators import totals as TT  # noqa: E402
+from .golden import top1  # noqa: E402
+
+
+def action_values(md: MatchData, with_vaep: bool = True) -> DataFrame:
+    key = "action_values" if with_vaep else "action_values_xt"
+    return md.memo(key, lambda: TT.action_values(xt_values(md), vaep(md) if with_vaep else None))
+
+
+@register("value_tables")
+def value_tables(md: MatchData) -> DataFrame:
+    return _rounded(action_values(md), "xt_value", "vaep_offensive", "vaep_defensive", "vaep_value")
+
+
+@register("shot_xg_table")
+def shot_xg_table(md: MatchData) -> DataFrame:
+    return _rounded(shot_xg(md), "xg")
+
+
+def player_totals(md: MatchData) -> DataFrame:
+    return md.memo("player_totals", lambda: TT.metric_totals(
+        spadl(md), action_values(md), shot_xg(md), md.matches, md.players.select("player_id", "name"),
+        "player_id", "player_name"))
+
+
+def team_totals(md: MatchData) -> DataFrame:
+    return md.memo("team_totals", lambda: TT.metric_totals(
+        spadl(md), action_values(md), shot_xg(md), md.matches, md.teams.select("team_id", "name"),
+        "team_id", "team_name"))
+
+
+TOTAL_ROUND = ("total_xt", "total_vaep", "total_vaep_offensive", "total_vaep_defensive", "total_xg")
+
+
+@register("player_metric_totals")
+def player_metric_totals(md: MatchData) -> DataFrame:
+    return _rounded(player_totals(md), *TOTAL_ROUND)
+
+
+@register("team_metric_totals")
+def team_metric_totals(md: MatchData) -> DataFrame:
+    return _rounded(team_totals(md), *TOTAL_ROUND)
+
+
+@register("metric_totals_upsert")
+def metric_totals_upsert(md: MatchData) -> DataFrame:
+    """Replace on (player, competition): applying the same totals twice leaves
+    the row count unchanged (the reference's idempotency check)."""
+    base = player_totals(md)
+    once = TT.upsert(base.limit(0), base, ["player_id", "competition_id"])
+    twice = TT.upsert(once, base, ["player_id", "competition_id"])
+    return twice.agg(F.count(F.lit(1)).alias("rows_after_second_run"))
+
+
+XT_TOTALS_SQL = """
+SELECT sa.player_id, m.competition_id, m.source, p.name AS player_name,
+       round(coalesce(sum(av.xt_value), 0), 6) AS total_xt, count(av.xt_value) AS xt_action_count, count(*) AS action_count
+FROM v_spadl sa JOIN v_matches m ON m.match_id = sa.match_id
+LEFT JOIN v_xt_values av ON av.action_id = sa.action_id
+LEFT JOIN v_players p ON p.player_id = sa.player_id
+WHERE sa.player_id IS NOT NULL
+GROUP BY sa.player_id, m.competition_id, m.source, p.name
+"""
+
+
+@register("player_xt_totals", XT_TOTALS_SQL, ("v_spadl", "v_matches", "v_xt_values", "v_players"))
+def player_xt_totals(md: MatchData) -> DataFrame:
+    """The deterministic (model-free) columns of the player totals."""
+    t = TT.metric_totals(spadl(md), action_values(md, with_vaep=False), shot_xg_empty(md), md.matches,
+                         md.players.select("player_id", "name"), "player_id", "player_name")
+    return _rounded(t.select("player_id", "competition_id", "source", "player_name", "total_xt",
+                             "xt_action_count", "action_count"), "total_xt")
+
+
+def shot_xg_empty(md: MatchData) -> DataFrame:
+    return spadl(md).select("action_id", "match_id", "team_id", "player_id", F.lit(0.0).alias("xg")).limit(0)
+
+
+# ------------------------------------------------ golden: valued questions
+def _wc_join(md: MatchData, df: DataFrame) -> DataFrame:
+    return df.join(wc_matches(md).select("match_id"), "match_id", "left_semi")
+
+
+def _team_names(md: MatchData) -> DataFrame:
+    return md.teams.select("team_id", F.col("name").alias("team_name"))
+
+
+def _player_names(md: MatchData) -> DataFrame:
+    return md.players.select("player_id", F.col("name").alias("player_name"))
+
+
+@register("team_015")
+def team_015(md: MatchData) -> DataFrame:
+    sx = _wc_join(md, shot_xg(md)).join(_team_names(md), "team_id")
+    return top1(sx.groupBy("team_name").agg(F.round(F.sum("xg"), 6).alias("total_xg")), "team_name", "total_xg")
+
+
+def _valued_actions(md: MatchData, with_vaep: bool) -> DataFrame:
+    sa = _wc_join(md, spadl(md)).select("action_id", "team_id", "player_id")
+    return sa.join(action_values(md, with_vaep), "action_id")
+
+
+@register("team_016", """
+SELECT t.name AS team_name, round(sum(av.xt_value), 6) AS total_expected_threat
+FROM wc wm JOIN v_spadl sa ON sa.match_id = wm.match_id JOIN v_xt_values av ON av.action_id = sa.action_id
+JOIN v_teams t ON t.team_id = sa.team_id WHERE av.xt_value IS NOT NULL
+GROUP BY t.name ORDER BY total_expected_threat DESC, t.name LIMIT 1
+""", WC_VIEWS + ("v_spadl", "v_xt_values"))
+def team_016(md: MatchData) -> DataFrame:
+    v = _valued_actions(md, False).where(F.col("xt_value").isNotNull()).join(_team_names(md), "team_id")
+    agg = v.groupBy("team_name").agg(F.round(F.sum("xt_value"), 6).alias("total_expected_threat"))
+    return top1(agg, "team_name", "total_expected_threat")
+
+
+@register("player_022")
+def player_022(md: MatchData) -> DataFrame:
+    sx = _wc_join(md, shot_xg(md)).join(_player_names(md), "player_id")
+    return top1(sx.groupBy("player_name").agg(F.round(F.sum("xg"), 6).alias("total_xg")), "player_name", "total_xg")
+
+
+@register("player_023", """
+SELECT p.name AS player_name, round(sum(av.xt_value), 6) AS total_expected_threat
+FROM wc wm JOIN v_spadl sa ON sa.match_id = wm.match_id JOIN v_xt_values av ON av.action_id = sa.action_id
+JOIN v_players p ON p.player_id = sa.player_id WHERE av.xt_value IS NOT NULL
+GROUP BY p.name ORDER BY total_expected_threat DESC, p.name LIMIT 1
+""", WC_VIEWS + ("v_spadl", "v_xt_values", "v_players"))
+def player_023(md: MatchData) -> DataFrame:
+    v = _valued_actions(md, False).where(F.col("xt_value").isNotNull()).join(_player_names(md), "player_id")
+    agg = v.groupBy("player_name").agg(F.round(F.sum("xt_value"), 6).alias("total_expected_threat"))
+    return top1(agg, "player_name", "total_expected_threat")
+
+
+def _vaep_question(col: str, alias: str):
+    def plan(md: MatchData) -> DataFrame:
+        v = _valued_actions(md, True).where(F.col(col).isNotNull()).join(_player_names(md), "player_id")
+        return top1(v.groupBy("player_name").agg(F.round(F.sum(col), 6).alias(alias)), "player_name", alias)
+    return plan
+
+
+register("player_024")(_vaep_question("vaep_value", "total_vaep"))
+register("player_025")(_vaep_question("vaep_offensive", "total_offensive_vaep"))
+register("player_026")(_vaep_question("vaep_defensive", "total_defensive_vaep"))
+
+
+def _xg_by_event(md: MatchData, spec: dict, alias: str) -> DataFrame:
+    from .golden import predicate
+    sx = _wc_join(md, shot_xg(md))
+    sa = spadl(md).select("action_id", "source_event_id")
+    me = md.events.where(predicate(spec)).select(F.col("event_id").alias("source_event_id"))
+    j = sx.join(sa, "action_id").join(me, "source_event_id").join(_player_names(md), "player_id")
+    return top1(j.groupBy("player_name").agg(F.round(F.sum("xg"), 6).alias(alias)), "player_name", alias)
+
+
+@register("shooting_031")
+def shooting_031(md: MatchData) -> DataFrame:
+    return _xg_by_event(md, {"shot_type": "penalty"}, "penalty_xg")
+
+
+@register("set_piece_045")
+def set_piece_045(md: MatchData) -> DataFrame:
+    return _xg_by_event(md, {"play_pattern": "regular_play"}, "regular_play_xg")
+
+
+@register("shooting_033")
+def shooting_033(md: MatchData) -> DataFrame:
+    sx = _wc_join(md, shot_xg(md)).join(_player_names(md), "player_id")
+    agg = (sx.groupBy("player_name").agg(F.round(F.avg("xg"), 6).alias("average_xg_per_shot"),
+                                         F.count(F.lit(1)).alias("n"))
+           .where(F.col("n") >= 5).drop("n"))
+    return top1(agg, "player_name", "average_xg_per_shot")

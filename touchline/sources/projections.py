@@ -62,6 +62,29 @@ class MatchData:
             cache[name] = build()
         return cache[name]
 
+    def materialize(self, *names: str, build=None) -> None:
+        """Write projections (or memoised derived tables) as parquet tables in
+        the shared checkpoint folder and swap in their reads.
+
+        This is the stored-table step of a deployment: later plans read the
+        written files (column pruning and filter pushdown apply, lineage is
+        cut), instead of re-deriving them from the landed tables.
+        """
+        from ..session import scratch_path
+
+        for name in names:
+            if name in ("teams", "matches", "competitions", "events", "players"):
+                df = getattr(self, name)
+            else:
+                df = self.memo(name, (build or {})[name])
+            path = scratch_path(self.spark, f"{abs(hash(self.sf_dir))}/{name}")
+            df.write.mode("overwrite").parquet(path)
+            stored = self.spark.read.parquet(path)
+            if name in ("teams", "matches", "competitions", "events", "players"):
+                self.__dict__[name] = stored
+            else:
+                self.__dict__.setdefault("_memo", {})[name] = stored
+
     def read(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *columns)
 
