@@ -289,3 +289,32 @@ FROM v_spadl a
 LEFT JOIN v_xt_grid gs ON gs.cell = {_cell('a.start_x', 'a.start_y')}
 LEFT JOIN v_xt_grid ge ON ge.cell = {_cell('a.end_x', 'a.end_y')}
 """, "v_spadl", "v_xt_grid")
+
+
+# ------------------------------------------------------- model-free totals twin
+def _light_totals(kind: str) -> str:
+    key = f"{kind}_id"
+    names = "v_players" if kind == "player" else "v_teams"
+    return f"""
+SELECT coalesce(a.{key}, s.{key}) AS {key}, coalesce(a.competition_id, s.competition_id) AS competition_id,
+       coalesce(a.source, s.source) AS source, n.name AS {kind}_name,
+       coalesce(a.total_xt, 0) AS total_xt, coalesce(a.xt_action_count, 0) AS xt_action_count,
+       coalesce(s.shot_count, 0) AS shot_count, coalesce(a.action_count, 0) AS action_count
+FROM (SELECT sa.{key}, m.competition_id, m.source, sum(av.xt_value) AS total_xt,
+             count(av.xt_value) AS xt_action_count, count(*) AS action_count
+      FROM v_spadl sa JOIN v_matches m ON m.match_id = sa.match_id
+      LEFT JOIN v_xt_values av ON av.action_id = sa.action_id
+      WHERE sa.{key} IS NOT NULL GROUP BY 1, 2, 3) a
+FULL OUTER JOIN (SELECT sa.{key}, m.competition_id, m.source, count(*) AS shot_count
+      FROM v_spadl sa JOIN v_matches m ON m.match_id = sa.match_id
+      WHERE sa.spadl_type IN ('shot', 'shot_penalty', 'shot_freekick') AND sa.{key} IS NOT NULL GROUP BY 1, 2, 3) s
+  ON s.{key} = a.{key} AND s.competition_id = a.competition_id AND s.source = a.source
+LEFT JOIN {names} n ON n.{"player_id" if kind == "player" else "team_id"} = coalesce(a.{key}, s.{key})"""
+
+
+view("v_player_totals", _light_totals("player"), "v_spadl", "v_matches", "v_xt_values", "v_players")
+view("v_team_totals", _light_totals("team"), "v_spadl", "v_matches", "v_xt_values", "v_teams")
+view("feed_comp", """
+SELECT competition_id FROM v_matches WHERE source = 'api_football'
+GROUP BY competition_id ORDER BY count(*) DESC, competition_id LIMIT 1
+""", "v_matches")
