@@ -318,3 +318,28 @@ view("feed_comp", """
 SELECT competition_id FROM v_matches WHERE source = 'api_football'
 GROUP BY competition_id ORDER BY count(*) DESC, competition_id LIMIT 1
 """, "v_matches")
+
+
+# ------------------------------------------------ freeze frames / tracking twins
+view("v_freeze_raw", """
+SELECT event_id, match_id, j,
+       CASE WHEN j = 1 THEN NULL ELSE [((src_partkey * 3 + j * 17) % 1201) / 10.0, ((src_partkey * 7 + j * 13) % 801) / 10.0]::double[] END AS location,
+       CASE WHEN j = 2 THEN NULL ELSE j % 2 = 0 END AS teammate,
+       CASE j WHEN 0 THEN 'Goalkeeper' WHEN 1 THEN 'Left Back' WHEN 2 THEN 'Center Forward' ELSE 'Right Wing' END AS position,
+       j = 3 AS actor
+FROM v_events JOIN (SELECT cast(range AS integer) AS j FROM range(4)) r ON true WHERE type = 'Shot'
+""", "v_events")
+
+view("v_freeze_frames", """
+SELECT event_id, match_id, cast(row_number() OVER (PARTITION BY event_id ORDER BY j) - 1 AS integer) AS frame_index,
+       location[1] AS location_x, location[2] AS location_y, teammate, position, actor
+FROM v_freeze_raw WHERE location IS NOT NULL AND len(location) >= 2 AND teammate IS NOT NULL
+""", "v_freeze_raw")
+
+view("v_track_points", """
+SELECT cast(match_id AS varchar) AS clip_name, player_id AS track_id, sequence AS frame_index,
+       cast(minute * 60 + "second" AS double) AS time_seconds, location_x AS cx, location_y AS cy,
+       CASE WHEN src_partkey % 11 = 0 THEN 'ball' ELSE 'player' END AS class,
+       (src_partkey % 50) / 100.0 + 0.5 AS confidence
+FROM v_events WHERE location_x IS NOT NULL AND location_y IS NOT NULL
+""", "v_events")

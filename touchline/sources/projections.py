@@ -254,5 +254,37 @@ class MatchData:
         )
 
 
+def raw_freeze_frames(events: DataFrame) -> DataFrame:
+    """Provider-shaped freeze frames for shots: an array of four players per
+    shot, built from the event's key. Player 1 has no location and player 2
+    no teammate flag (both must be dropped by the loader)."""
+    pk = F.col("src_partkey")
+    players = []
+    for j in range(4):
+        loc = F.array((((pk * 3 + j * 17) % 1201) / 10.0).cast("double"), (((pk * 7 + j * 13) % 801) / 10.0).cast("double"))
+        players.append(F.struct(
+            (F.lit(None).cast("array<double>") if j == 1 else loc).alias("location"),
+            (F.lit(None).cast("boolean") if j == 2 else F.lit(j % 2 == 0)).alias("teammate"),
+            _pick(F.lit(j), ("Goalkeeper", "Left Back", "Center Forward", "Right Wing")).alias("position"),
+            F.lit(j == 3).alias("actor"),
+        ))
+    return events.where(F.col("type") == "Shot").select("event_id", "match_id", F.array(*players).alias("freeze_frame"))
+
+
+def raw_track_points(events: DataFrame) -> DataFrame:
+    """Tracking stand-in: clip = match, track = player, frame = sequence,
+    time = match clock, centre = event location (pixels of a 120 x 80 frame);
+    a point is classed 'ball' when the event key is a multiple of 11."""
+    return events.where(F.col("location_x").isNotNull() & F.col("location_y").isNotNull()).select(
+        F.col("match_id").cast("string").alias("clip_name"),
+        F.col("player_id").alias("track_id"),
+        F.col("sequence").alias("frame_index"),
+        (F.col("minute") * 60 + F.col("second")).cast("double").alias("time_seconds"),
+        F.col("location_x").alias("cx"), F.col("location_y").alias("cy"),
+        F.when(F.col("src_partkey") % 11 == 0, "ball").otherwise("player").alias("class"),
+        ((F.col("src_partkey") % 50) / 100.0 + 0.5).alias("confidence"),
+    )
+
+
 def match_data(spark: SparkSession, sf_dir: str) -> MatchData:
     return MatchData(spark, sf_dir)
