@@ -60,4 +60,4 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import golden, insights, replay, valuation  # noqa: F401
+    from . import forecast, golden, insights, replay, valuation  # noqa: F401

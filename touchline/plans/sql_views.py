@@ -343,3 +343,67 @@ SELECT cast(match_id AS varchar) AS clip_name, player_id AS track_id, sequence A
        (src_partkey % 50) / 100.0 + 0.5 AS confidence
 FROM v_events WHERE location_x IS NOT NULL AND location_y IS NOT NULL
 """, "v_events")
+
+
+# ------------------------------------------------------------------ Elo twin
+view("v_elo_teams", "SELECT team_id, cast(row_number() OVER (ORDER BY team_id) AS integer) AS ti FROM v_teams", "v_teams")
+view("v_elo_order", """
+SELECT m.match_id, m.match_date, h.ti AS hi, a.ti AS ai, m.home_score, m.away_score,
+       cast(row_number() OVER (ORDER BY m.match_date, m.match_id) AS integer) AS r
+FROM v_matches m JOIN v_elo_teams h ON h.team_id = m.home_team_id JOIN v_elo_teams a ON a.team_id = m.away_team_id
+""", "v_matches", "v_elo_teams")
+view("v_elo_walk", """
+SELECT 0 AS r, NULL::bigint AS match_id,
+       list_transform(range((SELECT count(*) FROM v_elo_teams)), lambda i: 1500.0::double) AS ratings,
+       list_transform(range((SELECT count(*) FROM v_elo_teams)), lambda i: 0) AS played,
+       NULL::double AS home_pre, NULL::double AS away_pre
+UNION ALL
+SELECT s.r, s.match_id,
+       CASE WHEN s.scored THEN list_transform(range(1, len(s.ratings) + 1), lambda i:
+            CASE WHEN i = s.hi THEN s.hr + s.chg * (s.ha - s.he)
+                 WHEN i = s.ai THEN s.ar + s.chg * ((1.0 - s.ha) - (1.0 - s.he)) ELSE s.ratings[i] END)
+            ELSE s.ratings END,
+       CASE WHEN s.scored THEN list_transform(range(1, len(s.played) + 1), lambda i:
+            CASE WHEN i = s.hi OR i = s.ai THEN s.played[i] + 1 ELSE s.played[i] END) ELSE s.played END,
+       s.hr, s.ar
+FROM (SELECT o.r, o.match_id, o.hi, o.ai, w.ratings, w.played, w.ratings[o.hi] AS hr, w.ratings[o.ai] AS ar,
+             o.home_score IS NOT NULL AND o.away_score IS NOT NULL AS scored,
+             1.0 / (1.0 + pow(10.0, -((w.ratings[o.hi] + 55.0) - w.ratings[o.ai]) / 400.0)) AS he,
+             CASE WHEN o.home_score > o.away_score THEN 1.0 WHEN o.home_score < o.away_score THEN 0.0 ELSE 0.5 END AS ha,
+             40.0 * CASE WHEN abs(o.home_score - o.away_score) <= 1 THEN 1.0 WHEN abs(o.home_score - o.away_score) = 2 THEN 1.5
+                         ELSE (11.0 + abs(o.home_score - o.away_score)) / 8.0 END AS chg
+      FROM v_elo_walk w JOIN v_elo_order o ON o.r = w.r + 1) s
+""", "v_elo_order", "v_elo_teams", recursive=True)
+view("v_elo_pre", """
+SELECT match_id, home_pre AS home_elo_pre, away_pre AS away_elo_pre FROM v_elo_walk WHERE r > 0
+""", "v_elo_walk")
+view("v_elo_final", """
+SELECT t.team_id, round(w.ratings[t.ti], 2) AS elo_rating, w.played[t.ti] AS matches_played
+FROM (SELECT * FROM v_elo_walk ORDER BY r DESC LIMIT 1) w, v_elo_teams t WHERE w.played[t.ti] > 0
+""", "v_elo_walk", "v_elo_teams")
+view("v_elo_rates", """
+SELECT match_id, exp(ln(1.35) + 0.2 + 0.5 * (0.001 * (home_elo_pre - away_elo_pre))) AS lambda_home,
+       exp(ln(1.35) - 0.5 * (0.001 * (home_elo_pre - away_elo_pre))) AS lambda_away, 0.0 AS rho
+FROM v_elo_pre
+""", "v_elo_pre")
+view("v_elo_matrix", """
+SELECT match_id, hg, ag, CASE WHEN sum(raw) OVER (PARTITION BY match_id) > 0
+                              THEN raw / sum(raw) OVER (PARTITION BY match_id) ELSE raw END AS p
+FROM (SELECT match_id, hg, ag, greatest(
+        exp(hg * ln(lambda_home) - lambda_home - ln(cast(factorial(hg) AS double)))
+        * exp(ag * ln(lambda_away) - lambda_away - ln(cast(factorial(ag) AS double)))
+        * CASE WHEN hg = 0 AND ag = 0 THEN 1.0 - lambda_home * lambda_away * rho
+               WHEN hg = 0 AND ag = 1 THEN 1.0 + lambda_home * rho
+               WHEN hg = 1 AND ag = 0 THEN 1.0 + lambda_away * rho
+               WHEN hg = 1 AND ag = 1 THEN 1.0 - rho ELSE 1.0 END, 0.0) AS raw
+      FROM v_elo_rates r JOIN (SELECT cast(range AS integer) AS hg FROM range(11)) h ON true
+      JOIN (SELECT cast(range AS integer) AS ag FROM range(11)) a ON true) x
+""", "v_elo_rates")
+view("v_elo_probs", """
+SELECT a.*, b.hg AS most_likely_home_goals, b.ag AS most_likely_away_goals FROM
+  (SELECT match_id, sum(CASE WHEN hg > ag THEN p ELSE 0 END) AS prob_home_win, sum(CASE WHEN hg = ag THEN p ELSE 0 END) AS prob_draw,
+          sum(CASE WHEN hg < ag THEN p ELSE 0 END) AS prob_away_win, sum(hg * p) AS expected_home_goals,
+          sum(ag * p) AS expected_away_goals FROM v_elo_matrix GROUP BY match_id) a
+JOIN (SELECT match_id, hg, ag, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, hg, ag) AS rk FROM v_elo_matrix) b
+  ON b.match_id = a.match_id AND b.rk = 1
+""", "v_elo_matrix")
