@@ -118,6 +118,55 @@ def elo_walk_forward(matches: DataFrame) -> DataFrame:
     return m.groupBy("component").applyInPandas(_walk, ELO_SCHEMA)
 
 
+STATE_SCHEMA = "team_id string, rating double, played long"
+
+
+def _walk_seeded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One component: seed rows carry the stored (rating, played) of a team,
+    match rows are walked in (date, id) order from those ratings."""
+    seeds = pdf[pdf["kind"] == "seed"]
+    ratings = dict(zip(seeds["home_team_id"], seeds["rating"]))
+    played = dict(zip(seeds["home_team_id"], seeds["played"].astype("int64")))
+    walked = _walk_from(pdf[pdf["kind"] == "match"], ratings, played)
+    rows = [(t, float(r), int(played.get(t, 0))) for t, r in ratings.items()]
+    return pd.DataFrame(rows, columns=["team_id", "rating", "played"]) if rows else walked.iloc[0:0, 0:0]
+
+
+def _walk_from(pdf: pd.DataFrame, ratings: dict, played: dict) -> pd.DataFrame:
+    pdf = pdf.sort_values(["match_date", "match_id"], kind="mergesort")
+    for h, a, hs, as_ in zip(pdf["home_team_id"], pdf["away_team_id"], pdf["home_score"], pdf["away_score"]):
+        if pd.isna(hs) or pd.isna(as_):
+            continue
+        hr, ar = ratings.get(h, BASE_RATING), ratings.get(a, BASE_RATING)
+        hs, as_ = int(hs), int(as_)
+        he = 1.0 / (1.0 + 10.0 ** (-((hr + HOME_ADVANTAGE) - ar) / SCALE))
+        ha = 1.0 if hs > as_ else 0.0 if hs < as_ else 0.5
+        d = abs(hs - as_)
+        change = K_FACTOR * (1.0 if d <= 1 else 1.5 if d == 2 else (11.0 + d) / 8.0)
+        ratings[h] = hr + change * (ha - he)
+        ratings[a] = ar + change * ((1.0 - ha) - (1.0 - he))
+        played[h] = played.get(h, 0) + 1
+        played[a] = played.get(a, 0) + 1
+    return pdf
+
+
+def elo_update(matches: DataFrame, state: DataFrame) -> DataFrame:
+    """Q3 step: apply a batch of results to stored ratings; returns the new
+    state rows of every team the batch touched (others are unchanged).
+    Components are those of the batch's own who-plays-whom graph."""
+    comp = team_components(matches)
+    m = matches.select(F.lit("match").alias("kind"), "match_id", "match_date", "home_team_id", "away_team_id",
+                       "home_score", "away_score", F.lit(None).cast("double").alias("rating"),
+                       F.lit(None).cast("long").alias("played"))
+    m = m.join(comp.withColumnRenamed("team_id", "home_team_id"), "home_team_id")
+    seeds = state.join(comp, "team_id").select(
+        F.lit("seed").alias("kind"), F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("date").alias("match_date"),
+        F.col("team_id").alias("home_team_id"), F.lit(None).cast("string").alias("away_team_id"),
+        F.lit(None).cast("int").alias("home_score"), F.lit(None).cast("int").alias("away_score"),
+        "rating", "played", "component")
+    return m.unionByName(seeds).groupBy("component").applyInPandas(_walk_seeded, STATE_SCHEMA)
+
+
 def final_ratings(matches: DataFrame, walk: DataFrame) -> DataFrame:
     """L4: last rating of every team with a scored match, matches played."""
     m = matches.select("match_id", "match_date", "home_team_id", "away_team_id")

@@ -31,7 +31,11 @@ FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN NULL
 
 
 def requests(md: MatchData) -> DataFrame:
-    e = md.read("events", "event_id", "ts", "user_id")
+    return requests_from(md.read("events", "event_id", "ts", "user_id"))
+
+
+def requests_from(e: DataFrame) -> DataFrame:
+    """Request log rows from event rows (batch or streaming alike)."""
     k3 = F.col("event_id") % 3
     xff = (F.when(k3 == 0, F.lit(None).cast("string"))
            .when(k3 == 1, F.concat(F.lit(" 10.0."), (F.col("user_id") % 256).cast("string"), F.lit("."),

@@ -60,4 +60,4 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import accounts, forecast, golden, insights, replay, services, valuation  # noqa: F401
+    from . import accounts, forecast, golden, insights, replay, services, streams, valuation  # noqa: F401
