@@ -60,4 +60,5 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import accounts, forecast, golden, insights, loading, replay, services, streams, valuation  # noqa: F401
+    from . import (accounts, forecast, golden, insights, loading, providers, replay, services,  # noqa: F401
+                   streams, valuation)
