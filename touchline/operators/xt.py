@@ -99,10 +99,11 @@ def grid_frame(spark: SparkSession, xt: np.ndarray) -> DataFrame:
 
 
 def load_grid(spark: SparkSession, path: str) -> DataFrame:
-    """A published grid given as a local JSON file (list of 8 rows of 12,
-    top row first, as published)."""
-    with open(path) as fh:
-        rows = json.load(fh)
+    """A published grid given as a JSON file (a list of 8 rows of 12, top
+    row first, as published). The file is read through Spark, so any file
+    system the cluster mounts works; it holds 96 numbers."""
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    rows = json.loads(text)
     arr = np.asarray(rows, dtype=float)
     assert arr.shape == (W_CELLS, L_CELLS)
     # published layout: row 0 is the top of the pitch (largest y)

@@ -60,5 +60,5 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import (accounts, forecast, golden, insights, loading, normalize, providers, replay,  # noqa: F401
-                   services, streams, valuation)
+    from . import (accounts, assets, forecast, golden, insights, loading, normalize, providers,  # noqa: F401
+                   replay, services, streams, valuation)
