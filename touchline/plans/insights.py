@@ -403,3 +403,17 @@ def pitch_density(md: MatchData) -> DataFrame:
 
 
 __all__ = ["SOURCE_EVENTS", "spadl", "LIMIT"]
+
+
+@register("list_entities", """
+SELECT 'players' AS entity_type, player_id AS id, player_name AS name FROM v_player_totals
+WHERE competition_id IN (SELECT competition_id FROM wc_comp)
+UNION ALL
+SELECT DISTINCT 'teams', t.team_id, t.name FROM v_teams t
+JOIN v_matches m ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
+WHERE m.competition_id IN (SELECT competition_id FROM wc_comp)
+""", TOT + ("v_teams", "v_matches", "wc_comp"))
+def list_entities(md: MatchData) -> DataFrame:
+    """Both entity kinds of the golden competition."""
+    return (list_entities_players(md).select(F.lit("players").alias("entity_type"), "id", "name")
+            .unionByName(list_entities_teams(md).select(F.lit("teams").alias("entity_type"), "id", "name")))

@@ -81,3 +81,20 @@ def elo_stream(md: MatchData) -> DataFrame:
     final = J.run_available(stream, "elo", foreach_batch=apply)
     return final.where(F.col("played") > 0).select(
         "team_id", F.round("rating", 2).alias("elo_rating"), F.col("played").alias("matches_played"))
+
+
+@register("rate_decisions_stream", """
+SELECT request_id, subject_kind, subject,
+       row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('minute', ts) ORDER BY ts, request_id) AS minute_count,
+       row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('day', ts) ORDER BY ts, request_id) AS day_count
+FROM r
+""", (), {"r": REQUESTS_SQL})
+def rate_decisions_stream(md: MatchData) -> DataFrame:
+    """Q2s: the rate decision inside a stream (keyed state per subject)."""
+    from .accounts import limits
+    schema = md.read("events").schema
+    events = (md.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("pathGlobFilter", table_path(md.sf_dir, "events").rsplit("/", 1)[1]).parquet(md.sf_dir))
+    req = requests_from(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    out = J.run_available(J.rate_decisions_stream(req, limits(md)), "rate_decisions")
+    return out.select("request_id", "subject_kind", "subject", "minute_count", "day_count")

@@ -67,3 +67,41 @@ def metric_totals_stream(events: DataFrame, matches: DataFrame) -> DataFrame:
 def overwrite_batch(df: DataFrame, batch_id: int, out: str) -> None:
     """Complete-mode sink: every batch carries the whole (bounded) result."""
     df.write.mode("overwrite").parquet(out)
+
+
+# ----------------------------------------------------------- Q2s decisions
+DECISION_SCHEMA = ("request_id long, subject_kind string, subject string, minute_count long, day_count long, "
+                   "allowed boolean")
+STATE_SCHEMA = "minute_start long, minute_count long, day_start long, day_count long"
+
+
+def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
+    """Q2s: per-subject counters kept as streaming state (one small state row
+    per subject: the current minute and day window and their counts); every
+    request is decided in (ts, id) order inside its micro-batch. Blocked
+    requests still count, as in the batch twin."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def decide(key, pdfs, state):
+        kind, subject = key
+        if state.exists:
+            ms, mc, ds, dc = state.get
+        else:
+            ms, mc, ds, dc = -1, 0, -1, 0
+        out = []
+        for pdf in pdfs:
+            pdf = pdf.sort_values(["ts_us", "request_id"], kind="mergesort")
+            for rid, ts_us, ml, dl in zip(pdf["request_id"], pdf["ts_us"], pdf["minute_limit"], pdf["day_limit"]):
+                m0, d0 = ts_us // 60_000_000, ts_us // 86_400_000_000
+                mc = mc + 1 if m0 == ms else 1
+                dc = dc + 1 if d0 == ds else 1
+                ms, ds = m0, d0
+                out.append((rid, kind, subject, mc, dc, not (mc > ml or dc > dl)))
+        state.update((int(ms), int(mc), int(ds), int(dc)))
+        yield pd.DataFrame(out, columns=["request_id", "subject_kind", "subject", "minute_count", "day_count", "allowed"])
+
+    r = requests.join(limits.select("subject_kind", "subject", "minute_limit", "day_limit"), ["subject_kind", "subject"])
+    r = r.select("request_id", "subject_kind", "subject", F.unix_micros("ts").alias("ts_us"), "minute_limit", "day_limit")
+    return r.groupBy("subject_kind", "subject").applyInPandasWithState(
+        decide, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
