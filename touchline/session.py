@@ -33,6 +33,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    # local runs: one JVM is driver and executors; keep the plan history short
+    builder = (builder.config("spark.driver.memory", "8g")
+               .config("spark.sql.ui.retainedExecutions", "50")
+               .config("spark.ui.retainedJobs", "200").config("spark.ui.retainedStages", "200"))
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
     if shuffle_partitions:

@@ -16,7 +16,7 @@ Scale notes
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,12 +48,39 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
     return expr
 
 
+def stored_property(build):
+    """A projection built once per MatchData. With ``store`` on, it is written
+    as a parquet table in the shared checkpoint folder on first use and read
+    back from there: later plans start from that stored table (short lineage,
+    column pruning and filter pushdown on the scan), as the reference's
+    queries start from its stored tables."""
+
+    @wraps(build)
+    def get(self):
+        key = "_stored_" + build.__name__
+        if key not in self.__dict__:
+            df = build(self)
+            if self.store:
+                from ..session import scratch_path
+                path = scratch_path(self.spark, f"{self.token}/{build.__name__}")
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
+            self.__dict__[key] = df
+        return self.__dict__[key]
+
+    return property(get)
+
+
 class MatchData:
     """Lazily built projections of one table folder (``sf_dir``)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
+        import uuid
+
         self.spark = spark
         self.sf_dir = sf_dir
+        self.store = store
+        self.token = f"md-{uuid.uuid4().hex[:12]}"
 
     def memo(self, name: str, build):
         """Build a derived table once per MatchData (plans share the object)."""
@@ -63,33 +90,25 @@ class MatchData:
         return cache[name]
 
     def materialize(self, *names: str, build=None) -> None:
-        """Write projections (or memoised derived tables) as parquet tables in
-        the shared checkpoint folder and swap in their reads.
-
-        This is the stored-table step of a deployment: later plans read the
-        written files (column pruning and filter pushdown apply, lineage is
-        cut), instead of re-deriving them from the landed tables.
-        """
+        """Write memoised derived tables (e.g. SPADL actions) as parquet tables
+        in the shared checkpoint folder and swap in their reads; projections
+        named here are simply forced (they store themselves)."""
         from ..session import scratch_path
 
         for name in names:
             if name in ("teams", "matches", "competitions", "events", "players"):
-                df = getattr(self, name)
-            else:
-                df = self.memo(name, (build or {})[name])
-            path = scratch_path(self.spark, f"{abs(hash(self.sf_dir))}/{name}")
+                getattr(self, name)
+                continue
+            df = self.memo(name, (build or {})[name])
+            path = scratch_path(self.spark, f"{self.token}/{name}")
             df.write.mode("overwrite").parquet(path)
-            stored = self.spark.read.parquet(path)
-            if name in ("teams", "matches", "competitions", "events", "players"):
-                self.__dict__[name] = stored
-            else:
-                self.__dict__.setdefault("_memo", {})[name] = stored
+            self.__dict__.setdefault("_memo", {})[name] = self.spark.read.parquet(path)
 
     def read(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name, *columns)
 
     # ------------------------------------------------------------------ teams
-    @cached_property
+    @stored_property
     def teams(self) -> DataFrame:
         n = self.read("nation", "n_nationkey", "n_name", "n_regionkey")
         r = self.read("region", "r_regionkey", "r_name")
@@ -113,7 +132,7 @@ class MatchData:
         )
 
     # ---------------------------------------------------------------- matches
-    @cached_property
+    @stored_property
     def matches(self) -> DataFrame:
         """One match per 40 orders (anchor ``o_orderkey % 40 = 0``)."""
         o = (
@@ -150,7 +169,7 @@ class MatchData:
             )
         )
 
-    @cached_property
+    @stored_property
     def competitions(self) -> DataFrame:
         r = self.read("region", "r_regionkey", "r_name")
         m = self.matches.select("competition_id", "region_key", "season_name", "source").distinct()
@@ -166,7 +185,7 @@ class MatchData:
         )
 
     # ----------------------------------------------------------------- events
-    @cached_property
+    @stored_property
     def events(self) -> DataFrame:
         li = self.read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
         pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
@@ -236,7 +255,7 @@ class MatchData:
         )
 
     # ---------------------------------------------------------------- players
-    @cached_property
+    @stored_property
     def players(self) -> DataFrame:
         t = self.teams.select("team_id", "name", "country", "source",
                               F.explode(F.sequence(F.lit(0), F.lit(PLAYERS_PER_TEAM - 1))).alias("n"))
