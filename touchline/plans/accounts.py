@@ -334,7 +334,7 @@ def render_posts(md: MatchData) -> DataFrame:
             .join(shots.select(F.col("team_id").alias("team_a"), F.col("shots").alias("value_a")), "team_a", "left")
             .join(shots.select(F.col("team_id").alias("team_b"), F.col("shots").alias("value_b")), "team_b", "left")
             .select("post_id", "kind", F.col("team_a").alias("label"), "value_a", "value_b"))
-    passes = (md.events.where(F.col("type") == "Pass").join(md.matches.select("match_id", "competition_id"), "match_id")
+    passes = (md.events.where(F.col("type") == "Pass")
               .groupBy("competition_id", "team_name").agg(F.count(F.lit(1)).alias("n")))
     top = passes.groupBy("competition_id").agg(F.max_by(F.struct("team_name", "n"), F.struct("n", F.col("team_name"))).alias("t"))
     lb = (p.where(F.col("kind") == "leaderboard").join(top, "competition_id", "left")

@@ -24,7 +24,7 @@ FROM v_events e JOIN v_matches m ON m.match_id = e.match_id
 def table_scan(md: MatchData) -> DataFrame:
     """All events with their match's teams (the valuation read), ordered
     by match, period, sequence when consumed."""
-    m = md.matches.select("match_id", "home_team_id", "away_team_id", "competition_id")
+    m = md.matches.select("match_id", "home_team_id", "away_team_id")
     return md.events.join(m, "match_id").select(
         "match_id", "event_id", "period", "sequence", "type", "team_id", "player_id", "location_x", "location_y",
         "end_location_x", "end_location_y", "outcome", "body_part", "under_pressure", "play_pattern", "is_cross",

@@ -67,6 +67,7 @@ WINDOW w AS (PARTITION BY m ORDER BY l_orderkey, l_linenumber, l_partkey, l_supp
 
 view("v_events_side", """
 SELECT b.*, mt.home_team_id, mt.away_team_id, mt.home_team_name, mt.away_team_name, mt.source AS msrc,
+       mt.competition_id AS mcomp,
        (cast(floor((b.seq - 1) / 7) AS bigint) + b.m) % 2 AS poss,
        mt.source = 'api_football' AS feed,
        mt.source <> 'api_football' AND b.k < 9 AS is_pass,
@@ -110,7 +111,7 @@ SELECT concat(cast(m AS varchar), '-', cast(seq AS varchar)) AS event_id,
        CASE WHEN is_pass THEN (CASE ln WHEN 1 THEN 'corner' WHEN 2 THEN 'free_kick' WHEN 3 THEN 'throw_in'
                                       WHEN 4 THEN 'goal_kick' ELSE 'open_play' END) END AS pass_type,
        CASE WHEN is_shot THEN (CASE ln WHEN 1 THEN 'penalty' WHEN 2 THEN 'free_kick' ELSE 'open_play' END) END AS shot_type,
-       msrc AS source, pk AS src_partkey
+       msrc AS source, pk AS src_partkey, mcomp AS competition_id
 FROM v_events_side
 """, "v_events_side")
 

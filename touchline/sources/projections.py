@@ -48,6 +48,10 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
     return expr
 
 
+# stored tables partitioned on disk (folder per value)
+PARTITION_COLUMNS = {"events": ("competition_id",)}
+
+
 def stored_property(build):
     """A projection built once per MatchData. With ``store`` on, it is written
     as a parquet table in the shared checkpoint folder on first use and read
@@ -63,8 +67,12 @@ def stored_property(build):
             if self.store:
                 from ..session import scratch_path
                 path = scratch_path(self.spark, f"{self.token}/{build.__name__}")
-                df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.parquet(path)
+                parts = PARTITION_COLUMNS.get(build.__name__)
+                # no extra shuffle: events arrive hash-partitioned by match, so
+                # each task writes one file per competition it holds
+                writer = df.write.partitionBy(*parts) if parts else df.write
+                writer.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path).select(*df.columns)
             self.__dict__[key] = df
         return self.__dict__[key]
 
@@ -201,7 +209,7 @@ class MatchData:
         )
         mt = self.matches.select(
             F.col("match_id").alias("mm"), "home_team_id", "away_team_id",
-            "home_team_name", "away_team_name", F.col("source").alias("msrc"))
+            "home_team_name", "away_team_name", F.col("source").alias("msrc"), F.col("competition_id").alias("mcomp"))
         e = base.join(mt, base.m == mt.mm)
         feed = F.col("msrc") == SOURCE_FEED
         k = F.col("k")
@@ -252,6 +260,8 @@ class MatchData:
             F.col("msrc").alias("source"),
             # provenance key (used by freeze frames and tracking stand-ins)
             pk.alias("src_partkey"),
+            # storage partition key: competition-scoped questions prune to one folder
+            F.col("mcomp").alias("competition_id"),
         )
 
     # ---------------------------------------------------------------- players

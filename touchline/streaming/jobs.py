@@ -55,7 +55,7 @@ def metric_totals_stream(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Q4: live event counts per team and competition (stream-static join with
     the match table; complete-mode state is one row per team-competition)."""
     m = matches.select("match_id", "competition_id")
-    e = events.join(m, "match_id")
+    e = events.drop("competition_id").join(m, "match_id")
     t, o = F.col("type"), F.col("outcome")
     return e.where(F.col("team_id").isNotNull()).groupBy("team_id", "competition_id").agg(
         F.count_if(t == "Shot").alias("shots"),
