@@ -68,9 +68,9 @@ def stored_property(build):
                 from ..session import scratch_path
                 path = scratch_path(self.spark, f"{self.token}/{build.__name__}")
                 parts = PARTITION_COLUMNS.get(build.__name__)
-                # no extra shuffle: events arrive hash-partitioned by match, so
-                # each task writes one file per competition it holds
-                writer = df.write.partitionBy(*parts) if parts else df.write
+                # REBALANCE: AQE sizes the write tasks per folder, merging small
+                # competitions and splitting a hot one across tasks
+                writer = df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write
                 writer.mode("overwrite").parquet(path)
                 df = self.spark.read.parquet(path).select(*df.columns)
             self.__dict__[key] = df
