@@ -20,6 +20,8 @@ CHECKED = [
     "verify_grounding", "statement_screen", "rate_decisions", "subscription_state", "list_follows",
     "read_events", "fixture_events_to_events", "map_body_part", "parse_bool", "resolve_entities",
     "table_scan", "upsert", "apply_calibration", "read_lineups", "rate_windows_stream",
+    "rate_decisions_stream", "metric_totals_stream", "vaep_labels_concedes", "xt_published_grid",
+    "validate_posts", "dimension_reference", "glossary_load", "load_clip_metrics", "cosine_distance",
 ]
 
 
