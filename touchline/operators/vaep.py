@@ -57,46 +57,54 @@ def _is_own_goal(t: Column, r: Column) -> Column:
     return F.coalesce(t.contains("shot") & (r == "owngoal"), F.lit(False))
 
 
-def goal_score(actions: DataFrame) -> DataFrame:
-    """Goals of the acting team / opponent before this action (same match)."""
+def with_goal_score(df: DataFrame, type_col: str = "spadl_type", result_col: str = "spadl_result",
+                    team_col: str = "team_id") -> DataFrame:
+    """Add goalscore_team / _opponent / _diff (goals before this action, same
+    match) to ``df`` with windows over the match: no join, no extra shuffle
+    when ``df`` is already partitioned by match."""
     w = _by_match()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    t, r = F.col("spadl_type"), F.col("spadl_result")
-    team_a = F.first("team_id").over(w)
-    is_a = F.coalesce(F.col("team_id") == team_a, F.lit(False))
+    t, r, team = F.col(type_col), F.col(result_col), F.col(team_col)
     goal, own = _is_goal(t, r), _is_own_goal(t, r)
-    staged = actions.select(
-        "action_id", "match_id", "action_order", "team_id",
-        is_a.alias("is_a"),
-        ((goal & is_a) | (own & ~is_a)).cast("int").alias("ga"),
-        ((goal & ~is_a) | (own & is_a)).cast("int").alias("gb"),
-    )
-    score_a = F.coalesce(F.sum("ga").over(before), F.lit(0))
-    score_b = F.coalesce(F.sum("gb").over(before), F.lit(0))
-    out = staged.select(
-        "action_id", "match_id", "action_order",
-        F.when(F.col("is_a"), score_a).otherwise(score_b).alias("goalscore_team"),
-        F.when(F.col("is_a"), score_b).otherwise(score_a).alias("goalscore_opponent"),
-    )
-    return out.withColumn("goalscore_diff", F.col("goalscore_team") - F.col("goalscore_opponent"))
+    df = df.withColumn("__is_a", F.coalesce(team == F.first(team_col).over(w), F.lit(False)))
+    is_a = F.col("__is_a")
+    df = (df.withColumn("__ga", ((goal & is_a) | (own & ~is_a)).cast("int"))
+          .withColumn("__gb", ((goal & ~is_a) | (own & is_a)).cast("int")))
+    score_a = F.coalesce(F.sum("__ga").over(before), F.lit(0))
+    score_b = F.coalesce(F.sum("__gb").over(before), F.lit(0))
+    df = (df.withColumn("goalscore_team", F.when(is_a, score_a).otherwise(score_b))
+          .withColumn("goalscore_opponent", F.when(is_a, score_b).otherwise(score_a)))
+    return df.withColumn("goalscore_diff", F.col("goalscore_team") - F.col("goalscore_opponent")).drop(
+        "__is_a", "__ga", "__gb")
 
 
-def labels(actions: DataFrame) -> DataFrame:
-    """G4 + G5: does the acting team score / concede within this and the next
-    nine actions of the match (an opponent own goal counts as scoring)."""
+def goal_score(actions: DataFrame) -> DataFrame:
+    """Goals of the acting team / opponent before this action (same match)."""
+    return with_goal_score(actions).select("action_id", "match_id", "action_order", "goalscore_team",
+                                           "goalscore_opponent", "goalscore_diff")
+
+
+def with_labels(df: DataFrame, type_col: str = "spadl_type", result_col: str = "spadl_result",
+                team_col: str = "team_id") -> DataFrame:
+    """Add scores / concedes: does the acting team score / concede within this
+    and the next nine actions of the match (an opponent own goal counts as
+    scoring). The look-ahead is a bounded frame of nine rows."""
     w = _by_match().rowsBetween(1, LOOK_AHEAD - 1)
-    t, r = F.col("spadl_type"), F.col("spadl_result")
+    t, r, team = F.col(type_col), F.col(result_col), F.col(team_col)
     ahead = F.collect_list(F.struct(
-        F.col("team_id").alias("team"), _is_goal(t, r).alias("goal"), _is_own_goal(t, r).alias("own"))).over(w)
-    team = F.col("team_id")
+        team.alias("team"), _is_goal(t, r).alias("goal"), _is_own_goal(t, r).alias("own"))).over(w)
 
     def same(x):
         return F.coalesce(x["team"] == team, F.lit(False))
 
     scores = _is_goal(t, r) | F.exists(ahead, lambda x: (x["goal"] & same(x)) | (x["own"] & ~same(x)))
     concedes = _is_own_goal(t, r) | F.exists(ahead, lambda x: (x["goal"] & ~same(x)) | (x["own"] & same(x)))
-    return actions.select("action_id", "match_id", "action_order",
-                          scores.cast("int").alias("scores"), concedes.cast("int").alias("concedes"))
+    return df.withColumn("scores", scores.cast("int")).withColumn("concedes", concedes.cast("int"))
+
+
+def labels(actions: DataFrame) -> DataFrame:
+    """G4 + G5 (see ``with_labels``)."""
+    return with_labels(actions).select("action_id", "match_id", "action_order", "scores", "concedes")
 
 
 def _index_of(values: tuple[str, ...], c: Column) -> Column:
@@ -112,7 +120,11 @@ def _polar(x: Column, y: Column, prefix: str) -> list[Column]:
 
 def features(actions: DataFrame) -> tuple[DataFrame, list[str]]:
     """Feature table and the list of model input columns."""
-    gs = game_states(actions)
+    # one shuffle by match: the (match, period) game-state windows, the running
+    # goal score and the look-ahead labels are all satisfied by it
+    gs = game_states(actions.repartition("match_id"))
+    gs = with_labels(with_goal_score(gs, "spadl_type_a0", "spadl_result_a0", "team_id_a0"),
+                     "spadl_type_a0", "spadl_result_a0", "team_id_a0")
     cols: list[Column] = [F.col("action_id"), F.col("match_id"), F.col("action_order")]
     numeric: list[str] = []
     index_cols: list[str] = []
@@ -147,8 +159,10 @@ def features(actions: DataFrame) -> tuple[DataFrame, list[str]]:
         dx = F.col(f"end_x_a{i}") - F.col("start_x_a0")
         dy = F.col(f"end_y_a{i}") - F.col("start_y_a0")
         cols += [dx.alias(f"dx_a0{i}"), dy.alias(f"dy_a0{i}"), F.sqrt(dx * dx + dy * dy).alias(f"mov_a0{i}")]
-    table = gs.select(*cols).join(goal_score(actions).drop("match_id", "action_order"), "action_id")
-    numeric = [c for c in table.columns if c not in ("action_id", "match_id", "action_order") and c not in index_cols]
+    extra = ["goalscore_team", "goalscore_opponent", "goalscore_diff", "scores", "concedes"]
+    table = gs.select(*cols, *extra)
+    not_inputs = {"action_id", "match_id", "action_order", "scores", "concedes", *index_cols}
+    numeric = [c for c in table.columns if c not in not_inputs]
     encoder = OneHotEncoder(inputCols=index_cols, outputCols=[c + "_vec" for c in index_cols], dropLast=False,
                             handleInvalid="keep")
     encoded = encoder.fit(table).transform(table)
@@ -158,9 +172,8 @@ def features(actions: DataFrame) -> tuple[DataFrame, list[str]]:
 def probabilities(actions: DataFrame) -> DataFrame:
     """P(scores), P(concedes) per action from the two fitted models."""
     feats, inputs = features(actions)
-    lab = labels(actions).drop("match_id", "action_order")
     # written once to the shared checkpoint folder: both models make many passes
-    table = feats.join(lab, "action_id").checkpoint(eager=True)
+    table = feats.checkpoint(eager=True)
     ps = fit_predict(table, inputs, "scores", "p_scores", ["action_id"])
     pc = fit_predict(table, inputs, "concedes", "p_concedes", ["action_id"])
     return ps.join(pc, "action_id")
