@@ -28,15 +28,24 @@ def action_values(xt: DataFrame, vaep: DataFrame | None) -> DataFrame:
         "action_id", clean("xt_value"), clean("vaep_offensive"), clean("vaep_defensive"), clean("vaep_value"))
 
 
-def metric_totals(actions: DataFrame, values: DataFrame, shots: DataFrame, matches: DataFrame,
+def metric_totals(actions: DataFrame, values: DataFrame | None, shots: DataFrame, matches: DataFrame,
                   names: DataFrame, key: str, name_col: str) -> DataFrame:
     """H1 / H2: totals by (key, competition_id, source).
 
     ``names`` is (key, name) of the entity table; ``key`` is player_id or team_id.
+    With ``values`` None the value columns are already on ``actions`` (missing
+    ones count as null), which saves the join on action id.
     """
     m = matches.select("match_id", "competition_id", "source")
-    a = (actions.where(F.col(key).isNotNull()).select("action_id", "match_id", key)
-         .join(m, "match_id").join(values, "action_id", "left")
+    value_cols = ("xt_value", "vaep_value", "vaep_offensive", "vaep_defensive")
+    if values is None:
+        have = set(actions.columns)
+        acts = actions.where(F.col(key).isNotNull()).select(
+            "match_id", key, *[F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in value_cols])
+    else:
+        acts = (actions.where(F.col(key).isNotNull()).select("action_id", "match_id", key)
+                .join(values, "action_id", "left"))
+    a = (acts.join(m, "match_id")
          .groupBy(key, "competition_id", "source")
          .agg(F.sum("xt_value").alias("a_xt"), F.sum("vaep_value").alias("a_vaep"),
               F.sum("vaep_offensive").alias("a_off"), F.sum("vaep_defensive").alias("a_def"),

@@ -114,22 +114,28 @@ def load_grid(spark: SparkSession, path: str) -> DataFrame:
     return grid_frame(spark, flat)
 
 
-def xt_values(actions: DataFrame, grid: DataFrame) -> DataFrame:
-    """E5: successful pass/cross/dribble -> xT(end) - xT(start); else null.
+def with_xt_value(actions: DataFrame, grid: DataFrame) -> DataFrame:
+    """E5 as a column: every action keeps its columns and gains ``xt_value``
+    (successful pass/cross/dribble -> xT(end) - xT(start); else null).
 
-    ``grid`` has N_CELLS rows (bounded), so both lookups are broadcast joins.
-    """
+    ``grid`` has N_CELLS rows (bounded), so both lookups are broadcast joins
+    and the actions keep their partitioning (no shuffle)."""
     g = F.broadcast(grid)
-    rated = actions.select(
-        "action_id",
-        (F.col("spadl_type").isin(*MOVE_TYPES) & (F.col("spadl_result") == "success")).alias("rated"),
-        cell(F.col("start_x"), F.col("start_y")).alias("sc"),
-        cell(F.col("end_x"), F.col("end_y")).alias("ec"),
-    )
-    gs_ = g.select(F.col("cell").alias("sc"), F.col("xt").alias("xt_start"))
-    ge_ = g.select(F.col("cell").alias("ec"), F.col("xt").alias("xt_end"))
-    return (rated.join(gs_, "sc", "left").join(ge_, "ec", "left")
-            .select("action_id", F.when(F.col("rated"), F.col("xt_end") - F.col("xt_start")).alias("xt_value")))
+    rated = (actions
+             .withColumn("__rated", F.col("spadl_type").isin(*MOVE_TYPES) & (F.col("spadl_result") == "success"))
+             .withColumn("__sc", cell(F.col("start_x"), F.col("start_y")))
+             .withColumn("__ec", cell(F.col("end_x"), F.col("end_y"))))
+    gs_ = g.select(F.col("cell").alias("__sc"), F.col("xt").alias("__xs"))
+    ge_ = g.select(F.col("cell").alias("__ec"), F.col("xt").alias("__xe"))
+    out = rated.join(gs_, "__sc", "left").join(ge_, "__ec", "left")
+    return out.withColumn("xt_value", F.when(F.col("__rated"), F.col("__xe") - F.col("__xs"))).drop(
+        "__rated", "__sc", "__ec", "__xs", "__xe")
+
+
+def xt_values(actions: DataFrame, grid: DataFrame) -> DataFrame:
+    """E5: (action_id, xt_value) for every action."""
+    return with_xt_value(actions.select("action_id", "spadl_type", "spadl_result", "start_x", "start_y",
+                                        "end_x", "end_y"), grid).select("action_id", "xt_value")
 
 
 def fit_xt(actions: DataFrame) -> tuple[DataFrame, int]:

@@ -81,6 +81,11 @@ def xt_values(md: MatchData) -> DataFrame:
     return md.memo("xt_values", lambda: XT.xt_values(spadl(md), xt_grid(md)))
 
 
+def xt_actions(md: MatchData) -> DataFrame:
+    """SPADL actions carrying their xT value (no join back on action id)."""
+    return md.memo("xt_actions", lambda: XT.with_xt_value(spadl(md), xt_grid(md)))
+
+
 @register("xt_cell", f"SELECT action_id, {'{'}c{'}'} AS start_cell FROM v_spadl".replace(
     "{c}", "(cast(least(greatest(floor(start_y / 68.0 * 8), 0), 7) AS integer) * 12 + "
            "cast(least(greatest(floor(start_x / 105.0 * 12), 0), 11) AS integer))"), ("v_spadl",))
@@ -333,7 +338,7 @@ GROUP BY sa.player_id, m.competition_id, m.source, p.name
 @register("player_xt_totals", XT_TOTALS_SQL, ("v_spadl", "v_matches", "v_xt_values", "v_players"))
 def player_xt_totals(md: MatchData) -> DataFrame:
     """The deterministic (model-free) columns of the player totals."""
-    t = TT.metric_totals(spadl(md), action_values(md, with_vaep=False), shot_xg_empty(md), md.matches,
+    t = TT.metric_totals(xt_actions(md), None, shot_xg_empty(md), md.matches,
                          md.players.select("player_id", "name"), "player_id", "player_name")
     return _rounded(t.select("player_id", "competition_id", "source", "player_name", "total_xt",
                              "xt_action_count", "action_count"), "total_xt")
@@ -363,6 +368,8 @@ def team_015(md: MatchData) -> DataFrame:
 
 
 def _valued_actions(md: MatchData, with_vaep: bool) -> DataFrame:
+    if not with_vaep:
+        return _wc_join(md, xt_actions(md)).select("action_id", "team_id", "player_id", "xt_value")
     sa = _wc_join(md, spadl(md)).select("action_id", "team_id", "player_id")
     return sa.join(action_values(md, with_vaep), "action_id")
 
@@ -446,4 +453,4 @@ def light_totals(md: MatchData, kind: str) -> DataFrame:
     names = md.players.select("player_id", "name") if kind == "player" else md.teams.select("team_id", "name")
     key = f"{kind}_id"
     return md.memo(f"light_totals_{kind}", lambda: TT.metric_totals(
-        spadl(md), action_values(md, with_vaep=False), shots, md.matches, names, key, f"{kind}_name"))
+        xt_actions(md), None, shots, md.matches, names, key, f"{kind}_name"))
