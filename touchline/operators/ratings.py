@@ -65,15 +65,17 @@ def team_components(matches: DataFrame, max_rounds: int = 64) -> DataFrame:
     is checkpointed every few rounds to keep the plan short.
     """
     edges = matches.select(F.col("home_team_id").alias("a"), F.col("away_team_id").alias("b"))
-    edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    # distinct team pairs, written once: every round reads them
+    edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint(eager=True)
     labels = edges.select(F.col("a").alias("team_id")).distinct().withColumn("component", F.col("team_id"))
-    for i in range(max_rounds):
+    labels = labels.checkpoint(eager=True)
+    for _ in range(max_rounds):
         nb = (edges.join(labels.withColumnRenamed("team_id", "b"), "b")
               .groupBy(F.col("a").alias("team_id")).agg(F.min("component").alias("nb")))
+        # each round's labels are cut from the lineage, so a round never
+        # recomputes the rounds before it
         new = labels.join(nb, "team_id", "left").select(
-            "team_id", F.least("component", F.coalesce("nb", "component")).alias("component"))
-        if i % 4 == 3:
-            new = new.checkpoint(eager=True)
+            "team_id", F.least("component", F.coalesce("nb", "component")).alias("component")).checkpoint(eager=True)
         changed = new.join(labels.withColumnRenamed("component", "old"), "team_id").where(
             F.col("component") != F.col("old")).limit(1).count()
         labels = new

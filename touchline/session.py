@@ -58,9 +58,37 @@ def configure(spark: SparkSession) -> SparkSession:
     # UTC is a semantic requirement (dates of matches), not a tuning knob.
     conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    ship_code(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Ship this package to the Python workers (as ``--py-files`` would): the
+    grouped pandas functions (Elo walks, fits, vector search) are pickled by
+    reference and must import ``touchline`` on the executors."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import zipfile
+
+    import touchline
+
+    root = os.path.dirname(os.path.abspath(touchline.__file__))
+    out_dir = tempfile.mkdtemp(prefix="touchline-code-")  # driver-side code bundle, served by Spark
+    path = os.path.join(out_dir, "touchline.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
