@@ -84,3 +84,19 @@ def test_upsert_twice_keeps_count(md):
     once = TT.upsert(base.limit(0), base, ["match_id"])
     twice = TT.upsert(once, base, ["match_id"])
     assert once.count() == twice.count() == base.count()
+
+
+def test_plans_prune_and_shuffle_once(spark, md):
+    """Plan shape checks: competition-scoped questions prune event partitions
+    and read only the columns they use; the VAEP feature build shuffles once."""
+    import __spark_entry__ as entry
+    from touchline.operators import vaep as VA
+    from touchline.plans import valuation
+
+    df = entry.queries()["team_013"](spark, md.sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    actions = valuation.spadl(md)
+    base = actions._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    feats, _ = VA.features(actions)
+    assert feats._jdf.queryExecution().executedPlan().toString().count("Exchange") <= base + 1
