@@ -208,26 +208,49 @@ def match_order(matches: DataFrame) -> DataFrame:
         "match_id", (F.coalesce("off", F.lit(0)) + F.col("rn") - 1).alias("position"))
 
 
-def dc_cutoff_stats(matches: DataFrame) -> DataFrame:
+def date_order(matches: DataFrame) -> DataFrame:
+    """Dense rank of every match's date (0-based); the ranking window runs over
+    the distinct dates only (bounded by the calendar)."""
+    dates = matches.select("match_date").distinct()
+    ranked = dates.select("match_date", (F.row_number().over(Window.orderBy("match_date")) - 1).alias("position"))
+    return matches.select("match_id", "match_date").join(ranked, "match_date").select("match_id", "position")
+
+
+def cutoff_order(matches: DataFrame, refit: str = "match") -> DataFrame:
+    """Cutoff position per match: ``match`` refits before every match (earlier
+    matches of the same date count as prior, as in the reference);
+    ``date`` refits once per match date, so the number of fits is bounded by
+    the calendar instead of the match count."""
+    if refit == "match":
+        return match_order(matches)
+    if refit == "date":
+        return date_order(matches)
+    raise ValueError(f"refit must be 'match' or 'date', not {refit!r}")
+
+
+def dc_cutoff_stats(matches: DataFrame, refit: str = "match") -> DataFrame:
     """Pair statistics of all scored matches before each cutoff position.
 
     For every pair the running totals (ordered by position) are valid from the
-    next position up to the pair's next match; each running row is expanded
+    next position up to the pair's next position; each running row is expanded
     over exactly that range, so no cross join is needed.
     """
-    pos = match_order(matches)
+    pos = cutoff_order(matches, refit)
     n_total = pos.agg(F.max("position")).first()[0]
     m = matches.join(pos, "match_id").where(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
     hg, ag = F.col("home_score"), F.col("away_score")
+    # one row per (pair, position): positions repeat within a date in 'date' mode
+    per = m.groupBy("home_team_id", "away_team_id", "position").agg(
+        F.count(F.lit(1)).alias("c"), F.sum(hg).alias("h"), F.sum(ag).alias("a"),
+        F.count_if((hg == 0) & (ag == 0)).alias("c00"), F.count_if((hg == 0) & (ag == 1)).alias("c01"),
+        F.count_if((hg == 1) & (ag == 0)).alias("c10"), F.count_if((hg == 1) & (ag == 1)).alias("c11"))
     w = Window.partitionBy("home_team_id", "away_team_id").orderBy("position")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = m.select(
+    cum = per.select(
         "home_team_id", "away_team_id", "position",
-        F.count(F.lit(1)).over(run).alias("n"), F.sum(hg).over(run).alias("shg"), F.sum(ag).over(run).alias("sag"),
-        F.sum(((hg == 0) & (ag == 0)).cast("int")).over(run).alias("n00"),
-        F.sum(((hg == 0) & (ag == 1)).cast("int")).over(run).alias("n01"),
-        F.sum(((hg == 1) & (ag == 0)).cast("int")).over(run).alias("n10"),
-        F.sum(((hg == 1) & (ag == 1)).cast("int")).over(run).alias("n11"),
+        F.sum("c").over(run).alias("n"), F.sum("h").over(run).alias("shg"), F.sum("a").over(run).alias("sag"),
+        F.sum("c00").over(run).alias("n00"), F.sum("c01").over(run).alias("n01"),
+        F.sum("c10").over(run).alias("n10"), F.sum("c11").over(run).alias("n11"),
         F.lead("position").over(w).alias("next_position"))
     last = F.coalesce(F.col("next_position"), F.lit(n_total + 1))
     return cum.select("*", F.explode(F.sequence(F.col("position") + 1, last)).alias("cutoff")).where(
@@ -344,9 +367,9 @@ def dc_fits(cutoff_stats: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------- L7 prediction
-def dc_rates(matches: DataFrame, elo_pre: DataFrame, fits: DataFrame | None) -> DataFrame:
+def dc_rates(matches: DataFrame, elo_pre: DataFrame, fits: DataFrame | None, refit: str = "match") -> DataFrame:
     """Log-rate blend of the fit (weight min(1, n/24)) with the Elo prior."""
-    pos = match_order(matches)
+    pos = cutoff_order(matches, refit)
     m = matches.select("match_id", "home_team_id", "away_team_id").join(pos, "match_id").join(
         elo_pre.select("match_id", "home_elo_pre", "away_elo_pre"), "match_id")
     sup = ELO_TO_LOG_GOAL * (F.col("home_elo_pre") - F.col("away_elo_pre"))

@@ -129,6 +129,14 @@ def dc_fit(md: MatchData) -> DataFrame:
     return _rounded(dc_fits(md), "attack", "defense", "intercept", "home_advantage", "rho")
 
 
+@register("dc_fit_by_date")
+def dc_fit_by_date(md: MatchData) -> DataFrame:
+    """L6 with ``refit='date'``: one fit per match date (the scale mode)."""
+    fits = R.dc_fits(R.dc_cutoff_stats(md.matches, refit="date"))
+    rates = R.dc_rates(md.matches, elo_walk(md), fits, refit="date")
+    return _rounded(rates, "lambda_home", "lambda_away", "rho")
+
+
 @register("dc_predict")
 def dc_predict(md: MatchData) -> DataFrame:
     return _rounded(R.dc_rates(md.matches, elo_walk(md), dc_fits(md)), "lambda_home", "lambda_away", "rho")
