@@ -69,7 +69,8 @@ SELECT g.event_id AS goal_id, me.event_id, me.sequence,
 FROM goals g JOIN v_events me ON me.match_id = g.match_id AND me.sequence <= g.sequence
 """, WC_VIEWS, {"goals": GOALS_SQL})
 def possession_break(md: MatchData) -> DataFrame:
-    return P.possession_break(md.events, wc_goals(md))
+    # the chains live inside the goals' matches: read only their competition (pruned)
+    return P.possession_break(wc_events(md), wc_goals(md))
 
 
 BUILDUP_SQL = f"""
@@ -85,7 +86,7 @@ WHERE rn <= {P.CHAIN_LIMIT}"""
 
 
 def buildup(md: MatchData) -> DataFrame:
-    return md.memo("buildup", lambda: P.goal_buildup(md.events, wc_goals(md)))
+    return md.memo("buildup", lambda: P.goal_buildup(wc_events(md), wc_goals(md)))
 
 
 @register("goal_buildup", "SELECT * FROM buildup", WC_VIEWS, {"goals": GOALS_SQL, "buildup": BUILDUP_SQL})
