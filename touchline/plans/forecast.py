@@ -102,7 +102,7 @@ def team_ratings(md: MatchData) -> DataFrame:
 
 # ------------------------------------------------------------------ L5 - L7
 @register("dc_sufficient_stats", """
-SELECT home_team_id, away_team_id, count(*) AS n, sum(home_score) AS shg, sum(away_score) AS sag,
+SELECT home_team_id, away_team_id, count(*) AS n, cast(sum(home_score) AS bigint) AS shg, cast(sum(away_score) AS bigint) AS sag,
        count(*) FILTER (WHERE home_score = 0 AND away_score = 0) AS n00,
        count(*) FILTER (WHERE home_score = 0 AND away_score = 1) AS n01,
        count(*) FILTER (WHERE home_score = 1 AND away_score = 0) AS n10,
@@ -114,7 +114,7 @@ def dc_sufficient_stats(md: MatchData) -> DataFrame:
 
 
 @register("dc_cutoff_stats", """
-SELECT p.r - 1 AS cutoff, m.home_team_id, m.away_team_id, count(*) AS n, sum(m.home_score) AS shg
+SELECT p.r - 1 AS cutoff, m.home_team_id, m.away_team_id, count(*) AS n, cast(sum(m.home_score) AS bigint) AS shg
 FROM (SELECT match_id, row_number() OVER (ORDER BY match_date, match_id) AS r FROM v_matches) p
 JOIN (SELECT *, row_number() OVER (ORDER BY match_date, match_id) AS r FROM v_matches) m ON m.r < p.r
 WHERE m.home_score IS NOT NULL AND m.away_score IS NOT NULL

@@ -104,9 +104,9 @@ def _feed_comp(md: MatchData) -> DataFrame:
 
 @register("team_score_goals", """
 SELECT t.team_id, t.name,
-       coalesce((SELECT sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END)
+       cast(coalesce((SELECT sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END)
                  FROM v_matches m WHERE m.competition_id IN (SELECT competition_id FROM feed_comp)
-                   AND (m.home_team_id = t.team_id OR m.away_team_id = t.team_id)), 0) AS goals
+                   AND (m.home_team_id = t.team_id OR m.away_team_id = t.team_id)), 0) AS bigint) AS goals
 FROM v_teams t WHERE t.source = 'api_football'
 """, ("v_teams", "v_matches", "feed_comp"))
 def team_score_goals(md: MatchData) -> DataFrame:
@@ -180,7 +180,7 @@ register("event_leaderboard_team_passes", _event_leaderboard_sql("team", "passes
 # ------------------------------------------------------------------- I8
 @register("score_goal_leaderboard", f"""
 SELECT name, value, row_number() OVER (ORDER BY value DESC NULLS LAST, name, team_id) AS rank FROM (
-  SELECT t.team_id, t.name, sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END) AS value
+  SELECT t.team_id, t.name, cast(sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END) AS bigint) AS value
   FROM v_matches m JOIN v_teams t ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
   WHERE m.competition_id IN (SELECT competition_id FROM feed_comp)
   GROUP BY t.team_id, t.name ORDER BY value DESC NULLS LAST, t.name, t.team_id LIMIT {LIMIT}) s
