@@ -141,14 +141,14 @@ SELECT request_id, subject_kind, subject, minute_count, day_count, allowed, scop
        CASE WHEN scope = 'minute' THEN minute_limit ELSE day_limit END AS "limit",
        CASE WHEN allowed THEN greatest(0, CASE WHEN scope = 'minute' THEN minute_limit - minute_count ELSE day_limit - day_count END)
             ELSE 0 END AS remaining,
-       CASE WHEN minute_count > minute_limit THEN greatest(1, ceil(epoch(date_trunc('minute', ts)) + 60 - epoch(ts)))
+       cast(CASE WHEN minute_count > minute_limit THEN greatest(1, ceil(epoch(date_trunc('minute', ts)) + 60 - epoch(ts)))
             WHEN day_count > day_limit THEN greatest(1, ceil(epoch(date_trunc('day', ts)) + 86400 - epoch(ts)))
-            ELSE 0 END AS retry_after_seconds
+            ELSE 0 END AS bigint) AS retry_after_seconds
 FROM (SELECT *, NOT (minute_count > minute_limit OR day_count > day_limit) AS allowed,
              CASE WHEN minute_count > minute_limit THEN 'minute' WHEN day_count > day_limit THEN 'day'
                   WHEN day_limit - day_count < minute_limit - minute_count THEN 'day' ELSE 'minute' END AS scope
       FROM (SELECT r.*, l.minute_limit, l.day_limit,
-                   row_number() OVER (PARTITION BY r.subject_kind, r.subject, date_trunc('minute', r.ts) ORDER BY r.ts, r.request_id) AS minute_count,
+                   cast(row_number() OVER (PARTITION BY r.subject_kind, r.subject, date_trunc('minute', r.ts) ORDER BY r.ts, r.request_id) AS integer) AS minute_count,
                    row_number() OVER (PARTITION BY r.subject_kind, r.subject, date_trunc('day', r.ts) ORDER BY r.ts, r.request_id) AS day_count
             FROM r JOIN (SELECT subject_kind, subject,
                                 CASE tier WHEN 'anonymous' THEN 12 WHEN 'user' THEN 30 ELSE 90 END AS minute_limit,
@@ -191,7 +191,7 @@ def validate_follows(md: MatchData) -> DataFrame:
 
 @register("list_follows", """
 SELECT user_id, team_id, player_id, name, created_at,
-       row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, team_id NULLS LAST, player_id NULLS LAST) AS position
+       cast(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, team_id NULLS LAST, player_id NULLS LAST) AS integer) AS position
 FROM (SELECT DISTINCT ON (f.user_id, f.team_id, f.player_id) f.user_id, f.team_id, f.player_id,
              CASE WHEN f.team_id IS NOT NULL THEN coalesce(t.name, f.team_id) ELSE coalesce(p.name, f.player_id) END AS name,
              f.created_at

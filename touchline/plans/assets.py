@@ -203,7 +203,7 @@ def load_clip_metrics(md: MatchData) -> tuple[DataFrame, DataFrame, DataFrame]:
 SELECT 'cv:' || cast(match_id AS varchar) AS clip_id, 'broadcast_cv' AS source, cast(match_id AS varchar) AS clip_name,
        '/videos/Clip_' || cast(match_id AS varchar) || '.MP4' AS source_video,
        CASE WHEN match_id % 3 = 0 THEN NULL ELSE 'CC-BY-4.0' END AS license, NULL::varchar AS license_url,
-       NULL::varchar AS author, 25.0 AS fps, false AS calibrated, 'pixels' AS distance_units, 'pixels_per_second' AS speed_units
+       NULL::varchar AS author, 25.0::double AS fps, false AS calibrated, 'pixels' AS distance_units, 'pixels_per_second' AS speed_units
 FROM (SELECT DISTINCT match_id FROM v_events WHERE location_x IS NOT NULL AND location_y IS NOT NULL) c WHERE match_id % 13 <> 0
 """, ("v_events",))
 def load_clip_metrics_query(md: MatchData) -> DataFrame:

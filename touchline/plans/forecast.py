@@ -64,9 +64,9 @@ def elo_expected_score(md: MatchData) -> DataFrame:
 
 
 @register("elo_result_and_multiplier", """
-SELECT match_id, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END AS home_result,
+SELECT match_id, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END::double AS home_result,
        CASE WHEN abs(home_score - away_score) <= 1 THEN 1.0 WHEN abs(home_score - away_score) = 2 THEN 1.5
-            ELSE (11.0 + abs(home_score - away_score)) / 8.0 END AS multiplier
+            ELSE (11.0 + abs(home_score - away_score)) / 8.0 END::double AS multiplier
 FROM v_matches WHERE home_score IS NOT NULL AND away_score IS NOT NULL
 """, ("v_matches",))
 def elo_result_and_multiplier(md: MatchData) -> DataFrame:

@@ -131,7 +131,7 @@ def _totals_leaderboard(md: MatchData, kind: str, column: str) -> DataFrame:
 
 def _totals_leaderboard_sql(kind: str, column: str) -> str:
     return f"""
-SELECT name, value, shots, row_number() OVER (ORDER BY value DESC NULLS LAST, name, id) AS rank FROM (
+SELECT name, value, shots, cast(row_number() OVER (ORDER BY value DESC NULLS LAST, name, id) AS integer) AS rank FROM (
   SELECT {kind}_name AS name, round({column}, 6) AS value, shot_count AS shots, {kind}_id AS id
   FROM v_{kind}_totals WHERE competition_id IN (SELECT competition_id FROM wc_comp) AND shot_count >= {MIN_SHOTS}
   ORDER BY value DESC NULLS LAST, name, id LIMIT {LIMIT}) s"""
@@ -161,7 +161,7 @@ def _event_leaderboard_sql(kind: str, metric: str) -> str:
     key, name = f"{kind}_id", f"{kind}_name"
     cond = "me.type = 'Shot' AND me.outcome = 'Goal'" if metric == "goals" else "me.type = 'Pass'"
     return f"""
-SELECT name, value, shots, row_number() OVER (ORDER BY value DESC, name, id) AS rank FROM (
+SELECT name, value, shots, cast(row_number() OVER (ORDER BY value DESC, name, id) AS integer) AS rank FROM (
   SELECT me.{key} AS id, max(me.{name}) AS name, count(*) AS value, coalesce(max(tt.shot_count), 0) AS shots
   FROM v_events me
   LEFT JOIN (SELECT * FROM v_{kind}_totals WHERE competition_id IN (SELECT competition_id FROM wc_comp)) tt
@@ -179,7 +179,7 @@ register("event_leaderboard_team_passes", _event_leaderboard_sql("team", "passes
 
 # ------------------------------------------------------------------- I8
 @register("score_goal_leaderboard", f"""
-SELECT name, value, row_number() OVER (ORDER BY value DESC NULLS LAST, name, team_id) AS rank FROM (
+SELECT name, value, cast(row_number() OVER (ORDER BY value DESC NULLS LAST, name, team_id) AS integer) AS rank FROM (
   SELECT t.team_id, t.name, cast(sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END) AS bigint) AS value
   FROM v_matches m JOIN v_teams t ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
   WHERE m.competition_id IN (SELECT competition_id FROM feed_comp)

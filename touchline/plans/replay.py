@@ -64,8 +64,8 @@ def list_goals(md: MatchData) -> DataFrame:
 
 @register("possession_break", """
 SELECT g.event_id AS goal_id, me.event_id, me.sequence,
-       sum(CASE WHEN me.possession_team_id IS DISTINCT FROM g.possession_team_id THEN 1 ELSE 0 END)
-         OVER (PARTITION BY g.event_id ORDER BY me.sequence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS possession_break
+       cast(sum(CASE WHEN me.possession_team_id IS DISTINCT FROM g.possession_team_id THEN 1 ELSE 0 END)
+         OVER (PARTITION BY g.event_id ORDER BY me.sequence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS possession_break
 FROM goals g JOIN v_events me ON me.match_id = g.match_id AND me.sequence <= g.sequence
 """, WC_VIEWS, {"goals": GOALS_SQL})
 def possession_break(md: MatchData) -> DataFrame:

@@ -54,7 +54,7 @@ def cosine_distance(md: MatchData) -> DataFrame:
 
 # ------------------------------------------------------------------- O2
 @register("glossary_top_k", f"""
-SELECT query_id, entry_id, round(distance, 6) AS distance, rank FROM (
+SELECT query_id, entry_id, round(distance, 6) AS distance, cast(rank AS integer) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS entry_id,
          1.0 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])
              / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))
@@ -103,7 +103,8 @@ def semantic_cache_nearest(md: MatchData) -> DataFrame:
 
 # ------------------------------------------------------------------- O4
 @register("embedding_dimension_check", f"""
-SELECT len(embedding) AS dimension, count(*) AS vectors, len(embedding) = {DIM} AS ok FROM embeddings GROUP BY 1
+SELECT dimension, count(*) AS vectors, dimension = {DIM} AS ok
+FROM (SELECT cast(len(embedding) AS integer) AS dimension FROM embeddings) v GROUP BY dimension
 """)
 def embedding_dimension_check(md: MatchData) -> DataFrame:
     return V.dimension_check(_embeddings(md), "embedding", DIM)
@@ -239,7 +240,7 @@ def match_expected_row(md: MatchData) -> DataFrame:
 
 
 @register("nearest_rank_percentile", """
-SELECT quantile_disc(latency_ms, 0.95) AS p95_latency_ms, quantile_disc(latency_ms, 0.5) AS p50_latency_ms FROM ev
+SELECT cast(quantile_disc(latency_ms, 0.95) AS double) AS p95_latency_ms, cast(quantile_disc(latency_ms, 0.5) AS double) AS p50_latency_ms FROM ev
 """, ("v_matches", "v_competitions"), {"ev": EVAL_SQL})
 def nearest_rank_percentile(md: MatchData) -> DataFrame:
     ev = _eval_results(md)
@@ -308,7 +309,7 @@ def statement_screen(md: MatchData) -> DataFrame:
 
 
 @register("row_cap", f"""
-SELECT doc_id, least(floor(n_chars / 3), {C.ROW_CAP}) AS effective_limit,
+SELECT doc_id, cast(least(floor(n_chars / 3), {C.ROW_CAP}) AS bigint) AS effective_limit,
        least(len(regexp_split_to_array(text, '\\n')), least(floor(n_chars / 3), {C.ROW_CAP})) >= least(floor(n_chars / 3), {C.ROW_CAP}) AS truncated
 FROM documents
 """)

@@ -379,7 +379,7 @@ view("v_elo_pre", """
 SELECT match_id, home_pre AS home_elo_pre, away_pre AS away_elo_pre FROM v_elo_walk WHERE r > 0
 """, "v_elo_walk")
 view("v_elo_final", """
-SELECT t.team_id, round(w.ratings[t.ti], 2) AS elo_rating, w.played[t.ti] AS matches_played
+SELECT t.team_id, round(w.ratings[t.ti], 2) AS elo_rating, cast(w.played[t.ti] AS bigint) AS matches_played
 FROM (SELECT * FROM v_elo_walk ORDER BY r DESC LIMIT 1) w, v_elo_teams t WHERE w.played[t.ti] > 0
 """, "v_elo_walk", "v_elo_teams")
 view("v_elo_rates", """

@@ -222,9 +222,9 @@ FROM v_spadl WINDOW wm AS (PARTITION BY match_id ORDER BY action_order)"""
 
 @register("vaep_goal_score", """
 SELECT action_id,
-       CASE WHEN is_a THEN sa ELSE sb END AS goalscore_team,
-       CASE WHEN is_a THEN sb ELSE sa END AS goalscore_opponent,
-       CASE WHEN is_a THEN sa - sb ELSE sb - sa END AS goalscore_diff
+       cast(CASE WHEN is_a THEN sa ELSE sb END AS bigint) AS goalscore_team,
+       cast(CASE WHEN is_a THEN sb ELSE sa END AS bigint) AS goalscore_opponent,
+       cast(CASE WHEN is_a THEN sa - sb ELSE sb - sa END AS bigint) AS goalscore_diff
 FROM (SELECT action_id, is_a,
              coalesce(sum(CASE WHEN (goal AND is_a) OR (own AND NOT is_a) THEN 1 ELSE 0 END)
                       OVER (PARTITION BY match_id ORDER BY action_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sa,
