@@ -1,0 +1,224 @@
+"""Each dealt operator against a brute-force version, on the smallest table
+and on a table of odd rows (null ids and texts, empty and long texts, ties,
+repeated rows, clashing column names), and on an empty table."""
+import re
+import zlib
+from collections import Counter
+
+import brute
+import pytest
+
+from touchline.llm import fingerprints, licenses, quality, secrets, simhash, urls
+
+
+@pytest.fixture(params=["small_docs", "odd_docs"])
+def docs(request):
+    return request.getfixturevalue(request.param)
+
+
+def test_simhash(docs, texts):
+    rows = texts(docs)
+    fps = {d: brute.simhash(t) for d, t in rows if d is not None}
+    own = brute.components(fps)
+    got = simhash.op1_simhash(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", own[r.doc_id])
+
+
+def test_simhash_crowded_buckets_lose_no_link(spark):
+    import random
+
+    rng = random.Random(5)
+    fps, centre = set(), rng.getrandbits(64)
+    for _ in range(300):  # a chain of close fingerprints and a tight ball
+        centre ^= 1 << rng.randrange(64) | 1 << rng.randrange(64)
+        fps.add(centre)
+        fps.add(centre ^ 1 << rng.randrange(64))
+    fps |= {rng.getrandbits(64) for _ in range(300)}
+    own = brute.components({f: f for f in fps})
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    df = spark.createDataFrame(signed, "fp long")
+    from touchline.llm.common import components
+
+    for hot in (10_000, 5):  # below and above the bound that cuts buckets again
+        tied = {r.node % (1 << 64): r.root % (1 << 64) for r in components(simhash.links(df, 4, hot)).collect()}
+        groups = {f: tied.get(f, f) for f in fps}
+        assert len(set(groups.values())) == len(set(own.values()))
+        assert len({(own[f], groups[f]) for f in fps}) == len(set(own.values()))
+
+
+def shingles(text, k=5):
+    words = brute.WORD.findall(text or "")
+    return {" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints(docs, texts):
+    rows = sorted(((d, t or "") for d, t in texts(docs) if d is not None), key=lambda r: r[0])
+    if len({d for d, _ in rows}) < len(rows):
+        rows = sorted(dict(rows).items())
+        docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = {r.doc_id: r for r in fingerprints.op2_fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    off = []
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        n = len(t) // 4
+        edited = t[:len(t) - n] + after[:n]
+        assert (got[d].n_chars, got[d].edited_sha256) == (len(t), brute.sha(edited))
+        off.append(abs(got[d].near_edited - jaccard(shingles(t), shingles(edited))))
+        off.append(abs(got[d].near_next - jaccard(shingles(t), shingles(after))))
+        assert (got[d].fingerprint == got[rows[(i + 1) % len(rows)][0]].fingerprint) == (got[d].near_next == 1.0)
+    assert max(off) < 0.12 and sum(off) / len(off) < 0.02
+    by_text = {}
+    for d, t in rows:
+        assert by_text.setdefault(t, got[d].fingerprint) == got[d].fingerprint
+
+
+def test_fingerprint_edges(odd_docs, no_docs):
+    assert fingerprints.op2_fingerprints(odd_docs).count() == odd_docs.count()
+    assert fingerprints.op2_fingerprints(no_docs).count() == 0
+    only = odd_docs.filter("doc_id = 15").limit(1)
+    row = fingerprints.op2_fingerprints(only).first()
+    assert row.near_next == 1.0
+    assert {len(r.fingerprint) for r in fingerprints.fingerprint(odd_docs).collect()} == {256}
+
+
+def test_secrets(docs, texts):
+    rows = texts(docs)
+    want = Counter((d, brute.listed(brute.base_spans(t))) for d, t in rows)
+    found = secrets.scan(docs).collect()
+    assert Counter((r.doc_id, brute.listed([(s.start, s.kind, s.end) for s in r.base])) for r in found) == want
+    for r in secrets.op3_secrets(docs).collect():
+        spans = r.spans.split(",") if r.spans else []
+        base = [s for s in spans if not s.startswith("entropy")]
+        assert brute.sha(",".join(base)) == r.base_sha256
+        assert [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")] == [r.n_assign, r.n_access, r.n_hex]
+    text_of = {}
+    for d, t in rows:
+        text_of.setdefault(d, t or "")
+    for r in found:
+        for s in r.added:
+            if r.doc_id is not None:
+                assert text_of[r.doc_id][s.start:s.end] == s.text and len(s.text) >= 20
+
+
+def test_entropy_by_counts(spark):
+    import random
+
+    rng = random.Random(3)
+    signs = "ABCDEFabcdef0123456789+/_=-xyz"
+    tokens = ["".join(rng.choices(signs[:rng.randint(2, 30)], k=rng.randint(20, 60))) for _ in range(60)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets._peak_entropy(F.col("t"), 20).alias("h"))
+    for r in df.collect():
+        assert abs(r.h - brute.peak_entropy(r.t)) < 1e-9
+
+
+def test_entropy_spans_and_allow_list(odd_docs):
+    found = {r.doc_id: [s.text for s in r.added] for r in secrets.scan(odd_docs).collect()}
+    assert found[16 * 3] == ["gH7kQ2vX9pLm4Rt8ZsW1"]  # the UUID and the repeated letter are allowed
+
+
+def test_redact(odd_docs):
+    rows = {r.doc_id: r.text for r in secrets.redact(odd_docs).collect()}
+    assert rows[0] is None and rows[3] == ""
+    assert rows[16 * 3].startswith("session [secret] and 123e")
+    assert not brute.base_spans(rows[15 * 3]) and secrets.redact(odd_docs).columns == odd_docs.columns
+
+
+def test_quality(docs, texts):
+    want = Counter((d, *brute.quality(t)) for d, t in texts(docs))
+    got = quality.op8_quality(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_host_verdicts(spark):
+    good = " ".join(f"plain{i}" for i in range(40))
+    rows = [(i, good, "fine") for i in range(40)] + [(100 + i, "short", "bad") for i in range(40)] + [(200, good, "bad"), (300, good, None), (301, good, "new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in quality.op8_quality(df).collect()}
+    assert kept[0] and not kept[100] and not kept[200] and kept[300] and kept[301]
+
+
+def test_url_rules(spark):
+    odd = [None, "", "no scheme", "http://A.Example.COM/en/x?y#z", "https://www.example.com/en/", "ftp://net/fr/", "x://sub.net/es/a", "http://com", "http://com/",
+           "http://notexample.com/en/", "a://b://c/d", "http://h?x=/en/", "http://h#/", "http://www.example.com/en", "://e.net/fr/é\n/x"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(odd)], "page_id long, url string, label string")
+    small = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").selectExpr("page_id + 1000 AS page_id", "url", "html AS label")
+    both = pages.union(small)
+    url_of = {r.page_id: r.url for r in both.collect()}
+    got = urls.op7_urls(both).collect()
+    assert len(got) == len(url_of)
+    block = {r: v for v, r in brute.RULES}
+    for r in got:
+        assert (r.host, r.path, r.rule) == brute.url_rule(url_of[r.page_id])
+        assert r.verdict == block[r.rule] if r.rule else r.verdict in ("allow", "block")
+    assert urls.op7_urls(both.limit(0)).count() == 0
+    assert {r.verdict for r in urls.op7_urls(pages.filter("page_id < 3")).collect()} == {"allow"}
+
+
+def test_url_trees_learn(spark):
+    """URLs like the labelled ones get their verdict."""
+    rows = [(i, f"http://a{i % 50}.net/{'fr' if i % 2 else 'de'}/{i}") for i in range(400)] + [(1000 + i, f"http://b{i}.com/de/{i}") for i in range(200)]
+    got = urls.op7_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert all(r.verdict == "block" for r in got if r.rule == "net/fr/")
+    assert all(r.p_block is not None and 0 <= r.p_block <= 1 for r in got if r.rule is None)
+
+
+def test_url_entropy(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    for r in spark.createDataFrame([("aab",), ("",), ("abcd",)], "t string").select("t", urls._entropy(F.col("t")).alias("h")).collect():
+        want = -sum(r.t.count(c) / len(r.t) * math.log2(r.t.count(c) / len(r.t)) for c in set(r.t)) if r.t else 0.0
+        assert abs(r.h - want) < 1e-12
+
+
+def brute_licenses(text):
+    parts = re.split(r"[.!?;:]+(?=\s|$)|\n", text or "")
+    ids = [licenses.SENTENCES[n] for n in (re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in parts) if n in licenses.SENTENCES]
+    path = ">" + ">".join(ids) + ">"
+    names = set()
+    for name, rule in licenses.RULES:
+        larger = [o for label, o in licenses.RULES if label != name and len(o) > len(rule) and ">".join(rule) in ">".join(o)]
+        if f">{'>'.join(rule)}>" in path and not any(f">{'>'.join(o)}>" in path for o in larger):
+            names.add(name)
+    return len(ids), ",".join(ids), ",".join(sorted(names))
+
+
+def test_licenses(docs, texts):
+    docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = {d: brute_licenses(t) for d, t in texts(docs)}
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in licenses.op10_licenses(docs).collect()}
+    assert got == want
+
+
+def test_license_sequences(spark):
+    sentence = {}
+    for s, i in licenses.SENTENCES.items():
+        sentence.setdefault(i, s)
+    texts = [". ".join(sentence[i] for i in rule) + "." for _, rule in licenses.RULES]
+    texts.append(". ".join(sentence[i] for i in ("bsd_source", "bsd_grant")))  # out of order: no licence
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.op10_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in licenses.RULES] + [""]
+
+
+def test_license_markers_cover_every_sentence():
+    assert all(re.search(licenses.MARKERS, s) for s in licenses.SENTENCES)
+
+
+def test_empty_tables(no_docs):
+    assert simhash.op1_simhash(no_docs).count() == 0
+    assert secrets.op3_secrets(no_docs).count() == 0
+    assert quality.op8_quality(no_docs).count() == 0
+    assert licenses.op10_licenses(no_docs).count() == 0

@@ -14,9 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -87,15 +86,18 @@ class Recent(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
 
 # ---------------------------------------------------------------- word hashes
 
@@ -202,11 +204,3 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def long_type(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))

@@ -24,6 +24,13 @@ def _over(table: str, module: str, function: str) -> Callable[[SparkSession, str
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": _over("documents", "simhash", "op1_simhash"),
+    "op2_fingerprints": _over("documents", "fingerprints", "op2_fingerprints"),
+    "op3_secrets": _over("documents", "secrets", "op3_secrets"),
+    "op5_packing": _over("documents", "packing", "op5_packing"),
+    "op7_urls": _over("pages", "urls", "op7_urls"),
+    "op8_quality": _over("documents", "quality", "op8_quality"),
+    "op9_pieces": _over("documents", "pieces", "op9_pieces"),
+    "op10_licenses": _over("documents", "licenses", "op10_licenses"),
 }
 
 ORACLE: dict[str, str] = {}
