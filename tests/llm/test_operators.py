@@ -74,7 +74,7 @@ def test_fingerprints(docs, texts):
         off.append(abs(got[d].near_edited - jaccard(shingles(t), shingles(edited))))
         off.append(abs(got[d].near_next - jaccard(shingles(t), shingles(after))))
         assert (got[d].fingerprint == got[rows[(i + 1) % len(rows)][0]].fingerprint) == (got[d].near_next == 1.0)
-    assert max(off) < 0.12 and sum(off) / len(off) < 0.02
+    assert sum(off) / len(off) < 0.02 and max(off) < 0.15, sorted(off)[-5:]
     by_text = {}
     for d, t in rows:
         assert by_text.setdefault(t, got[d].fingerprint) == got[d].fingerprint

@@ -49,8 +49,9 @@ def densify(values: np.ndarray, filled: np.ndarray) -> None:
         empty = empty[~good]
         if not empty.size:
             return
-    have = np.flatnonzero(filled)  # still empty after all draws: the next filled bin round the ring
-    values[empty] = values[have[np.searchsorted(have, empty) % have.size]]
+    have = np.flatnonzero(filled)  # few are filled: the one that comes first in the empty bin's own shared order
+    order = mix(empty.astype(np.uint64)[:, None] << np.uint64(32) | have.astype(np.uint64)[None, :])
+    values[empty] = values[have[order.argmin(1)]]
 
 
 def sketches(texts: list[bytes], shingle: int = SHINGLE, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:

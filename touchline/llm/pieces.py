@@ -111,15 +111,18 @@ class Pieces:
         self.symbols = {c for p in self.rank for c in p}
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
-            self.automaton.add_word(p, (len(p), i))
+            self.automaton.add_word(p, (len(p) - 1, i))
         self.automaton.make_automaton()
         self.shorter = {}  # piece id -> its longest proper prefix that is a piece
         for p, (_, i) in self.rank.items():
             cut = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.rank), None)
             self.shorter[i] = self.rank[cut][1] if cut else None
         self.known = re.compile("[" + "".join(re.escape(c) for c in sorted(self.symbols)) + "]+|[^" + "".join(re.escape(c) for c in sorted(self.symbols)) + "]")
+        self.size = [len(p) for p in self.pieces]
+        self.start = len(self.pieces)  # stands for the start of a text in a pair
         self.pairs = Recent(self._compatible, 200_000)
-        self.chunks = Recent(self._chunk, 120_000)
+        self.chunks = Recent(self._chunk, 200_000)
+        self.written = {str(i): b for i, b in enumerate(self.bytes_of)}
         self.cut = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
     @classmethod
@@ -144,43 +147,41 @@ class Pieces:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        """Does the pair re-merge to itself? (-1: the start of the text)"""
-        own = [self.pieces[i] for i in pair if i >= 0]
+    def _compatible(self, pair: int) -> bool:
+        """Does the pair (first << 20 | second) re-merge to itself?"""
+        own = [self.pieces[i] for i in (pair >> 20, pair & 0xFFFFF) if i != self.start]
         return self.merged("".join(own)) == own
 
     # -- encoding
     def _run(self, text: str) -> list[int]:
         """Pieces of a text whose characters are all in the vocabulary."""
-        n = len(text)
-        longest: list[int | None] = [None] * n
-        width = [0] * n
-        for end, (size, i) in self.automaton.iter(text):
-            start = end - size + 1
-            if size > width[start]:
-                width[start], longest[start] = size, i
-        pieces, shorter, pairs = self.pieces, self.shorter, self.pairs
+        longest: list[int | None] = [None] * (len(text) + 1)
+        for end, (back, i) in self.automaton.iter(text):
+            longest[end - back] = i  # matches come by their end, so the longest comes last
+        size, shorter, pairs, n = self.size, self.shorter, self.pairs, len(text)
         dead = 0  # bit p: no way from position p to the end
         out: list[int] = []
-        at, piece = 0, longest[0]
+        at, piece, last = 0, longest[0], self.start
         while at < n:
             if piece is None:  # nothing fits here: give the last piece back
                 dead |= 1 << at
                 if not out:
                     raise ValueError("the vocabulary is not closed under merging")
                 piece = out.pop()
-                at -= len(pieces[piece])
-            end = at + len(pieces[piece])
-            if not dead >> end & 1 and pairs[(out[-1] if out else -1, piece)]:
+                at -= size[piece]
+                last = out[-1] if out else self.start
+            end = at + size[piece]
+            if not (dead and dead >> end & 1) and pairs[last << 20 | piece]:
                 out.append(piece)
-                at = end
-                piece = longest[at] if at < n else None
+                at, last, piece = end, piece, longest[end]
             else:
                 piece = shorter[piece]
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of normalized text without a dummy prefix."""
+        if self.symbols.issuperset(chunk):
+            return self._run(chunk)
         out: list[int] = []
         for part in self.known.findall(chunk):
             if part[0] in self.symbols:
@@ -191,20 +192,18 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
-        ids = self.encode_chunk(chunk.replace(" ", META))
-        return ",".join(map(str, ids)), len(ids), b"".join([self.bytes_of[i] for i in ids])
+    def _chunk(self, chunk: str) -> str:
+        return ",".join(map(str, self.encode_chunk(chunk.replace(" ", META))))
 
-    def parts(self, text: str) -> list[tuple[str, int, bytes]]:
-        """(ids joined by commas, their number, their decoded bytes) of each
-        chunk of a text."""
+    def ids_of(self, text: str) -> str:
+        """Ids of a text, joined by commas: its chunks' ids, one after the other."""
         if not text:
-            return []
+            return ""
         chunks = self.chunks
-        return [chunks[c] for c in self.cut.findall(" " + text.replace(META, " "))]
+        return ",".join([chunks[c] for c in self.cut.findall(" " + text.replace(META, " "))])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, n, _ in self.parts(text) for i in ids.split(",") if n]
+        return [int(i) for i in self.ids_of(text).split(",")] if text else []
 
     # -- decoding
     def decode(self, ids: list[int]) -> str:
@@ -213,10 +212,13 @@ class Pieces:
         text = b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if ids and self.pieces[ids[0]][:1] == META else text
 
-    @staticmethod
-    def finish(parts: list[bytes]) -> str:
-        """Decoded text of the chunks of one text, which start with the dummy space."""
-        return b"".join(parts)[1:].decode("utf-8", "replace")
+    def text_of(self, ids: str) -> str:
+        """:meth:`decode` of ids joined by commas."""
+        if not ids:
+            return ""
+        written = self.written
+        text = b"".join([written[i] for i in ids.split(",")]).decode("utf-8", "replace")
+        return text[1:] if self.pieces[int(ids.partition(",")[0])][:1] == META else text
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,10 +260,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in slices(batches):
             count, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = model.parts(text)
-                count.append(sum([p[1] for p in parts]))
-                ids.append(sha(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded.append(sha(model.finish([p[2] for p in parts]).encode()).hexdigest())
+                own = model.ids_of(text)
+                count.append(own.count(",") + 1 if own else 0)
+                ids.append(sha(own.encode()).hexdigest())
+                decoded.append(sha(model.text_of(own).encode()).hexdigest())
             yield frame(batch, ["doc_id"], n_tokens=pa.array(count, pa.int64()), ids_sha256=pa.array(ids),
                         decoded_sha256=pa.array(decoded))
 

@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": _over("documents", "fingerprints", "op2_fingerprints"),
     "op3_secrets": _over("documents", "secrets", "op3_secrets"),
     "op5_packing": _over("documents", "packing", "op5_packing"),
+    "op6_language": _over("documents", "langid", "op6_language"),
     "op7_urls": _over("pages", "urls", "op7_urls"),
     "op8_quality": _over("documents", "quality", "op8_quality"),
     "op9_pieces": _over("documents", "pieces", "op9_pieces"),
