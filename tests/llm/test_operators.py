@@ -8,7 +8,7 @@ from collections import Counter
 import brute
 import pytest
 
-from touchline.llm import fingerprints, licenses, quality, secrets, simhash, urls
+from touchline.llm import fingerprints, langid, licenses, packing, pieces, quality, secrets, simhash, substrings, urls
 
 
 @pytest.fixture(params=["small_docs", "odd_docs"])
@@ -222,3 +222,142 @@ def test_empty_tables(no_docs):
     assert secrets.op3_secrets(no_docs).count() == 0
     assert quality.op8_quality(no_docs).count() == 0
     assert licenses.op10_licenses(no_docs).count() == 0
+    assert substrings.op4_substrings(no_docs).count() == 0
+    assert packing.op5_packing(no_docs).count() == 0
+    assert langid.op6_language(no_docs).count() == 0
+    assert pieces.op9_pieces(no_docs).count() == 0
+
+
+def test_substrings(docs, texts):
+    rows = texts(docs)
+    want = Counter((d, n, gone, brute.sha(kept)) for (d, _), (n, gone, kept) in zip(rows, brute.remove_repeats(rows)))
+    assert Counter(tuple(r) for r in substrings.op4_substrings(docs).collect()) == want
+
+
+def test_substrings_branching(spark):
+    """Parts of one passage cut at many places, overlapping themselves and each other."""
+    import random
+
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        a, n = rng.randrange(160), rng.randint(20, 120)
+        own = [f"d{i}_{j}" for j in range(rng.randrange(40))]
+        text = own + passage[a:a + n] + own[::-1] + (passage[a:a + n] if i % 7 == 0 else []) + ["z"] * rng.randrange(90)
+        rows.append((i, "  ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {(d, n, gone, brute.sha(kept)) for (d, _), (n, gone, kept) in zip(rows, brute.remove_repeats(rows))}
+    assert {tuple(r) for r in substrings.op4_substrings(df).collect()} == want
+
+
+def test_packing(docs, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    rows = texts(docs)
+    want = Counter((d, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*tok.encode(t or "", add_special_tokens=False).ids, 2]))) for d, t in rows)
+    pieces_of = packing.pack(docs, packing.tokenizer_path(), range_tokens=50_000).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces_of:
+        assert len(p.ids) == 4 * p.length > 0
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+        by_doc.setdefault(p.doc_id, []).append(p)
+    padding = 0
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        at = 0
+        for p in own:
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding == 0
+    single = {d: own for d, own in by_doc.items() if sum(1 for e, _ in rows if e == d) == 1}
+    for d, own in single.items():
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))]
+        assert sum(p.length for p in own) == own[0].doc_tokens
+        assert want[(d, zlib.crc32(b"".join(p.ids for p in own)))] == 1
+    assert sum(p.length for p in pieces_of) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_hilbert_curve_is_a_walk():
+    import numpy as np
+
+    order, side = 3, 8
+    cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])
+    keys = packing.hilbert_keys(cells, order)
+    walk = cells[np.argsort(keys)]
+    assert sorted(keys.tolist()) == list(range(side ** 3))
+    assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+def test_language_held_out(small_docs):
+    got = small_docs.select("doc_id", "lang").join(langid.op6_language(small_docs), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd_rows(odd_docs, texts):
+    got = Counter((r.doc_id, r.lang_pred == "und") for r in langid.op6_language(odd_docs).collect())
+    assert got == Counter((d, not any(c.isalpha() for c in t or "")) for d, t in texts(odd_docs))
+
+
+def test_language_sums_segmentations():
+    """Forward sums against all segmentations written out."""
+    import numpy as np
+
+    lattice = langid.Lattice(pieces.model_path())
+    rng = np.random.default_rng(1)
+    table = rng.random((len(lattice.pieces), 2)) / 1000
+    number = {p: i for i, p in enumerate(lattice.pieces)}
+
+    def ways(text):
+        if not text:
+            return np.ones(2)
+        out = ways(text[1:]) * langid.UNKNOWN_CHAR
+        for n in range(1, len(text) + 1):
+            if text[:n] in number:
+                out = out + table[number[text[:n]]] * ways(text[n:])
+        return out
+
+    words = ["the", "station", "a", "heit", "漢字", "éa"]
+    got = lattice.log_scores(words, table)
+    for word, row in zip(words, got):
+        assert np.allclose(row, np.log(ways(pieces.META + word)))
+
+
+def test_pieces_match_the_library(docs, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = Counter()
+    for d, t in texts(docs):
+        ids = sp.encode(t or "")
+        want[(d, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(sp.decode(ids)))] += 1
+    assert Counter(tuple(r) for r in pieces.op9_pieces(docs).collect()) == want
+
+
+def test_pieces_fuzz():
+    import random
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    model, rng = pieces.Pieces.of(pieces.model_path()), random.Random(4)
+    signs = [*"abcdefghijklmnop  \n\n\t▁éß漢😀.,'-#0123THE", "the", "ing", "   ", "́", "<s>", "<0x0A>", "\x00", "aaaa", "----", "===="]
+    for _ in range(5000):
+        text = "".join(rng.choices(signs, k=rng.randint(0, 40)))
+        ids = sp.encode(text)
+        assert model.encode(text) == ids and model.decode(ids) == sp.decode(ids)
+
+
+def test_pieces_encode_and_decode(odd_docs, texts):
+    path = pieces.model_path()
+    back = pieces.decode(pieces.encode(odd_docs, path), path)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((d, t or "") for d, t in texts(odd_docs))

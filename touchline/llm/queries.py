@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": _over("documents", "simhash", "op1_simhash"),
     "op2_fingerprints": _over("documents", "fingerprints", "op2_fingerprints"),
     "op3_secrets": _over("documents", "secrets", "op3_secrets"),
+    "op4_substrings": _over("documents", "substrings", "op4_substrings"),
     "op5_packing": _over("documents", "packing", "op5_packing"),
     "op6_language": _over("documents", "langid", "op6_language"),
     "op7_urls": _over("pages", "urls", "op7_urls"),
