@@ -95,8 +95,10 @@ def row_cap(requested: Column, rows: Column, cap: int = ROW_CAP) -> tuple[Column
 
 
 def token_cost(inp: Column, out: Column, read: Column, write: Column) -> Column:
-    """Tokens x unit prices; missing or negative counts are 0."""
+    """Tokens x unit prices; missing, negative or not finite counts are 0,
+    others are rounded to whole tokens (halves up)."""
     def z(c):
-        return F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))
+        n = c.cast("double")
+        return F.when((n >= 0) & (n < float("inf")), F.floor(n + 0.5).cast("double")).otherwise(F.lit(0.0))
     return (z(inp) * PRICES["input"] + z(out) * PRICES["output"] + z(read) * PRICES["cache_read"]
             + z(write) * PRICES["cache_write"]) / 1e6

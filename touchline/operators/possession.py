@@ -101,8 +101,10 @@ def goal_freeze_frame(goals: DataFrame, frames: DataFrame, limit: int = FREEZE_L
 
 
 def goal_timeline(buildup: DataFrame, goals: DataFrame) -> DataFrame:
-    """K6: 18 linear steps between consecutive chain points; the last point of
-    the chain moves to the shot's end when known; a single point is kept."""
+    """K6: ``TIMELINE_STEPS`` frames from each chain point towards the next (at
+    t = step / steps), then the last point itself. The chain ends at the
+    shot's end when that is known; a single point is one frame. ``frame`` runs
+    through the goal."""
     w = Window.partitionBy("goal_id").orderBy("sequence")
     end = goals.select(F.col("event_id").alias("goal_id"), F.col("end_location_x").alias("gx"),
                        F.col("end_location_y").alias("gy"))
@@ -110,15 +112,15 @@ def goal_timeline(buildup: DataFrame, goals: DataFrame) -> DataFrame:
     pts = pts.select(
         "goal_id", "sequence", F.col("location_x").alias("x0"), F.col("location_y").alias("y0"),
         F.lead("location_x").over(w).alias("nx"), F.lead("location_y").over(w).alias("ny"),
-        F.count(F.lit(1)).over(Window.partitionBy("goal_id")).alias("n"), "gx", "gy")
+        (F.row_number().over(w) - 1).alias("segment"), "gx", "gy")
     is_last = F.col("nx").isNull()
     x1 = F.when(is_last, F.coalesce("gx", "x0")).otherwise(F.col("nx"))
     y1 = F.when(is_last, F.coalesce("gy", "y0")).otherwise(F.col("ny"))
-    seg = pts.select("goal_id", "sequence", "x0", "y0", x1.alias("x1"), y1.alias("y1"), "n",
-                     (is_last & F.col("gx").isNull()).alias("static"))
-    steps = seg.select("*", F.explode(F.when(F.col("static"), F.array(F.lit(0)))
-                                      .otherwise(F.sequence(F.lit(0), F.lit(TIMELINE_STEPS - 1)))).alias("step"))
-    t = F.col("step") / float(TIMELINE_STEPS - 1)
-    return steps.select("goal_id", "sequence", "step",
+    # the last row closes the timeline: at its own point, or at the shot's end
+    final_step = F.when(~is_last, TIMELINE_STEPS - 1).when(F.col("gx").isNull(), 0).otherwise(TIMELINE_STEPS)
+    steps = pts.select("goal_id", "sequence", "segment", "x0", "y0", x1.alias("x1"), y1.alias("y1"),
+                       F.explode(F.sequence(F.lit(0), final_step)).alias("step"))
+    t = F.col("step") / float(TIMELINE_STEPS)
+    return steps.select("goal_id", "sequence", "step", (F.col("segment") * TIMELINE_STEPS + F.col("step")).alias("frame"),
                         (F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"),
                         (F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"))

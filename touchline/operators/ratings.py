@@ -58,7 +58,7 @@ def margin_multiplier(hg: Column, ag: Column) -> Column:
 
 
 # -------------------------------------------------------- connected components
-def team_components(matches: DataFrame, max_rounds: int = 64) -> DataFrame:
+def team_components(matches: DataFrame) -> DataFrame:
     """(team_id, component) by min-label propagation over home/away edges.
 
     Each round is one join + aggregation over the edge list; the label table
@@ -69,7 +69,7 @@ def team_components(matches: DataFrame, max_rounds: int = 64) -> DataFrame:
     edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint(eager=True)
     labels = edges.select(F.col("a").alias("team_id")).distinct().withColumn("component", F.col("team_id"))
     labels = labels.checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # ends when a round changes no label
         nb = (edges.join(labels.withColumnRenamed("team_id", "b"), "b")
               .groupBy(F.col("a").alias("team_id")).agg(F.min("component").alias("nb")))
         # each round's labels are cut from the lineage, so a round never
@@ -318,30 +318,40 @@ def fit_pairs(pdf: pd.DataFrame, max_iter: int = 500, gtol: float = 1e-5):
         return _nll_grad(t, hi, ai, arr["n"], arr["shg"], arr["sag"], arr["n00"], arr["n01"], arr["n10"], arr["n11"], nt)
 
     val, g = f(theta)
-    hinv = np.eye(len(theta))
+    hinv, free = np.eye(len(theta)), np.ones(len(theta), bool)
     for _ in range(max_iter):
-        free = ~(((theta <= lo) & (g > 0)) | ((theta >= hi_b) & (g < 0)))
-        if np.max(np.abs(g[free]), initial=0.0) < gtol:
+        now = ~(((theta <= lo) & (g > 0)) | ((theta >= hi_b) & (g < 0)))
+        if np.max(np.abs(g[now]), initial=0.0) < gtol:
             break
-        d = -hinv @ g
-        d[~free] = 0.0
+        if (now != free).any():  # curvature is kept for the free parameters only
+            hinv, free = np.eye(len(theta)), now
+        d = np.where(free, -hinv @ np.where(free, g, 0.0), 0.0)
         if g @ d >= 0:
             hinv = np.eye(len(theta))
-            d = -g * free
+            d = np.where(free, -g, 0.0)
         step = 1.0
-        while True:
+        while step > 1e-12:
             cand = np.clip(theta + step * d, lo, hi_b)
             cv, cg = f(cand)
-            if cv <= val + 1e-4 * (g @ (cand - theta)) or step < 1e-10:
+            if cv <= val + 1e-4 * (g @ (cand - theta)):
                 break
             step *= 0.5
-        s, y = cand - theta, cg - g
+        else:
+            if np.max(np.abs(g[free])) < 1e-3:
+                break  # at the rounding of the likelihood: no smaller value can be told apart
+            if (hinv == np.eye(len(theta))).all():
+                raise RuntimeError(f"no descent step found (gradient {np.max(np.abs(g[free])):.3g})")
+            hinv = np.eye(len(theta))
+            continue
+        s, y = cand - theta, np.where(free, cg - g, 0.0)
         theta, val, g = cand, cv, cg
         sy = s @ y
         if sy > 1e-12:
             rho_ = 1.0 / sy
             eye = np.eye(len(theta))
             hinv = (eye - rho_ * np.outer(s, y)) @ hinv @ (eye - rho_ * np.outer(y, s)) + rho_ * np.outer(s, s)
+    else:
+        raise RuntimeError(f"the fit did not converge in {max_iter} iterations")
     return teams, theta, n_matches
 
 
@@ -448,8 +458,10 @@ def knockout_title_odds(first_round: DataFrame, three_way) -> DataFrame:
     One join on the block key + one aggregation per round (log2 n rounds); the
     rows are the bracket's possible pairings only.
     """
-    n = first_round.count()
-    rounds = int(round(math.log2(n))) if n > 0 else 0
+    n, slots, last = first_round.agg(F.count(F.lit(1)), F.countDistinct("slot"), F.max("slot")).first()
+    if n & (n - 1) or n != slots or (n and last != n - 1):
+        raise ValueError(f"a bracket needs 2^k teams in slots 0 .. 2^k - 1, not {n}")
+    rounds = max(n.bit_length() - 1, 0)
     cur = first_round.select("slot", "team", "rating", F.lit(1.0).alias("p"))
     for r in range(rounds):
         size = 1 << r

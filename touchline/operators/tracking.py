@@ -32,11 +32,14 @@ def frame_time(frame: Column, fps: Column) -> Column:
 
 def load_track_points(points: DataFrame, width: float, height: float) -> DataFrame:
     """One row per (clip, track, frame) with x, y normalised to the frame
-    (rounded 6); the clip id is the ``cv:`` prefixed clip name."""
+    (rounded 6); the clip id is the ``cv:`` prefixed clip name, which also
+    prefixes the track id."""
     if not width or not height:
         raise ValueError("track points need the frame width and height")
+    clip = F.concat(F.lit(CV_PREFIX), F.col("clip_name"))
     return points.select(
-        F.concat(F.lit(CV_PREFIX), F.col("clip_name")).alias("clip_id"), "track_id", "frame_index", "time_seconds",
+        clip.alias("clip_id"), F.concat(clip, F.lit(":"), F.col("track_id").cast("string")).alias("track_id"),
+        "frame_index", "time_seconds",
         F.round(F.col("cx") / float(width), 6).alias("x"), F.round(F.col("cy") / float(height), 6).alias("y"))
 
 

@@ -49,10 +49,11 @@ def tier_limits(subjects: DataFrame, entitlements: DataFrame) -> DataFrame:
                     F.element_at(lim, tier).getItem(1).alias("day_limit"))
 
 
-def rate_decisions(requests: DataFrame, limits: DataFrame) -> DataFrame:
+def rate_decisions(requests: DataFrame, limits: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Q2: per request: counts in its minute and day windows (blocked requests
     count too), the first exceeded window, remaining of the tightest window and
-    retry-after seconds."""
+    retry-after seconds. ``carried`` holds counts of requests decided before
+    these (rows of ``rate_windows``), which are added."""
     r = requests.select("request_id", "subject_kind", "subject", "ts",
                         F.date_trunc("minute", "ts").alias("minute_start"), F.date_trunc("day", "ts").alias("day_start"))
     in_minute = F.row_number().over(Window.partitionBy("subject_kind", "subject", "minute_start").orderBy("ts", "request_id"))
@@ -64,6 +65,12 @@ def rate_decisions(requests: DataFrame, limits: DataFrame) -> DataFrame:
                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     r = r.join(before, ["subject_kind", "subject", "minute_start"]).withColumn(
         "day_count", F.col("earlier") + F.col("minute_count"))
+    if carried is not None:
+        for kind in ("minute", "day"):
+            seen = carried.where(F.col("window_kind") == kind).select(
+                "subject_kind", "subject", F.col("window_start").alias(f"{kind}_start"), F.col("request_count").alias("seen"))
+            r = r.join(seen, ["subject_kind", "subject", f"{kind}_start"], "left").withColumn(
+                f"{kind}_count", F.col(f"{kind}_count") + F.coalesce("seen", F.lit(0))).drop("seen")
     r = r.join(limits.select("subject_kind", "subject", "minute_limit", "day_limit"), ["subject_kind", "subject"])
     mc, dc, ml, dl = F.col("minute_count"), F.col("day_count"), F.col("minute_limit"), F.col("day_limit")
     epoch = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

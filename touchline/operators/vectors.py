@@ -1,9 +1,10 @@
 """Vector retrieval: cosine distance, exact k-nearest search, cache lookup.
 
-Exact search never forms the full question x entry product as rows: the
-(size-checked) question matrix is broadcast, every task scores its block of
-entries with one matrix product and keeps only its own top k per question,
-and a window over those few candidates picks the global top k.
+Exact search never forms the full question x entry product as rows. Questions
+are numbered into blocks of bounded size; every block is sent to the tasks in
+turn, a task scores its entries block by block with matrix products, keeps a
+running top k per question over all its batches, and a window over those
+few candidates picks the global top k. Any number of questions can be asked.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 10_000  # questions broadcast per search (size check)
+QUERY_BLOCK = 2_000  # questions sent to the tasks at a time
+ENTRY_BLOCK = 1_000  # entries scored at a time
 CACHE_SIMILARITY = 0.97
 
 
@@ -37,54 +39,67 @@ def dimension_check(vectors: DataFrame, col: str, dim: int) -> DataFrame:
 
 
 def nearest(entries: DataFrame, queries: DataFrame, k: int, entry_id: str = "entry_id", query_id: str = "query_id",
-            vec: str = "embedding", group: str | None = None) -> DataFrame:
+            vec: str = "embedding", group: str | None = None, block_size: int = QUERY_BLOCK) -> DataFrame:
     """O2: the k nearest entries (cosine distance, ties by entry id) per query.
 
     With ``group`` set, only entries of the query's group are candidates
     (the cache's same-language rule).
     """
-    qrows = queries.select(query_id, vec, *([group] if group else [])).limit(MAX_QUERIES + 1).collect()
-    if len(qrows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one search; split the batch")
     schema = f"{query_id} long, {entry_id} long, distance double"
     spark = entries.sparkSession
-    if not qrows:
-        return spark.createDataFrame([], schema)
-    qids = np.array([r[query_id] for r in qrows], dtype=np.int64)
-    qmat = np.array([np.asarray(r[vec], dtype=np.float64) for r in qrows])
+    cols = [entry_id, vec] + ([group] if group else [])
+    found, block = None, []
+    for row in _rows(queries.select(query_id, vec, *([group] if group else []))):
+        block.append(row)
+        if len(block) == block_size:
+            found, block = _add(found, _nearest_block(entries.select(*cols), block, k, schema, entry_id, query_id, vec, group)), []
+    if block or found is None:
+        part = (_nearest_block(entries.select(*cols), block, k, schema, entry_id, query_id, vec, group) if block
+                else spark.createDataFrame([], schema))
+        found = _add(found, part)
+    w = Window.partitionBy(query_id).orderBy(F.round("distance", 9), entry_id)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _rows(df: DataFrame):
+    """Rows of ``df`` on the driver, a partition at a time."""
+    return df.toLocalIterator()
+
+
+def _add(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+def _nearest_block(entries: DataFrame, rows: list, k: int, schema: str, entry_id: str, query_id: str, vec: str,
+                   group: str | None) -> DataFrame:
+    """Each task's k nearest entries of every question of one block."""
+    qids = np.array([r[query_id] for r in rows], dtype=np.int64)
+    qmat = np.array([np.asarray(r[vec], dtype=np.float64) for r in rows])
     qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
-    qgrp = np.array([r[group] for r in qrows]) if group else None
-    shared = spark.sparkContext.broadcast((qids, qmat, qgrp))
+    qgrp = np.array([r[group] for r in rows]) if group else None
+    shared = entries.sparkSession.sparkContext.broadcast((qids, qmat, qgrp))
 
     def score(batches):
         ids_q, mat_q, grp_q = shared.value
+        best_d = np.full((len(ids_q), 0), np.inf)
+        best_e = np.zeros((len(ids_q), 0), np.int64)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            emat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            emat = emat / np.linalg.norm(emat, axis=1, keepdims=True)
-            dist = 1.0 - emat @ mat_q.T  # (entries, queries)
-            if grp_q is not None:
-                dist = np.where(pdf[group].to_numpy()[:, None] == grp_q[None, :], dist, np.inf)
-            eids = pdf[entry_id].to_numpy(np.int64)
-            keep = min(k, len(eids))
-            out_q, out_e, out_d = [], [], []
-            for j in range(len(ids_q)):
-                col = dist[:, j]
-                # stable top-k by (distance rounded, id)
-                order = np.lexsort((eids, np.round(col, 9)))[:keep]
-                order = order[np.isfinite(col[order])]
-                out_q.append(np.full(len(order), ids_q[j]))
-                out_e.append(eids[order])
-                out_d.append(col[order])
-            if out_q:
-                yield pd.DataFrame({query_id: np.concatenate(out_q), entry_id: np.concatenate(out_e),
-                                    "distance": np.concatenate(out_d)})
-
-    cols = [entry_id, vec] + ([group] if group else [])
-    cand = entries.select(*cols).mapInPandas(score, schema)
-    w = Window.partitionBy(query_id).orderBy(F.round("distance", 9), entry_id)
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            for at in range(0, len(pdf), ENTRY_BLOCK):
+                part = pdf.iloc[at:at + ENTRY_BLOCK]
+                emat = np.stack([np.asarray(v, dtype=np.float64) for v in part[vec]])
+                emat = emat / np.linalg.norm(emat, axis=1, keepdims=True)
+                dist = 1.0 - mat_q @ emat.T
+                if grp_q is not None:
+                    dist = np.where(part[group].to_numpy()[None, :] == grp_q[:, None], dist, np.inf)
+                d = np.concatenate([best_d, dist], axis=1)
+                e = np.concatenate([best_e, np.broadcast_to(part[entry_id].to_numpy(np.int64), dist.shape)], axis=1)
+                # by distance (rounded as in the final order), then entry id
+                order = np.lexsort((e, np.round(d, 9)), axis=1)[:, :k]
+                best_d, best_e = np.take_along_axis(d, order, 1), np.take_along_axis(e, order, 1)
+        q, c = np.nonzero(np.isfinite(best_d))
+        yield pd.DataFrame({query_id: ids_q[q], entry_id: best_e[q, c], "distance": best_d[q, c]})
+
+    return entries.mapInPandas(score, schema)
 
 
 def cache_lookup(entries: DataFrame, queries: DataFrame, threshold: float = CACHE_SIMILARITY,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import author_label
 from ..operators import usage as U
-from ..sources.projections import MatchData
+from ..sources.projections import SOURCE_EVENTS, SOURCE_FEED, MatchData
 from .catalog import register
 
 REQUESTS_SQL = """
@@ -276,17 +276,7 @@ def posts(md: MatchData) -> DataFrame:
         F.repeat(F.lit("x"), (kk * 3).cast("int")).alias("caption"))
 
 
-@register("validate_posts", """SELECT p.post_id, p.kind,
-       CASE WHEN p.caption_len > 280 THEN 'caption_too_long'
-            WHEN p.kind = 'comparison' AND p.team_a = p.team_b THEN 'same_entity'
-            WHEN p.kind = 'comparison' AND (p.team_a NOT IN (SELECT team_id FROM v_teams) OR p.team_b NOT IN (SELECT team_id FROM v_teams)) THEN 'unknown_entity'
-            WHEN p.kind = 'leaderboard' AND c.competition_id IS NULL THEN 'unknown_competition'
-            WHEN p.kind = 'leaderboard' AND NOT (c.source = 'statsbomb' OR p.metric = 'goals') THEN 'metric_unavailable'
-            WHEN p.kind = 'replay' AND p.clip_id NOT IN (SELECT DISTINCT 'cv:' || cast(match_id AS varchar) FROM v_events
-                                                         WHERE location_x IS NOT NULL AND location_y IS NOT NULL) THEN 'clip_without_points'
-       END AS rejection
-FROM p LEFT JOIN v_competitions c ON c.competition_id = p.competition_id
-""", ("v_teams", "v_competitions", "v_events"), {"p": """
+POSTS_SQL = """
   SELECT event_id AS post_id, k,
          CASE k % 3 WHEN 0 THEN 'comparison' WHEN 1 THEN 'leaderboard' ELSE 'replay' END AS kind,
          CASE WHEN (k % 25) % 5 = 4 THEN 'af:' ELSE '' END || cast(k % 25 AS varchar) AS team_a,
@@ -294,55 +284,57 @@ FROM p LEFT JOIN v_competitions c ON c.competition_id = p.competition_id
          cast(k % 5 AS varchar) || ':' || cast(1995 + k % 8 AS varchar) AS competition_id,
          ['goals', 'xt', 'vaep', 'passes'][cast(k % 4 AS integer) + 1] AS metric,
          'cv:' || cast(k * 3 AS varchar) AS clip_id, k * 3 AS caption_len
-  FROM (SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events WHERE event_type = 'purchase') e"""})
+  FROM (SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events WHERE event_type = 'purchase') e"""
+_CLIPS_SQL = """SELECT DISTINCT 'cv:' || cast(match_id AS varchar) AS clip_id FROM v_events
+WHERE location_x IS NOT NULL AND location_y IS NOT NULL"""
+# an entity is in a competition if it has stored metrics there, or, in the match feed, if the team exists
+_IN_SQL = """SELECT DISTINCT m.competition_id, a.team_id FROM v_spadl a JOIN v_matches m ON m.match_id = a.match_id WHERE m.source = 'statsbomb'
+UNION SELECT c.competition_id, t.team_id FROM v_competitions c, v_teams t WHERE c.source = 'api_football'"""
+
+
+@register("validate_posts", """
+SELECT p.post_id, p.kind,
+       CASE WHEN p.caption_len > 280 THEN 'caption_too_long'
+            WHEN p.kind = 'comparison' AND p.team_a = p.team_b THEN 'same_entity'
+            WHEN p.kind <> 'replay' AND c.competition_id IS NULL THEN 'unknown_competition'
+            WHEN p.kind = 'comparison' AND (a.team_id IS NULL OR b.team_id IS NULL) THEN 'unknown_entity'
+            WHEN p.kind = 'leaderboard' AND NOT (c.source = 'statsbomb' OR p.metric = 'goals') THEN 'metric_unavailable'
+            WHEN p.kind = 'replay' AND k.clip_id IS NULL THEN 'clip_without_points'
+       END AS rejection
+FROM p LEFT JOIN v_competitions c ON c.competition_id = p.competition_id
+LEFT JOIN inside a ON a.competition_id = p.competition_id AND a.team_id = p.team_a
+LEFT JOIN inside b ON b.competition_id = p.competition_id AND b.team_id = p.team_b
+LEFT JOIN clips k ON k.clip_id = p.clip_id
+""", ("v_teams", "v_competitions", "v_events", "v_matches", "v_spadl"), {"p": POSTS_SQL, "inside": _IN_SQL, "clips": _CLIPS_SQL})
 def validate_posts(md: MatchData) -> DataFrame:
-    """Q10: per-kind parameter checks as joins (team / competition / clip
-    existence, metric availability for the competition's feed)."""
+    """Q10: per-kind parameter checks as joins. A comparison needs two different
+    entities and a competition that exists and holds both; a leaderboard
+    needs a competition whose feed has the metric; a replay needs a clip with
+    points."""
     from .insights import AVAILABILITY
+    from .valuation import spadl
     p = posts(md)
-    teams = md.teams.select("team_id")
-    ta = teams.select(F.col("team_id").alias("team_a"), F.lit(True).alias("a_ok"))
-    tb = teams.select(F.col("team_id").alias("team_b"), F.lit(True).alias("b_ok"))
     comp = md.competitions.select("competition_id", "source")
-    avail = md.spark.createDataFrame([(s, m) for s, e, m in AVAILABILITY if e == "teams"], "source string, metric string") \
-        .withColumn("m_ok", F.lit(True))
+    played = (spadl(md).select("match_id", "team_id").distinct()
+              .join(md.matches.where(F.col("source") == SOURCE_EVENTS).select("match_id", "competition_id"), "match_id")
+              .select("competition_id", "team_id").distinct())
+    pairs = p.where(F.col("kind") == "comparison").select("post_id", "competition_id", F.explode(F.array("team_a", "team_b")).alias("team_id"))
+    fed = (pairs.join(comp.where(F.col("source") == SOURCE_FEED), "competition_id").join(md.teams.select("team_id"), "team_id")
+           .select("post_id", "team_id"))
+    inside = (pairs.join(played, ["competition_id", "team_id"]).select("post_id", "team_id").unionByName(fed).distinct()
+              .groupBy("post_id").agg(F.count(F.lit(1)).alias("held")))
+    # 7 fixed rows
+    avail = F.broadcast(md.spark.createDataFrame([(s, m, True) for s, e, m in AVAILABILITY if e == "teams"], "source string, metric string, m_ok boolean"))
     clips = (md.events.where(F.col("location_x").isNotNull() & F.col("location_y").isNotNull())
              .select(F.concat(F.lit("cv:"), F.col("match_id").cast("string")).alias("clip_id")).distinct()
              .withColumn("c_ok", F.lit(True)))
-    j = (p.join(ta, "team_a", "left").join(tb, "team_b", "left").join(comp, "competition_id", "left")
-         .join(F.broadcast(avail), ["source", "metric"], "left").join(clips, "clip_id", "left"))
+    j = (p.join(comp, "competition_id", "left").join(inside, "post_id", "left")
+         .join(avail, ["source", "metric"], "left").join(clips, "clip_id", "left"))
     kind = F.col("kind")
     reason = (F.when(F.length("caption") > CAPTION_LIMIT, "caption_too_long")
               .when((kind == "comparison") & (F.col("team_a") == F.col("team_b")), "same_entity")
-              .when((kind == "comparison") & (F.col("a_ok").isNull() | F.col("b_ok").isNull()), "unknown_entity")
-              .when((kind == "leaderboard") & F.col("source").isNull(), "unknown_competition")
+              .when((kind != "replay") & F.col("source").isNull(), "unknown_competition")
+              .when((kind == "comparison") & (F.coalesce("held", F.lit(0)) < 2), "unknown_entity")
               .when((kind == "leaderboard") & F.col("m_ok").isNull(), "metric_unavailable")
               .when((kind == "replay") & F.col("c_ok").isNull(), "clip_without_points"))
     return j.select("post_id", "kind", reason.alias("rejection"))
-
-
-@register("render_posts")
-def render_posts(md: MatchData) -> DataFrame:
-    """Q11: re-run the stored post parameters in bulk: a comparison gets both
-    teams' shot counts, a leaderboard its leading team by passes in the
-    competition, a replay its clip's player / ball track counts."""
-    from .replay import track_metrics
-    v = validate_posts(md).where(F.col("rejection").isNull()).select("post_id")
-    p = posts(md).join(v, "post_id", "left_semi")
-    shots = md.events.where(F.col("type") == "Shot").groupBy("team_id").agg(F.count(F.lit(1)).alias("shots"))
-    cmp_ = (p.where(F.col("kind") == "comparison")
-            .join(shots.select(F.col("team_id").alias("team_a"), F.col("shots").alias("value_a")), "team_a", "left")
-            .join(shots.select(F.col("team_id").alias("team_b"), F.col("shots").alias("value_b")), "team_b", "left")
-            .select("post_id", "kind", F.col("team_a").alias("label"), "value_a", "value_b"))
-    passes = (md.events.where(F.col("type") == "Pass")
-              .groupBy("competition_id", "team_name").agg(F.count(F.lit(1)).alias("n")))
-    top = passes.groupBy("competition_id").agg(F.max_by(F.struct("team_name", "n"), F.struct("n", F.col("team_name"))).alias("t"))
-    lb = (p.where(F.col("kind") == "leaderboard").join(top, "competition_id", "left")
-          .select("post_id", "kind", F.col("t.team_name").alias("label"), F.col("t.n").alias("value_a"),
-                  F.lit(None).cast("long").alias("value_b")))
-    summary = track_metrics(md).groupBy("clip_id").agg(F.count_if(F.col("class") == "player").alias("players"),
-                                                       F.count_if(F.col("class") == "ball").alias("balls"))
-    rp = (p.where(F.col("kind") == "replay").join(summary, "clip_id", "left")
-          .select("post_id", "kind", "clip_id", F.col("players").alias("value_a"), F.col("balls").alias("value_b"))
-          .withColumnRenamed("clip_id", "label"))
-    return cmp_.unionByName(lb).unionByName(rp)

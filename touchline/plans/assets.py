@@ -69,7 +69,7 @@ def land_lineups(md: MatchData) -> str:
 
 def read_lineups(md: MatchData, path: str) -> DataFrame:
     """A5: per team, every lineup of its matches; the last (by match date, id)
-    row per player wins; positions de-duplicated; sorted by name."""
+    row per player wins; its distinct positions in sorted order."""
     lu = md.spark.read.schema(LINEUP_SCHEMA).json(path).select(
         "team_id", "lineup", F.regexp_extract(F.col("_metadata.file_path"), r"match_id=(\d+)", 1).cast("long").alias("match_id"))
     order = md.matches.select("match_id", "match_date")
@@ -79,12 +79,12 @@ def read_lineups(md: MatchData, path: str) -> DataFrame:
     return last.select("team_id", "player_id", F.col("p.player_name").alias("name"),
                        F.col("p.player_nickname").alias("display_name"), F.col("p.country.name").alias("country"),
                        F.col("p.jersey_number").cast("int").alias("jersey_number"),
-                       F.array_distinct(F.transform("p.positions", lambda x: x["position"])).alias("positions"))
+                       F.array_sort(F.array_distinct(F.transform("p.positions", lambda x: x["position"]))).alias("positions"))
 
 
 @register("read_lineups", """
 SELECT team_id, player_id, name, NULL::varchar AS display_name, 'Land' AS country, jersey_number,
-       CASE WHEN p1 = p2 THEN [p1] ELSE [p1, p2] END AS positions FROM (
+       CASE WHEN p1 = p2 THEN [p1] ELSE [least(p1, p2), greatest(p1, p2)] END AS positions FROM (
   SELECT s.team_id, cast(cast(s.team_id AS bigint) * 100 + n AS varchar) AS player_id, s.tn || ' ' || cast(n AS varchar) AS name,
          cast(n + 1 + s.match_id % 3 AS integer) AS jersey_number,
          ['Goalkeeper', 'Defender', 'Midfielder', 'Attacker'][cast((n + s.match_id) % 4 AS integer) + 1] AS p1,
@@ -352,47 +352,3 @@ def xt_published_grid(md: MatchData) -> DataFrame:
     path = _landing(md, "xt-grid")
     md.spark.createDataFrame([(json.dumps(grid),)], "value string").coalesce(1).write.text(path)
     return _rounded(XT.load_grid(md.spark, path), "xt")
-
-
-# ------------------------------------------------------------- J1 / J2
-FEATURED = 6
-
-
-@register("featured_players")
-def featured_players(md: MatchData) -> DataFrame:
-    """Top players by total xG in the golden competition; null xG left out."""
-    from .valuation import player_totals
-    from .golden import bound_competition
-    t = player_totals(md).join(F.broadcast(bound_competition(md)), "competition_id").where(F.col("total_xg").isNotNull())
-    return t.orderBy(F.desc("total_xg"), "player_name", "player_id").limit(FEATURED).select(
-        "player_id", "player_name", F.round("total_xg", 6).alias("total_xg"))
-
-
-@register("featured_teams")
-def featured_teams(md: MatchData) -> DataFrame:
-    from .valuation import team_totals
-    from .golden import bound_competition
-    t = team_totals(md).join(F.broadcast(bound_competition(md)), "competition_id").where(F.col("total_xg").isNotNull())
-    return t.orderBy(F.desc("total_xg"), "team_name", "team_id").limit(FEATURED).select(
-        "team_id", "team_name", F.round("total_xg", 6).alias("total_xg"))
-
-
-@register("follow_cards")
-def follow_cards(md: MatchData) -> DataFrame:
-    """Each user's followed players then teams with their xG (null when the
-    entity has no totals), follow order kept."""
-    from .accounts import follows
-    from .valuation import player_totals, team_totals
-    f = follows(md)
-    px = player_totals(md).groupBy("player_id").agg(F.sum("total_xg").alias("xg"))
-    tx = team_totals(md).groupBy("team_id").agg(F.sum("total_xg").alias("xg"))
-    pl = f.where(F.col("player_id").isNotNull() & F.col("team_id").isNull()).join(px, "player_id", "left").select(
-        "user_id", "event_id", F.lit(0).alias("kind_order"), F.col("player_id").alias("entity_id"), "xg")
-    tm = f.where(F.col("team_id").isNotNull() & F.col("player_id").isNull()).join(tx, "team_id", "left").select(
-        "user_id", "event_id", F.lit(1).alias("kind_order"), F.col("team_id").alias("entity_id"), "xg")
-    w = Window.partitionBy("user_id").orderBy("kind_order", "event_id")
-    return pl.unionByName(tm).select("user_id", "entity_id", F.round("xg", 6).alias("xg"),
-                                     F.row_number().over(w).alias("position"))
-
-
-__all__ = ["spadl", "shot_xg"]

@@ -265,8 +265,9 @@ def fallback_entities(md: MatchData) -> DataFrame:
 def _player_loads(md: MatchData) -> DataFrame:
     p = md.players
     n = F.regexp_extract("player_id", r"-P(\d+)$", 1).cast("int")
-    first = p.select("player_id", "name", "display_name", "country", "jersey_number", "positions", F.lit(1).alias("load"))
-    second = p.select("player_id", F.upper("name").alias("name"),
+    first = p.select("player_id", "team_id", "name", "display_name", "country", "jersey_number", "positions", F.lit(1).alias("load"))
+    # in the second load the eleventh player of each team has moved to another one
+    second = p.select("player_id", F.when(n == 10, "moved").otherwise(F.col("team_id")).alias("team_id"), F.upper("name").alias("name"),
                       F.when(n % 3 != 0, F.col("display_name")).alias("display_name"),
                       F.when(n % 4 != 0, F.col("country")).alias("country"),
                       F.when(n % 5 != 0, F.col("jersey_number") + 20).alias("jersey_number"),
@@ -290,21 +291,30 @@ def merge_players(md: MatchData) -> DataFrame:
     return merged.where("load = 2").drop("load")
 
 
+def merge_team_rows(loads: DataFrame) -> DataFrame:
+    """C4: one row per (player, team): the newest load that has a jersey number
+    gives it, positions are the sorted distinct union over the loads. A player
+    who moves keeps a row for either team."""
+    return loads.groupBy("player_id", "team_id").agg(
+        F.max_by("jersey_number", F.when(F.col("jersey_number").isNotNull(), F.col("load"))).alias("jersey_number"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+
+
 @register("merge_player_teams", """
-SELECT player_id, CASE WHEN cast(split_part(player_id, '-P', 2) AS int) % 5 <> 0 THEN jersey_number + 20 ELSE jersey_number END AS jersey_number,
-       list_sort(list_distinct(list_concat([
-         CASE cast(split_part(player_id, '-P', 2) AS int) % 4 WHEN 0 THEN 'Goalkeeper' WHEN 1 THEN 'Defender' WHEN 2 THEN 'Midfielder' ELSE 'Attacker' END,
-         CASE (cast(split_part(player_id, '-P', 2) AS int) + 1) % 4 WHEN 0 THEN 'Goalkeeper' WHEN 1 THEN 'Defender' WHEN 2 THEN 'Midfielder' ELSE 'Attacker' END],
-         ['Substitute']))) AS positions
-FROM v_players
-""", ("v_players",))
+SELECT player_id, team_id, arg_max(jersey_number, load) FILTER (WHERE jersey_number IS NOT NULL) AS jersey_number,
+       list_sort(list(DISTINCT position)) AS positions
+FROM (SELECT player_id, team_id, load, jersey_number, unnest(positions) AS position FROM loads)
+GROUP BY player_id, team_id
+""", ("v_players",), {
+    "numbered": "SELECT *, cast(split_part(player_id, '-P', 2) AS int) AS n FROM v_players",
+    "loads": """
+SELECT player_id, team_id, 1 AS load, jersey_number,
+       [['Goalkeeper', 'Defender', 'Midfielder', 'Attacker'][n % 4 + 1], ['Goalkeeper', 'Defender', 'Midfielder', 'Attacker'][(n + 1) % 4 + 1]] AS positions FROM numbered
+UNION ALL
+SELECT player_id, CASE WHEN n = 10 THEN 'moved' ELSE team_id END, 2, CASE WHEN n % 5 <> 0 THEN jersey_number + 20 END,
+       ['Substitute', ['Goalkeeper', 'Defender', 'Midfielder', 'Attacker'][n % 4 + 1]] FROM numbered"""})
 def merge_player_teams(md: MatchData) -> DataFrame:
-    """C4: later row wins with jersey coalesced; positions = sorted distinct union."""
-    loads = _player_loads(md)
-    return loads.groupBy("player_id").agg(
-        F.coalesce(F.max_by("jersey_number", F.when(F.col("jersey_number").isNotNull(), F.col("load"))),
-                   F.lit(None)).alias("jersey_number"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    return merge_team_rows(_player_loads(md))
 
 
 @register("resolve_entities", """

@@ -226,10 +226,12 @@ def land_fixture_events(md: MatchData) -> str:
         F.lit(None).cast("struct<id:bigint,name:string>").alias("assist"),
         ptype.alias("type"), detail.alias("detail"), F.lit(None).cast("string").alias("comments")).alias("ev"))
     env = ev.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "ev"))).alias("evs"))
-    env.select(F.col("match_id").alias("fixture_id"),
-               F.when(F.col("match_id") % 11 == 0, F.array(F.lit("rate limit"))).otherwise(
-                   F.array().cast("array<string>")).alias("errors"),
-               F.transform("evs", lambda x: x["ev"]).alias("response")).write.json(path)
+    # the provider sends [] when there is no error, and an object or a list when there is one
+    env = env.select(F.col("match_id").alias("fixture_id"), F.transform("evs", lambda x: x["ev"]).alias("response"))
+    listed = F.when(F.col("fixture_id") % 22 == 0, F.array(F.lit("rate limit"))).otherwise(F.array().cast("array<string>"))
+    env.where(F.col("fixture_id") % 22 != 11).withColumn("errors", listed).write.json(path)
+    env.where(F.col("fixture_id") % 22 == 11).withColumn(
+        "errors", F.struct(F.lit("Error/Missing application key.").alias("token"))).write.mode("append").json(path)
     return path
 
 
@@ -237,7 +239,8 @@ def land_fixture_events(md: MatchData) -> str:
 SELECT cast(match_id AS varchar) || ':' || cast(sequence - 1 AS varchar) AS event_id, match_id,
        cast(sequence - 1 AS integer) AS sequence,
        CASE WHEN minute > 105 THEN 4 WHEN minute > 90 THEN 3 WHEN minute > 45 THEN 2 ELSE 1 END AS period,
-       minute, 0 AS "second", type, team_id,
+       coalesce(minute, 0) AS minute, 0 AS "second", type, team_id,
+       CASE type WHEN 'Goal' THEN 'Normal Goal' WHEN 'Yellow Card' THEN 'Yellow Card' ELSE 'Substitution 1' END AS outcome,
        'af:' || cast(cast(split_part(substr(player_id, 4), '-P', 1) AS bigint) * 100 + cast(split_part(player_id, '-P', 2) AS bigint) AS varchar) AS player_id,
        player_name, NULL::double AS location_x, NULL::double AS location_y, NULL::double AS end_location_x,
        NULL::double AS end_location_y, source

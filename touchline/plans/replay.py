@@ -110,17 +110,16 @@ def goal_freeze_frame(md: MatchData) -> DataFrame:
     return P.goal_freeze_frame(wc_goals(md), freeze_frames(md)).drop("match_id")
 
 
-@register("goal_timeline", f"""
-SELECT goal_id, sequence, step, round(x0 + (x1 - x0) * (step / {P.TIMELINE_STEPS - 1}.0), 6) AS x,
-       round(y0 + (y1 - y0) * (step / {P.TIMELINE_STEPS - 1}.0), 6) AS y
-FROM (SELECT b.goal_id, b.sequence, b.location_x AS x0, b.location_y AS y0,
-             CASE WHEN lead(b.location_x) OVER w IS NULL THEN coalesce(g.end_location_x, b.location_x) ELSE lead(b.location_x) OVER w END AS x1,
-             CASE WHEN lead(b.location_x) OVER w IS NULL THEN coalesce(g.end_location_y, b.location_y) ELSE lead(b.location_y) OVER w END AS y1,
-             lead(b.location_x) OVER w IS NULL AND g.end_location_x IS NULL AS static
-      FROM buildup b LEFT JOIN goals g ON g.event_id = b.goal_id
-      WINDOW w AS (PARTITION BY b.goal_id ORDER BY b.sequence)) s
-JOIN (SELECT cast(range AS integer) AS step FROM range({P.TIMELINE_STEPS})) r ON (NOT s.static OR r.step = 0)
-""", WC_VIEWS, {"goals": GOALS_SQL, "buildup": BUILDUP_SQL})
+@register("goal_timeline", """
+SELECT goal_id, sequence, step, cast(segment * 18 + step AS integer) AS frame,
+       round(ax + (bx - ax) * step / 18.0, 6) AS x, round(ay + (b_y - ay) * step / 18.0, 6) AS y
+FROM (SELECT c.goal_id, c.sequence, c.segment, c.location_x AS ax, c.location_y AS ay,
+             coalesce(n.location_x, g.end_location_x, c.location_x) AS bx, coalesce(n.location_y, g.end_location_y, c.location_y) AS b_y,
+             CASE WHEN n.goal_id IS NOT NULL THEN 17 WHEN g.end_location_x IS NOT NULL THEN 18 ELSE 0 END AS upto
+      FROM chain c LEFT JOIN chain n ON n.goal_id = c.goal_id AND n.segment = c.segment + 1
+      LEFT JOIN goals g ON g.event_id = c.goal_id) s
+JOIN (SELECT cast(range AS integer) AS step FROM range(19)) r ON r.step <= s.upto
+""", WC_VIEWS, {"goals": GOALS_SQL, "buildup": BUILDUP_SQL, "chain": "SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY sequence) - 1 AS segment FROM buildup"})
 def goal_timeline(md: MatchData) -> DataFrame:
     return _rounded(P.goal_timeline(buildup(md), wc_goals(md)), "x", "y")
 
@@ -131,7 +130,7 @@ def track_points(md: MatchData) -> DataFrame:
 
 
 @register("load_track_points", f"""
-SELECT 'cv:' || clip_name AS clip_id, track_id, frame_index, time_seconds,
+SELECT 'cv:' || clip_name AS clip_id, 'cv:' || clip_name || ':' || track_id AS track_id, frame_index, time_seconds,
        round(cx / {FRAME_W}, 6) AS x, round(cy / {FRAME_H}, 6) AS y FROM v_track_points
 """, ("v_track_points",))
 def load_track_points(md: MatchData) -> DataFrame:

@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sources.projections import MatchData
 from ..sources.tables import table_path
 from ..streaming import jobs as J
-from .accounts import REQUESTS_SQL, requests_from
+from .accounts import ENT_SQL, LIMITS_SQL, REQUESTS_SQL, SUBS_SQL, limits, requests_from
 from .catalog import register
 
 
@@ -68,11 +68,8 @@ def elo_stream(md: MatchData) -> DataFrame:
     state_root = scratch_path(spark, f"streams/elo-state-{uuid.uuid4().hex[:12]}")
 
     def apply(batch: DataFrame, batch_id: int, out: str) -> None:
-        prev = f"{state_root}/v{batch_id - 1}"
-        try:
-            state = spark.read.parquet(prev)
-        except Exception:  # first batch: no stored ratings yet
-            state = spark.createDataFrame([], R.STATE_SCHEMA)
+        # the first batch has no stored ratings; any later read that fails stops the stream
+        state = spark.read.parquet(f"{state_root}/v{batch_id - 1}") if batch_id else spark.createDataFrame([], R.STATE_SCHEMA)
         touched = R.elo_update(batch, state)
         new = state.join(touched.select("team_id"), "team_id", "left_anti").unionByName(touched)
         new.write.mode("overwrite").parquet(f"{state_root}/v{batch_id}")
@@ -84,17 +81,20 @@ def elo_stream(md: MatchData) -> DataFrame:
 
 
 @register("rate_decisions_stream", """
-SELECT request_id, subject_kind, subject,
-       row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('minute', ts) ORDER BY ts, request_id) AS minute_count,
-       row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('day', ts) ORDER BY ts, request_id) AS day_count
-FROM r
-""", (), {"r": REQUESTS_SQL})
+SELECT request_id, subject_kind, subject, minute_count, day_count,
+       minute_count <= l.minute_limit AND day_count <= l.day_limit AS allowed
+FROM (SELECT request_id, subject_kind, subject,
+             row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('minute', ts) ORDER BY ts, request_id) AS minute_count,
+             row_number() OVER (PARTITION BY subject_kind, subject, date_trunc('day', ts) ORDER BY ts, request_id) AS day_count
+      FROM r) x
+JOIN (SELECT subject_kind, subject,
+             CASE tier WHEN 'anonymous' THEN 12 WHEN 'user' THEN 30 ELSE 90 END AS minute_limit,
+             CASE tier WHEN 'anonymous' THEN 300 WHEN 'user' THEN 1000 ELSE 3000 END AS day_limit FROM lim) l USING (subject_kind, subject)
+""", (), {"r": REQUESTS_SQL, "subs": SUBS_SQL, "ent": ENT_SQL, "lim": LIMITS_SQL})
 def rate_decisions_stream(md: MatchData) -> DataFrame:
-    """Q2s: the rate decision inside a stream (keyed state per subject)."""
-    from .accounts import limits
+    """Q2s: the rate decision inside a stream (window counts carried between batches)."""
     schema = md.read("events").schema
     events = (md.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", table_path(md.sf_dir, "events").rsplit("/", 1)[1]).parquet(md.sf_dir))
     req = requests_from(events.withColumn("ts", F.col("ts").cast("timestamp")))
-    out = J.run_available(J.rate_decisions_stream(req, limits(md)), "rate_decisions")
-    return out.select("request_id", "subject_kind", "subject", "minute_count", "day_count")
+    return J.rate_decisions_stream(req, limits(md))

@@ -65,7 +65,8 @@ FIXTURE_SCHEMA = _s(
 FIXTURE_EVENT = _s(("time", _s(("elapsed", LongType()), ("extra", LongType()))), ("team", ID_NAME),
                    ("player", ID_NAME), ("assist", ID_NAME), ("type", StringType()), ("detail", StringType()),
                    ("comments", StringType()))
-FIXTURE_EVENTS_SCHEMA = _s(("fixture_id", LongType()), ("errors", ArrayType(StringType())),
+#: ``errors`` is a list when empty and an object or a list otherwise, so it is read as its JSON text.
+FIXTURE_EVENTS_SCHEMA = _s(("fixture_id", LongType()), ("errors", StringType()),
                            ("response", ArrayType(FIXTURE_EVENT)))
 
 
@@ -107,10 +108,30 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
         F.lit(EVENTS_SOURCE).alias("source"))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A3: open-data events; the match id comes from the file path, index ->
-    sequence, the first present detail supplies end location and outcome."""
-    e = spark.read.schema(EVENT_SCHEMA).json(path).select("*", F.col("_metadata.file_path").alias("__path"))
+def event_records(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """Raw events with ``__path`` and ``__match`` (null where neither the file
+    name nor a folder gives the match id). Files at any depth are read."""
+    e = (spark.read.schema(EVENT_SCHEMA).option("multiLine", multiline).option("recursiveFileLookup", "true").json(path)
+         .select("*", F.col("_metadata.file_path").alias("__path")))
+    named = F.regexp_extract("__path", r"/(\d+)\.json$", 1)
+    folder = F.regexp_extract("__path", r"match_id=(\d+)", 1)
+    return e.withColumn("__match", F.coalesce(F.when(folder != "", folder), F.when(named != "", named)).try_cast("bigint"))
+
+
+def unnamed_event_files(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Rejects of :func:`read_events`: event files without a match id, and their event counts."""
+    e = event_records(spark, path, multiline).where(F.col("__match").isNull())
+    return e.groupBy(F.col("__path").alias("path")).agg(F.count(F.lit(1)).alias("events"))
+
+
+def read_events(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """A3: open-data events; the match id comes from the file name
+    (``<match id>.json``) or a ``match_id=`` folder, index -> sequence, the
+    first present detail supplies end location and outcome. Files are the
+    provider's pretty-printed arrays (``multiline``) or one record a line.
+    Events of files whose name holds no id are left out here: see
+    :func:`unnamed_event_files`."""
+    e = event_records(spark, path, multiline).where(F.col("__match").isNotNull())
     detail = F.coalesce(*[F.col(d) for d in ("pass", "shot", "carry", "dribble", "duel", "goalkeeper",
                                              "interception", "ball_receipt")])  # B13
     lx, ly = L.split_location(F.col("location"))  # B14
@@ -119,7 +140,7 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     ident = lambda c: F.col(c + ".id").cast("string")  # noqa: E731  (bare ids on this feed)
     return e.select(
         F.col("id").alias("event_id"),
-        F.regexp_extract("__path", r"match_id=(\d+)", 1).cast("long").alias("match_id"),
+        F.col("__match").alias("match_id"),
         F.col("index").cast("int").alias("sequence"), F.col("period").cast("int").alias("period"),
         F.col("minute").cast("int").alias("minute"), F.col("second").cast("int").alias("second"),
         F.col("type.name").alias("type"),
@@ -173,25 +194,27 @@ def fixtures_to_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def envelope_errors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A10: split fixture-event envelopes into accepted and rejected ones
-    (a non-empty ``errors`` fails the page even though the request succeeded)."""
+    """A10: split fixture-event envelopes into accepted and rejected ones: a
+    non-empty ``errors``, list or object, fails the page even though the
+    request succeeded."""
     env = _json(spark, path, FIXTURE_EVENTS_SCHEMA)
-    bad = F.coalesce(F.size("errors"), F.lit(0)) > 0
+    bad = ~F.regexp_replace(F.coalesce("errors", F.lit("")), r"\s", "").isin("", "[]", "{}", "null")
     return env.where(~bad), env.where(bad).select("fixture_id", F.col("errors"))
 
 
 def fixture_events_to_events(envelopes: DataFrame) -> DataFrame:
-    """Event id ``match:index``, period from the minute, second 0, no coordinates."""
+    """Event id ``match:index``, period from the minute (an unknown minute
+    counts as 0), second 0, the detail as outcome, no coordinates."""
     ex = envelopes.select("fixture_id", F.posexplode("response").alias("idx", "ev"))
     return ex.select(
         F.concat_ws(":", F.col("fixture_id").cast("string"), F.col("idx").cast("string")).alias("event_id"),
         F.col("fixture_id").alias("match_id"), F.col("idx").cast("int").alias("sequence"),
-        L.infer_period(F.col("ev.time.elapsed")).alias("period"),  # B10
-        F.col("ev.time.elapsed").cast("int").alias("minute"), F.lit(0).alias("second"),
+        L.infer_period(F.coalesce(F.col("ev.time.elapsed"), F.lit(0))).alias("period"),  # B10
+        F.coalesce(F.col("ev.time.elapsed"), F.lit(0)).cast("int").alias("minute"), F.lit(0).alias("second"),
         L.map_feed_event_type(F.col("ev.type"), F.col("ev.detail")).alias("type"),  # B9
         L.prefix_entity_id(F.col("ev.team.id"), FEED_PREFIX).alias("team_id"),
         L.prefix_entity_id(F.col("ev.player.id"), FEED_PREFIX).alias("player_id"),
-        F.col("ev.player.name").alias("player_name"),
+        F.col("ev.player.name").alias("player_name"), F.col("ev.detail").alias("outcome"),
         F.lit(None).cast("double").alias("location_x"), F.lit(None).cast("double").alias("location_y"),
         F.lit(None).cast("double").alias("end_location_x"), F.lit(None).cast("double").alias("end_location_y"),
         F.lit(FEED_SOURCE).alias("source"))

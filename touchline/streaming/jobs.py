@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.usage import rate_decisions, rate_windows
 from ..session import scratch_path
 
 WATERMARK = "10 minutes"
@@ -70,38 +71,39 @@ def overwrite_batch(df: DataFrame, batch_id: int, out: str) -> None:
 
 
 # ----------------------------------------------------------- Q2s decisions
-DECISION_SCHEMA = ("request_id long, subject_kind string, subject string, minute_count long, day_count long, "
-                   "allowed boolean")
-STATE_SCHEMA = "minute_start long, minute_count long, day_start long, day_count long"
+WINDOW_SCHEMA = "subject_kind string, subject string, window_kind string, window_start timestamp, request_count long"
+#: Windows that ended this long before the newest request are forgotten.
+KEEP_WINDOWS = "2 days"
 
 
 def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
-    """Q2s: per-subject counters kept as streaming state (one small state row
-    per subject: the current minute and day window and their counts); every
-    request is decided in (ts, id) order inside its micro-batch. Blocked
-    requests still count, as in the batch twin."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def decide(key, pdfs, state):
-        kind, subject = key
-        if state.exists:
-            ms, mc, ds, dc = state.get
-        else:
-            ms, mc, ds, dc = -1, 0, -1, 0
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts_us", "request_id"], kind="mergesort")
-            for rid, ts_us, ml, dl in zip(pdf["request_id"], pdf["ts_us"], pdf["minute_limit"], pdf["day_limit"]):
-                m0, d0 = ts_us // 60_000_000, ts_us // 86_400_000_000
-                mc = mc + 1 if m0 == ms else 1
-                dc = dc + 1 if d0 == ds else 1
-                ms, ds = m0, d0
-                out.append((rid, kind, subject, mc, dc, not (mc > ml or dc > dl)))
-        state.update((int(ms), int(mc), int(ds), int(dc)))
-        yield pd.DataFrame(out, columns=["request_id", "subject_kind", "subject", "minute_count", "day_count", "allowed"])
-
-    r = requests.join(limits.select("subject_kind", "subject", "minute_limit", "day_limit"), ["subject_kind", "subject"])
-    r = r.select("request_id", "subject_kind", "subject", F.unix_micros("ts").alias("ts_us"), "minute_limit", "day_limit")
-    return r.groupBy("subject_kind", "subject").applyInPandasWithState(
-        decide, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    """Q2s: every micro-batch is decided by the batch plan plus the counts that
+    earlier batches left in each subject's minute and day window.
+
+    Within a batch requests count in (ts, id) order, in whatever order they
+    arrive; a request that arrives in a later batch counts after those already
+    decided, as a limiter counts it. Blocked requests count. The window counts
+    are a table version per batch in the shared folder (a batch that is run
+    again after a failure replaces its own version and its own output), and
+    windows older than ``KEEP_WINDOWS`` are dropped from it.
+    """
+    spark = requests.sparkSession
+    root = scratch_path(spark, f"streams/rate-state-{uuid.uuid4().hex[:12]}")
+
+    def apply(batch: DataFrame, batch_id: int, out: str) -> None:
+        rows = batch.persist()
+        session = batch.sparkSession
+        before = session.read.schema(WINDOW_SCHEMA).parquet(f"{root}/v{batch_id - 1}") if batch_id else session.createDataFrame([], WINDOW_SCHEMA)
+        rate_decisions(rows, limits, before).select(*DECISION_COLUMNS).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        both = before.unionByName(rate_windows(rows)).groupBy("subject_kind", "subject", "window_kind", "window_start").agg(
+            F.sum("request_count").alias("request_count"))
+        newest = rows.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            both = both.where(F.col("window_start") >= F.lit(newest) - F.expr(f"INTERVAL {KEEP_WINDOWS}"))
+        both.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        rows.unpersist()
+
+    return run_available(requests, "rate_decisions", foreach_batch=apply).drop("batch")
+
+
+DECISION_COLUMNS = ("request_id", "subject_kind", "subject", "minute_count", "day_count", "allowed")
