@@ -14,8 +14,6 @@ as with centring. Training is Spark ML's distributed L-BFGS.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -24,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ITER = 1000
-ROWS_PER_PARTITION = 250_000
 TOL = 1e-6
 
 
@@ -49,12 +46,6 @@ def fit_predict(df: DataFrame, inputs: list[str], label: str, out: str,
         F.col(c) if dtypes[c] == "vector" else F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
         for c in inputs])
     k2 = (n - 1) / n
-    # L-BFGS runs one distributed pass per iteration: size the training
-    # partitions by row count (no shuffle) so a pass is neither a flood of tiny
-    # tasks on small data nor too few tasks on large data
-    parts = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    if parts < filled.rdd.getNumPartitions():
-        filled = filled.coalesce(parts)
     pipeline = Pipeline(stages=[
         VectorAssembler(inputCols=inputs, outputCol="__raw", handleInvalid="keep"),
         StandardScaler(inputCol="__raw", outputCol="__features", withMean=False, withStd=True),

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spadl import FIELD_LENGTH, FIELD_WIDTH, MOVE_TYPES
@@ -32,18 +32,27 @@ def cell(x: Column, y: Column) -> Column:
     return cell_index(y, FIELD_WIDTH, W_CELLS) * L_CELLS + cell_index(x, FIELD_LENGTH, L_CELLS)
 
 
+def cell_pairs(actions: DataFrame) -> DataFrame:
+    """Shots and moves counted by (kind, start cell, end cell, success): one
+    pass, at most 96 x 96 x 2 + 96 x 2 rows. A shot's end cell is its start."""
+    t = F.col("spadl_type")
+    start, end = cell(F.col("start_x"), F.col("start_y")), cell(F.col("end_x"), F.col("end_y"))
+    shot = t == "shot"
+    return (actions.where(shot | t.isin(*MOVE_TYPES))
+            .groupBy(shot.alias("is_shot"), start.alias("start_cell"), F.when(shot, start).otherwise(end).alias("end_cell"),
+                     F.coalesce(F.col("spadl_result") == "success", F.lit(False)).alias("ok"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def _sum_if(cond: Column) -> Column:
+    return F.sum(F.when(cond, F.col("n")).otherwise(0))
+
+
 def xt_cell_counts(actions: DataFrame) -> DataFrame:
     """Per start cell: shots, goals, moves and the three probabilities."""
-    t = F.col("spadl_type")
-    is_shot = t == "shot"
-    is_move = t.isin(*MOVE_TYPES)
-    counted = (
-        actions.where(is_shot | is_move)
-        .groupBy(cell(F.col("start_x"), F.col("start_y")).alias("cell"))
-        .agg(F.count_if(is_shot).alias("shots"),
-             F.count_if(is_shot & (F.col("spadl_result") == "success")).alias("goals"),
-             F.count_if(is_move).alias("moves"))
-    )
+    shot = F.col("is_shot")
+    counted = cell_pairs(actions).groupBy(F.col("start_cell").alias("cell")).agg(
+        _sum_if(shot).alias("shots"), _sum_if(shot & F.col("ok")).alias("goals"), _sum_if(~shot).alias("moves"))
     total = F.col("shots") + F.col("moves")
     return counted.select(
         "cell", "shots", "goals", "moves",
@@ -55,34 +64,31 @@ def xt_cell_counts(actions: DataFrame) -> DataFrame:
 
 def xt_transitions(actions: DataFrame) -> DataFrame:
     """P(end cell | start cell) over all moves; successful ones counted."""
-    moves = actions.where(F.col("spadl_type").isin(*MOVE_TYPES)).select(
-        cell(F.col("start_x"), F.col("start_y")).alias("start_cell"),
-        cell(F.col("end_x"), F.col("end_y")).alias("end_cell"),
-        (F.col("spadl_result") == "success").alias("ok"),
-    )
-    starts = moves.groupBy("start_cell").agg(F.count(F.lit(1)).alias("n_start"))
-    ok = moves.where("ok").groupBy("start_cell", "end_cell").agg(F.count(F.lit(1)).alias("n_ok"))
-    return ok.join(starts, "start_cell").select(
-        "start_cell", "end_cell", "n_ok", "n_start", (F.col("n_ok") / F.col("n_start")).alias("p"))
-
-
-def solve_grid(counts: DataFrame, transitions: DataFrame, eps: float = EPS) -> tuple[np.ndarray, int]:
-    """Value iteration xT = Ps*Pg + Pm * T xT from zero until no cell moves by more than eps.
-
-    Both inputs are bounded by the grid size; the limits are asserted before
-    anything is collected.
-    """
-    crow = counts.select("cell", "p_shot", "p_goal", "p_move").limit(N_CELLS + 1).collect()
-    trow = transitions.select("start_cell", "end_cell", "p").limit(N_CELLS * N_CELLS + 1).collect()
-    assert len(crow) <= N_CELLS and len(trow) <= N_CELLS * N_CELLS
-    gs = np.zeros(N_CELLS)
-    pm = np.zeros(N_CELLS)
-    for r in crow:
-        gs[r["cell"]] = r["p_shot"] * r["p_goal"]
-        pm[r["cell"]] = r["p_move"]
+    moves = cell_pairs(actions).where(~F.col("is_shot"))
+    w = Window.partitionBy("start_cell")  # bounded by the grid
+    rows = moves.withColumn("n_start", F.sum("n").over(w)).where("ok")
+    return rows.select("start_cell", "end_cell", F.col("n").alias("n_ok"), "n_start", (F.col("n") / F.col("n_start")).alias("p"))
+
+
+def solve_grid(pairs: DataFrame, eps: float = EPS) -> tuple[np.ndarray, int]:
+    """Value iteration xT = Ps*Pg + Pm * T xT from zero until no cell moves by
+    more than eps, from the counts of :func:`cell_pairs` (bounded by the grid
+    size, which is asserted before anything is collected)."""
+    most = 2 * N_CELLS * N_CELLS + 2 * N_CELLS
+    rows = pairs.limit(most + 1).collect()
+    assert len(rows) <= most
+    shots, goals, moves = np.zeros(N_CELLS), np.zeros(N_CELLS), np.zeros(N_CELLS)
     tm = np.zeros((N_CELLS, N_CELLS))
-    for r in trow:
-        tm[r["start_cell"], r["end_cell"]] = r["p"]
+    for r in rows:
+        if r["is_shot"]:
+            shots[r["start_cell"]] += r["n"]
+            goals[r["start_cell"]] += r["n"] * r["ok"]
+        else:
+            moves[r["start_cell"]] += r["n"]
+            tm[r["start_cell"], r["end_cell"]] += r["n"] * r["ok"]
+    total = np.maximum(shots + moves, 1)
+    gs, pm = shots / total * goals / np.maximum(shots, 1), moves / total
+    tm /= np.maximum(moves, 1)[:, None]
     xt = np.zeros(N_CELLS)
     iterations = 0
     diff = np.ones(N_CELLS)
@@ -140,5 +146,5 @@ def xt_values(actions: DataFrame, grid: DataFrame) -> DataFrame:
 
 def fit_xt(actions: DataFrame) -> tuple[DataFrame, int]:
     spark = actions.sparkSession
-    xt, iterations = solve_grid(xt_cell_counts(actions), xt_transitions(actions))
+    xt, iterations = solve_grid(cell_pairs(actions))
     return grid_frame(spark, xt), iterations

@@ -8,7 +8,7 @@ import json
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, StringType, StructField,
                                StructType)
@@ -38,7 +38,7 @@ def _pos(expr: F.Column) -> F.Column:
 
 # -------------------------------------------------------------------- A5
 LINEUP_SCHEMA = StructType([
-    StructField("team_id", LongType()), StructField("team_name", StringType()),
+    StructField("match_id", LongType()), StructField("team_id", LongType()), StructField("team_name", StringType()),
     StructField("lineup", ArrayType(StructType([
         StructField("player_id", LongType()), StructField("player_name", StringType()),
         StructField("player_nickname", StringType()), StructField("jersey_number", LongType()),
@@ -47,7 +47,7 @@ LINEUP_SCHEMA = StructType([
 
 
 def land_lineups(md: MatchData) -> str:
-    """One folder per match; each team's eleven (jersey and position move with the match)."""
+    """Each team's eleven in each match (jersey and position move with the match)."""
     path = _landing(md, "lineups")
     m = md.matches.where(F.col("source") == SOURCE_EVENTS).select(
         "match_id", F.explode(F.array(F.struct(F.col("home_team_id").alias("t"), F.col("home_team_name").alias("tn")),
@@ -63,7 +63,7 @@ def land_lineups(md: MatchData) -> str:
                 F.struct(_pos((n + F.col("match_id")) % 4).alias("position")),
                 F.struct(_pos((n + 1) % 4).alias("position"))).alias("positions")))
     m.select("match_id", F.col("s.t").cast("long").alias("team_id"), F.col("s.tn").alias("team_name"),
-             players.alias("lineup")).write.partitionBy("match_id").json(path)
+             players.alias("lineup")).write.json(path)
     return path
 
 
@@ -71,7 +71,8 @@ def read_lineups(md: MatchData, path: str) -> DataFrame:
     """A5: per team, every lineup of its matches; the last (by match date, id)
     row per player wins; its distinct positions in sorted order."""
     lu = md.spark.read.schema(LINEUP_SCHEMA).json(path).select(
-        "team_id", "lineup", F.regexp_extract(F.col("_metadata.file_path"), r"match_id=(\d+)", 1).cast("long").alias("match_id"))
+        "team_id", "lineup", F.coalesce("match_id", F.regexp_extract(F.col("_metadata.file_path"), r"(?:match_id=|/)(\d+)(?:/[^/]*)?(?:\.json)?$", 1)
+                                        .try_cast("bigint")).alias("match_id"))
     order = md.matches.select("match_id", "match_date")
     ex = lu.select("match_id", F.col("team_id").cast("string").alias("team_id"), F.explode("lineup").alias("p")).join(order, "match_id")
     last = ex.groupBy("team_id", F.col("p.player_id").cast("string").alias("player_id")).agg(

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import snapshot_id
 from ..sources.projections import MatchData
 from .sql_views import with_views
 
@@ -40,10 +41,11 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = (),
 
 
 def data_for(spark: SparkSession, sf_dir: str) -> MatchData:
-    """One MatchData per (session, folder), so plans share projection objects."""
+    """One MatchData per (session, folder), so plans share projection objects;
+    a new one when the folder's files have changed."""
     key = (id(spark), sf_dir)
     md = _DATA.get(key)
-    if md is None or md.spark is not spark:
+    if md is None or md.spark is not spark or md.token != f"md-{snapshot_id(spark, sf_dir)}":
         md = _DATA[key] = MatchData(spark, sf_dir)
     return md
 

@@ -400,3 +400,46 @@ WHERE caption_len <= 280 AND CASE p.kind
 
 
 _render_posts()
+
+
+# ------------------------------------------------------------- H1 - H3, I6
+def _boards(kind: str) -> None:
+    names = "v_players" if kind == "player" else "v_teams"
+
+    def metric_leaderboards(md: MatchData) -> DataFrame:
+        names_of = (md.players if kind == "player" else md.teams).select(F.col(f"{kind}_id").alias("id"), "name")
+        return board(entity_metrics(md, kind), names_of).select("competition_id", "metric", "position", "id", "name", "value")
+
+    metric_leaderboards.__doc__ = f"I6 in bulk: the ten leading {kind}s of every competition by every metric it has."
+    register(f"{kind}_metric_leaderboards", f"""
+SELECT competition_id, metric, cast(position AS integer) AS position, id, name, value
+FROM (SELECT l.competition_id, l.metric, l.id, n.name, l.value,
+             row_number() OVER (PARTITION BY l.competition_id, l.metric ORDER BY l.value DESC, n.name, l.id) AS position
+      FROM long l JOIN {names} n ON n.{kind}_id = l.id WHERE l.kind = '{kind}' AND l.value IS NOT NULL)
+WHERE position <= {BOARD}""", VIEWS, {**CTES, "long": LONG_SQL})(metric_leaderboards)
+
+    def totals_rule(md: MatchData) -> DataFrame:
+        return rule_totals(md, kind).select(
+            f"{kind}_id", "competition_id", *(F.round(c, 6).alias(c) for c in ("total_xt", "total_vaep", "total_xg")), "shot_count")
+
+    totals_rule.__doc__ = f"H1 / H2 over stored value tables given by a rule ({kind}s)."
+    register(f"{kind}_metric_totals_rule", f"""
+SELECT id AS {kind}_id, competition_id, round(xt, 6) AS total_xt, round(vaep, 6) AS total_vaep, round(xg, 6) AS total_xg, shots AS shot_count
+FROM totals WHERE kind = '{kind}'""", VIEWS, CTES)(totals_rule)
+
+
+_boards("player")
+_boards("team")
+
+
+@register("metric_totals_replaced", """
+SELECT id AS player_id, competition_id, round(xg, 6) AS total_xg FROM totals WHERE kind = 'player'
+UNION ALL SELECT 'gone', 'c', -1.0""", VIEWS, CTES)
+def metric_totals_replaced(md: MatchData) -> DataFrame:
+    """H3: fresh totals over a stored table: stale values are replaced, a row
+    that has no fresh value stays, and a second run changes nothing."""
+    fresh = rule_totals(md, "player").select("player_id", "competition_id", F.round("total_xg", 6).alias("total_xg"))
+    stale = fresh.withColumn("total_xg", F.lit(-5.0)).where(F.length("player_id") % 2 == 0).unionByName(
+        md.spark.createDataFrame([("gone", "c", -1.0)], fresh.schema))
+    keys = ["player_id", "competition_id"]
+    return TT.upsert(TT.upsert(stale, fresh, keys), fresh, keys)

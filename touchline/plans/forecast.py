@@ -219,9 +219,9 @@ def neutral_three_way(matchups: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 2.M backtest
-def backtest_scores(md: MatchData) -> DataFrame:
+def backtest_scores(predicted: DataFrame) -> DataFrame:
     """M1: actual vs predicted class; arg-max ties go home, draw, away."""
-    p = predictions(md).where(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
+    p = predicted.where(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
     h, d, a = F.col("prob_home_win"), F.col("prob_draw"), F.col("prob_away_win")
     predicted = F.when((h >= d) & (h >= a), "home_win").when(d >= a, "draw").otherwise("away_win")
     actual = (F.when(F.col("home_score") > F.col("away_score"), "home_win")
@@ -233,13 +233,55 @@ def backtest_scores(md: MatchData) -> DataFrame:
 
 @register("backtest_scores")
 def backtest_scores_query(md: MatchData) -> DataFrame:
-    return backtest_scores(md).select("match_id", "actual", "predicted", "training_matches")
+    return backtest_scores(predictions(md)).select("match_id", "actual", "predicted", "training_matches")
+
+
+def elo_predictions(md: MatchData) -> DataFrame:
+    """Elo-only predictions of every match, whose SQL is known. A third of them
+    counts as not fitted (no training match), by a rule on the id."""
+    m = md.matches.select("match_id", "home_score", "away_score", (F.col("match_id") % 3).alias("training_matches"))
+    return elo_probs(md).join(m, "match_id")
+
+
+ELO_SCORED_SQL = """
+SELECT match_id, training, hp, dp, ap, actual, CASE actual WHEN 'home_win' THEN hp WHEN 'draw' THEN dp ELSE ap END AS p_actual,
+       CASE WHEN hp = greatest(hp, dp, ap) THEN 'home_win' WHEN dp >= ap THEN 'draw' ELSE 'away_win' END AS predicted
+FROM (SELECT e.match_id, m.match_id % 3 AS training, e.prob_home_win AS hp, e.prob_draw AS dp, e.prob_away_win AS ap,
+             CASE sign(m.home_score - m.away_score) WHEN 1 THEN 'home_win' WHEN 0 THEN 'draw' ELSE 'away_win' END AS actual
+      FROM v_elo_probs e JOIN v_matches m ON m.match_id = e.match_id
+      WHERE m.home_score IS NOT NULL AND m.away_score IS NOT NULL)"""
+
+
+@register("backtest_scores_elo", "SELECT match_id, actual, predicted, training AS training_matches FROM scored",
+          ("v_elo_probs", "v_matches"), {"scored": ELO_SCORED_SQL})
+def backtest_scores_elo(md: MatchData) -> DataFrame:
+    return backtest_scores(elo_predictions(md)).select("match_id", "actual", "predicted", "training_matches")
+
+
+@register("backtest_report_elo", """
+SELECT count(*) AS matches, round(avg(hit), 4) AS model_accuracy, round(avg(is_h), 4) AS home_pick_baseline_accuracy,
+       arg_max(actual, weight) AS majority_class, round(max(weight_n) / count(*), 4) AS majority_class_baseline_accuracy,
+       round(coalesce(avg(hit) FILTER (WHERE training > 0), 0), 4) AS model_accuracy_on_fitted_matches,
+       count(*) FILTER (WHERE training > 0) AS fitted_matches, round(avg(p_actual), 4) AS mean_probability_on_actual,
+       round(avg((hp - is_h) ** 2 + (dp - is_d) ** 2 + (ap - is_a) ** 2), 4) AS brier_score,
+       round(avg(-ln(greatest(p_actual, 1e-12))), 4) AS log_loss,
+       cast(sum(is_h) AS bigint) AS home_wins, cast(sum(is_d) AS bigint) AS draws, cast(sum(is_a) AS bigint) AS away_wins
+FROM (SELECT s.*, cast(predicted = actual AS int) AS hit, cast(actual = 'home_win' AS int) AS is_h, cast(actual = 'draw' AS int) AS is_d,
+             cast(actual = 'away_win' AS int) AS is_a, count(*) OVER (PARTITION BY actual) AS weight_n,
+             count(*) OVER (PARTITION BY actual) * 4 + CASE actual WHEN 'home_win' THEN 3 WHEN 'draw' THEN 2 ELSE 1 END AS weight
+      FROM scored s)
+""", ("v_elo_probs", "v_matches"), {"scored": ELO_SCORED_SQL})
+def backtest_report_elo(md: MatchData) -> DataFrame:
+    return report_of(backtest_scores(elo_predictions(md)))
 
 
 @register("backtest_report")
 def backtest_report(md: MatchData) -> DataFrame:
-    """M2-M5 in one aggregation; the majority class is a grouped count joined back."""
-    s = backtest_scores(md)
+    return report_of(backtest_scores(predictions(md)))
+
+
+def report_of(s: DataFrame) -> DataFrame:
+    """M2-M5 in one aggregation, with the outcome counts."""
     is_h, is_d, is_a = [(F.col("actual") == k).cast("double") for k in ("home_win", "draw", "away_win")]
     brier = (F.col("h") - is_h) ** 2 + (F.col("d") - is_d) ** 2 + (F.col("a") - is_a) ** 2
     fitted = F.col("training_matches") > 0
@@ -261,7 +303,8 @@ def backtest_report(md: MatchData) -> DataFrame:
         F.round(F.greatest(nh, nd, na) / F.col("matches"), 4).alias("majority_class_baseline_accuracy"),
         F.round(F.coalesce("acc_fit", F.lit(0.0)), 4).alias("model_accuracy_on_fitted_matches"),
         "fitted_matches", F.round("mpa", 4).alias("mean_probability_on_actual"),
-        F.round("brier", 4).alias("brier_score"), F.round("ll", 4).alias("log_loss"))
+        F.round("brier", 4).alias("brier_score"), F.round("ll", 4).alias("log_loss"),
+        nh.cast("long").alias("home_wins"), nd.cast("long").alias("draws"), na.cast("long").alias("away_wins"))
 
 
 @register("brier_score")

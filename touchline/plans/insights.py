@@ -129,31 +129,29 @@ def _event_leaderboard(md: MatchData, kind: str, metric: str) -> DataFrame:
 
 def _event_leaderboard_sql(kind: str, metric: str) -> str:
     key, name = f"{kind}_id", f"{kind}_name"
-    cond = "me.type = 'Shot' AND me.outcome = 'Goal'" if metric == "goals" else "me.type = 'Pass'"
+    cond = "type = 'Shot' AND outcome = 'Goal'" if metric == "goals" else "type = 'Pass'"
     return f"""
-SELECT name, value, shots, cast(row_number() OVER (ORDER BY value DESC, name, id) AS integer) AS rank FROM (
-  SELECT me.{key} AS id, max(me.{name}) AS name, count(*) AS value, coalesce(max(tt.shot_count), 0) AS shots
-  FROM v_events me
-  LEFT JOIN (SELECT * FROM v_{kind}_totals WHERE competition_id IN (SELECT competition_id FROM wc_comp)) tt
-    ON tt.{key} = me.{key}
-  WHERE {cond} AND me.{key} IS NOT NULL AND me.match_id IN (SELECT match_id FROM wc)
-  GROUP BY me.{key} HAVING coalesce(max(tt.shot_count), 0) >= {MIN_SHOTS}
-  ORDER BY value DESC, name, id LIMIT {LIMIT}) s"""
+SELECT c.name, c.value, coalesce(s.shots, 0) AS shots,
+       cast(row_number() OVER (ORDER BY c.value DESC, c.name, c.id) AS integer) AS rank
+FROM (SELECT {key} AS id, max({name}) AS name, count(*) AS value
+      FROM v_events SEMI JOIN wc USING (match_id) WHERE {cond} AND {key} IS NOT NULL GROUP BY {key}) c
+LEFT JOIN (SELECT {key} AS id, sum(shot_count) AS shots FROM v_{kind}_totals SEMI JOIN wc_comp USING (competition_id) GROUP BY {key}) s USING (id)
+WHERE coalesce(s.shots, 0) >= {MIN_SHOTS} QUALIFY rank <= {LIMIT}"""
 
 
-register("event_leaderboard", _event_leaderboard_sql("player", "goals"), TOT + WC_VIEWS)(
+register("event_leaderboard", _event_leaderboard_sql("player", "goals"), TOT + WC_VIEWS + ("wc_comp",))(
     lambda md: _event_leaderboard(md, "player", "goals"))
-register("event_leaderboard_team_passes", _event_leaderboard_sql("team", "passes"), TOT + WC_VIEWS)(
+register("event_leaderboard_team_passes", _event_leaderboard_sql("team", "passes"), TOT + WC_VIEWS + ("wc_comp",))(
     lambda md: _event_leaderboard(md, "team", "passes"))
 
 
 # ------------------------------------------------------------------- I8
 @register("score_goal_leaderboard", f"""
-SELECT name, value, cast(row_number() OVER (ORDER BY value DESC NULLS LAST, name, team_id) AS integer) AS rank FROM (
-  SELECT t.team_id, t.name, cast(sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END) AS bigint) AS value
-  FROM v_matches m JOIN v_teams t ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
-  WHERE m.competition_id IN (SELECT competition_id FROM feed_comp)
-  GROUP BY t.team_id, t.name ORDER BY value DESC NULLS LAST, t.name, t.team_id LIMIT {LIMIT}) s
+SELECT name, value, cast(row_number() OVER (ORDER BY value DESC NULLS LAST, name, team_id) AS integer) AS rank
+FROM (SELECT side.team_id AS team_id, cast(sum(side.goals) AS bigint) AS value
+      FROM (SELECT unnest([{{'team_id': home_team_id, 'goals': home_score}}, {{'team_id': away_team_id, 'goals': away_score}}]) AS side
+            FROM v_matches SEMI JOIN feed_comp USING (competition_id)) GROUP BY 1)
+JOIN v_teams USING (team_id) QUALIFY rank <= {LIMIT}
 """, ("v_teams", "v_matches", "feed_comp"))
 def score_goal_leaderboard(md: MatchData) -> DataFrame:
     m = md.matches.join(_feed_comp(md), "competition_id")

@@ -46,43 +46,41 @@ GOALS_SQL = """SELECT * FROM v_events WHERE match_id IN (SELECT match_id FROM wc
 
 
 @register("list_goals", f"""
-SELECT event_id, match_id, period, minute, "second", scorer, team_name, home_team_name, away_team_name, stage,
-       shot_type, play_pattern FROM (
-  SELECT me.event_id, me.match_id, me.period, me.minute, me."second", coalesce(p.display_name, me.player_name) AS scorer,
-         me.team_name, ht.name AS home_team_name, awt.name AS away_team_name, m.stage, me.shot_type, me.play_pattern, m.match_date
-  FROM goals me JOIN v_matches m ON m.match_id = me.match_id
-  JOIN v_teams ht ON ht.team_id = m.home_team_id JOIN v_teams awt ON awt.team_id = m.away_team_id
-  LEFT JOIN v_players p ON p.player_id = me.player_id
-  WHERE me.period <= 4
-  ORDER BY CASE WHEN m.stage = '{FINAL_STAGE}' AND me.shot_type = 'open_play' THEN 0 ELSE 1 END,
-           CASE WHEN m.stage = '{FINAL_STAGE}' THEN 0 ELSE 1 END, m.match_date DESC, me.minute, me."second", me.event_id
-  LIMIT {P.GOAL_LIMIT}) s
+SELECT g.event_id, g.match_id, g.period, g.minute, g."second", coalesce(s.display_name, g.player_name) AS scorer, g.team_name,
+       h.name AS home_team_name, w.name AS away_team_name, x.stage, g.shot_type, g.play_pattern
+FROM (SELECT * FROM goals WHERE period <= 4) g
+JOIN (SELECT *, coalesce(stage = '{FINAL_STAGE}', false) AS is_final FROM v_matches) x USING (match_id)
+JOIN v_teams h ON x.home_team_id = h.team_id JOIN v_teams w ON x.away_team_id = w.team_id
+LEFT JOIN v_players s USING (player_id)
+QUALIFY row_number() OVER (ORDER BY x.is_final AND coalesce(g.shot_type = 'open_play', false) DESC, x.is_final DESC,
+                           x.match_date DESC, g.minute, g."second", g.event_id) <= {P.GOAL_LIMIT}
 """, WC_VIEWS + ("v_players",), {"goals": GOALS_SQL})
 def list_goals(md: MatchData) -> DataFrame:
     return P.list_goals(wc_events(md), md.matches, md.teams, md.players, FINAL_STAGE)
 
 
-@register("possession_break", """
-SELECT g.event_id AS goal_id, me.event_id, me.sequence,
-       cast(sum(CASE WHEN me.possession_team_id IS DISTINCT FROM g.possession_team_id THEN 1 ELSE 0 END)
-         OVER (PARTITION BY g.event_id ORDER BY me.sequence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS possession_break
-FROM goals g JOIN v_events me ON me.match_id = g.match_id AND me.sequence <= g.sequence
-""", WC_VIEWS, {"goals": GOALS_SQL})
+# every event up to a goal, with the number of other-possession events from it to the goal
+RUNUP_SQL = """
+SELECT *, all_foreign - coalesce(sum(is_foreign) OVER (PARTITION BY goal_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS foreign_left
+FROM (SELECT g.event_id AS goal_id, g.team_id AS goal_team_id, e.*, f.is_foreign, sum(f.is_foreign) OVER (PARTITION BY g.event_id) AS all_foreign
+      FROM goals g JOIN v_events e ON e.match_id = g.match_id AND e.sequence <= g.sequence,
+           LATERAL (SELECT cast(e.possession_team_id IS DISTINCT FROM g.possession_team_id AS integer) AS is_foreign) f)"""
+
+
+@register("possession_break", "SELECT goal_id, event_id, sequence, cast(foreign_left AS bigint) AS possession_break FROM runup",
+          WC_VIEWS, {"goals": GOALS_SQL, "runup": RUNUP_SQL})
 def possession_break(md: MatchData) -> DataFrame:
     # the chains live inside the goals' matches: read only their competition (pruned)
     return P.possession_break(wc_events(md), wc_goals(md))
 
 
 BUILDUP_SQL = f"""
+WITH runup AS ({RUNUP_SQL})
 SELECT goal_id, event_id, sequence, period, minute, "second", type, player_name, team_name, location_x, location_y,
-       end_location_x, end_location_y, event_id = goal_id AS is_goal, count(*) OVER (PARTITION BY goal_id) AS path_event_count
-FROM (SELECT s.*, row_number() OVER (PARTITION BY goal_id ORDER BY sequence) AS rn FROM (
-        SELECT me.*, g.event_id AS goal_id, g.team_id AS goal_team_id,
-               sum(CASE WHEN me.possession_team_id IS DISTINCT FROM g.possession_team_id THEN 1 ELSE 0 END)
-                 OVER (PARTITION BY g.event_id ORDER BY me.sequence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS brk
-        FROM goals g JOIN v_events me ON me.match_id = g.match_id AND me.sequence <= g.sequence) s
-      WHERE brk = 0 AND team_id = goal_team_id AND location_x IS NOT NULL AND location_y IS NOT NULL) k
-WHERE rn <= {P.CHAIN_LIMIT}"""
+       end_location_x, end_location_y, event_id = goal_id AS is_goal, least(n, {P.CHAIN_LIMIT}) AS path_event_count
+FROM (SELECT *, count(*) OVER (PARTITION BY goal_id) AS n FROM runup
+      WHERE foreign_left = 0 AND team_id = goal_team_id AND location_x IS NOT NULL AND location_y IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY goal_id ORDER BY sequence) <= {P.CHAIN_LIMIT}"""
 
 
 def buildup(md: MatchData) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import spadl as S
 from ..sources.projections import MatchData
 from .catalog import register
-from .golden import WC_VIEWS, wc_matches
+from .golden import _first_by, WC_VIEWS, wc_matches
 
 
 def spadl(md: MatchData) -> DataFrame:
@@ -374,12 +374,9 @@ def _valued_actions(md: MatchData, with_vaep: bool) -> DataFrame:
     return sa.join(action_values(md, with_vaep), "action_id")
 
 
-@register("team_016", """
-SELECT t.name AS team_name, round(sum(av.xt_value), 6) AS total_expected_threat
-FROM wc wm JOIN v_spadl sa ON sa.match_id = wm.match_id JOIN v_xt_values av ON av.action_id = sa.action_id
-JOIN v_teams t ON t.team_id = sa.team_id WHERE av.xt_value IS NOT NULL
-GROUP BY t.name ORDER BY total_expected_threat DESC, t.name LIMIT 1
-""", WC_VIEWS + ("v_spadl", "v_xt_values"))
+@register("team_016", _first_by("name", "round(sum(xt_value), 6)", """
+(SELECT n.name, x.xt_value FROM v_xt_values x JOIN (SELECT action_id, team_id FROM v_spadl SEMI JOIN wc USING (match_id)) a USING (action_id)
+ JOIN v_teams n USING (team_id) WHERE x.xt_value IS NOT NULL)""", "team_name", "total_expected_threat"), WC_VIEWS + ("v_spadl", "v_xt_values"))
 def team_016(md: MatchData) -> DataFrame:
     v = _valued_actions(md, False).where(F.col("xt_value").isNotNull()).join(_team_names(md), "team_id")
     agg = v.groupBy("team_name").agg(F.round(F.sum("xt_value"), 6).alias("total_expected_threat"))
@@ -392,12 +389,9 @@ def player_022(md: MatchData) -> DataFrame:
     return top1(sx.groupBy("player_name").agg(F.round(F.sum("xg"), 6).alias("total_xg")), "player_name", "total_xg")
 
 
-@register("player_023", """
-SELECT p.name AS player_name, round(sum(av.xt_value), 6) AS total_expected_threat
-FROM wc wm JOIN v_spadl sa ON sa.match_id = wm.match_id JOIN v_xt_values av ON av.action_id = sa.action_id
-JOIN v_players p ON p.player_id = sa.player_id WHERE av.xt_value IS NOT NULL
-GROUP BY p.name ORDER BY total_expected_threat DESC, p.name LIMIT 1
-""", WC_VIEWS + ("v_spadl", "v_xt_values", "v_players"))
+@register("player_023", _first_by("name", "round(sum(xt_value), 6)", """
+(SELECT n.name, x.xt_value FROM v_xt_values x JOIN (SELECT action_id, player_id FROM v_spadl SEMI JOIN wc USING (match_id)) a USING (action_id)
+ JOIN v_players n USING (player_id) WHERE x.xt_value IS NOT NULL)""", "player_name", "total_expected_threat"), WC_VIEWS + ("v_spadl", "v_xt_values", "v_players"))
 def player_023(md: MatchData) -> DataFrame:
     v = _valued_actions(md, False).where(F.col("xt_value").isNotNull()).join(_player_names(md), "player_id")
     agg = v.groupBy("player_name").agg(F.round(F.sum("xt_value"), 6).alias("total_expected_threat"))

@@ -109,6 +109,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def snapshot_id(spark: SparkSession, folder: str) -> str:
+    """Name of the state of a folder of tables: a hash of its files' paths, sizes
+    and times, as the file system lists them."""
+    import hashlib
+
+    at, fs = _file_system(spark, folder)
+    files = fs.listFiles(at, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr((folder, sorted(seen))).encode()).hexdigest()[:16]
+
+
+def stored_once(spark: SparkSession, name: str, write) -> str:
+    """Path of a stored table under the shared folder, the same for every
+    session. ``write(path)`` runs if no session has written it: to a path of its
+    own, which is renamed when complete, so readers never see a part of it."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/touchline-tables/{name}"
+    at, fs = _file_system(spark, path)
+    if not fs.exists(at):
+        own = f"{path}-{uuid.uuid4().hex[:12]}"
+        write(own)
+        fs.mkdirs(at.getParent())
+        if not fs.exists(at):
+            fs.rename(_file_system(spark, own)[0], at)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = ensure_checkpoint_dir(spark)

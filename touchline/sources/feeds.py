@@ -44,7 +44,7 @@ MATCH_SCHEMA = _s(
 DETAIL = _s(("end_location", LOCATION), ("outcome", NAMED), ("body_part", NAMED), ("type", NAMED),
             ("cross", BooleanType()))
 EVENT_SCHEMA = _s(
-    ("id", StringType()), ("index", LongType()), ("period", LongType()), ("minute", LongType()), ("second", LongType()),
+    ("match_id", LongType()), ("id", StringType()), ("index", LongType()), ("period", LongType()), ("minute", LongType()), ("second", LongType()),
     ("type", NAMED), ("team", ID_NAME), ("player", ID_NAME), ("possession_team", ID_NAME), ("play_pattern", NAMED),
     ("under_pressure", BooleanType()), ("location", LOCATION), ("duration", DoubleType()),
     ("pass", DETAIL), ("shot", DETAIL), ("carry", DETAIL), ("dribble", DETAIL), ("duel", DETAIL),
@@ -109,13 +109,15 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_records(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """Raw events with ``__path`` and ``__match`` (null where neither the file
-    name nor a folder gives the match id). Files at any depth are read."""
+    """Raw events with ``__path`` and ``__match``: the record's own match id (files
+    of many matches carry one), else that of the folder or file name, else
+    null. Files at any depth are read."""
     e = (spark.read.schema(EVENT_SCHEMA).option("multiLine", multiline).option("recursiveFileLookup", "true").json(path)
          .select("*", F.col("_metadata.file_path").alias("__path")))
     named = F.regexp_extract("__path", r"/(\d+)\.json$", 1)
     folder = F.regexp_extract("__path", r"match_id=(\d+)", 1)
-    return e.withColumn("__match", F.coalesce(F.when(folder != "", folder), F.when(named != "", named)).try_cast("bigint"))
+    of_path = F.coalesce(F.when(folder != "", folder), F.when(named != "", named)).try_cast("bigint")
+    return e.withColumn("__match", F.coalesce("match_id", of_path))
 
 
 def unnamed_event_files(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

@@ -21,15 +21,12 @@ from functools import cached_property, wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import snapshot_id, stored_once
 from .tables import read_table
 
 # Fixed values of the neutral schema (labels as stored by the reference).
 SOURCE_EVENTS = "statsbomb"
 SOURCE_FEED = "api_football"
-STATSBOMB_TYPES_BY_K = (
-    # k < 9 Pass, < 13 Carry, < 15 Shot, then one type each for 15..19
-    "Pass", "Carry", "Shot", "Dribble", "Duel", "Goal Keeper", "Foul Committed", "Pressure",
-)
 FEED_TYPES = ("Goal", "Yellow Card", "Substitution")
 SHOT_OUTCOMES = ("Goal", "Saved", "Blocked", "Off T", "Wayward", "Post")
 BODY_PARTS = ("left_foot", "right_foot", "head", "other")
@@ -53,9 +50,9 @@ PARTITION_COLUMNS = {"events": ("competition_id",)}
 
 
 def stored_property(build):
-    """A projection built once per MatchData. With ``store`` on, it is written
-    as a parquet table in the shared checkpoint folder on first use and read
-    back from there: later plans start from that stored table (short lineage,
+    """A projection built once per state of its tables. With ``store`` on, the
+    first session that uses it writes it as a parquet table in the shared
+    folder; that session and later ones read it from there (short lineage,
     column pruning and filter pushdown on the scan), as the reference's
     queries start from its stored tables."""
 
@@ -65,13 +62,11 @@ def stored_property(build):
         if key not in self.__dict__:
             df = build(self)
             if self.store:
-                from ..session import scratch_path
-                path = scratch_path(self.spark, f"{self.token}/{build.__name__}")
                 parts = PARTITION_COLUMNS.get(build.__name__)
                 # REBALANCE: AQE sizes the write tasks per folder, merging small
                 # competitions and splitting a hot one across tasks
-                writer = df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write
-                writer.mode("overwrite").parquet(path)
+                path = stored_once(self.spark, f"{self.token}/{build.__name__}", lambda p: (
+                    df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(p))
                 df = self.spark.read.parquet(path).select(*df.columns)
             self.__dict__[key] = df
         return self.__dict__[key]
@@ -83,12 +78,10 @@ class MatchData:
     """Lazily built projections of one table folder (``sf_dir``)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
-        import uuid
-
         self.spark = spark
         self.sf_dir = sf_dir
         self.store = store
-        self.token = f"md-{uuid.uuid4().hex[:12]}"
+        self.token = f"md-{snapshot_id(spark, sf_dir)}"
 
     def memo(self, name: str, build):
         """Build a derived table once per MatchData (plans share the object)."""
@@ -101,15 +94,12 @@ class MatchData:
         """Write memoised derived tables (e.g. SPADL actions) as parquet tables
         in the shared checkpoint folder and swap in their reads; projections
         named here are simply forced (they store themselves)."""
-        from ..session import scratch_path
-
         for name in names:
             if name in ("teams", "matches", "competitions", "events", "players"):
                 getattr(self, name)
                 continue
             df = self.memo(name, (build or {})[name])
-            path = scratch_path(self.spark, f"{self.token}/{name}")
-            df.write.mode("overwrite").parquet(path)
+            path = stored_once(self.spark, f"{self.token}/{name}", df.write.parquet)
             self.__dict__.setdefault("_memo", {})[name] = self.spark.read.parquet(path)
 
     def read(self, name: str, *columns: str) -> DataFrame:
