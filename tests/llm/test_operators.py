@@ -126,6 +126,14 @@ def test_entropy_spans_and_allow_list(odd_docs):
     assert found[16 * 3] == ["gH7kQ2vX9pLm4Rt8ZsW1"]  # the UUID and the repeated letter are allowed
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(f"token=abc{i:05d}xyz" for i in range(1500)) + " a_b_" * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.scan(df).first()
+    assert [(s.start, s.kind, s.end) for s in found.base] == brute.base_spans(text) and len(found.base) == 1500
+    assert found.added == []
+
+
 def test_redact(odd_docs):
     rows = {r.doc_id: r.text for r in secrets.redact(odd_docs).collect()}
     assert rows[0] is None and rows[3] == ""

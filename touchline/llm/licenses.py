@@ -153,6 +153,6 @@ hits AS (SELECT p.doc_id, p.position, k.id FROM parts p JOIN known k
          ON trim(regexp_replace(lower(p.part), '[^a-z0-9]+', ' ', 'g')) = k.sentence),
 paths AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids,
                  '>' || string_agg(id, '>' ORDER BY position) || '>' AS path FROM hits GROUP BY doc_id),
-named AS (SELECT doc_id, n, ids, array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], x -> x IS NOT NULL))), ',') AS licenses FROM paths)
+named AS (SELECT doc_id, n, ids, array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',') AS licenses FROM paths)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses
 FROM documents d LEFT JOIN named USING (doc_id)"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from ..sources.tables import read_table
+from . import licenses, substrings, twins
 
 
 def _over(table: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,4 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": _over("documents", "licenses", "op10_licenses"),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_secrets": twins.op3_sql(),
+    "op4_substrings": substrings.op4_sql(),
+    "op8_quality": twins.op8_sql(),
+    "op10_licenses": licenses.op10_sql(),
+}

@@ -31,14 +31,13 @@ CANDIDATE = (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*+[0
 WINDOW = 20
 #: Entropy bounds in bits a character, by class.
 HEX_BITS, ALNUM_BITS, TOKEN_BITS = 3.0, 3.6, 3.8
-#: Candidates that are no secrets: one repeated character, counting digits or
-#: letters, UUIDs, dates and words joined by signs, paths.
+#: Candidates that are no secrets: counting digits or letters, UUIDs, dates,
+#: words joined by signs (a short number may end them), paths, placeholders.
 ALLOW = (
-    r"^(.)\1+$",
     r"^(0123456789|1234567890|abcdefghij)",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^([A-Za-z]+[_/+=-]+)+[A-Za-z]*[0-9]{0,4}$",
+    r"^[A-Za-z_/+=-]*[_/+=-][A-Za-z]*[0-9]{0,4}$",
     r"(?i)example|sample|placeholder|changeme|xxxx",
 )
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -49,6 +48,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_SPANS = "array<struct<start:int,end:int,kind:int,text:string>>"
+#: Matches of a text are gathered in parts of this many, so long lists are not copied at every step.
+_PART = 256
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """All matches as structs (start, end, kind, text), leftmost, not overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -59,15 +63,16 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
             start = state["at"] + F.element_at(both["gaps"], i + 1)
             own = F.element_at(both["found"], i + 1)
             end = start + F.length(own)
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(
-                start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), own.alias("text")))).alias("out"))
+            span = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), own.alias("text")))
+            full = F.size(state["part"]) >= _PART
+            return F.struct(end.alias("at"), F.when(full, span).otherwise(F.concat(state["part"], span)).alias("part"),
+                            F.when(full, F.concat(state["parts"], F.array(state["part"]))).otherwise(state["parts"]).alias("parts"))
 
-        none = F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>")
-        return F.aggregate(F.sequence(F.lit(0), F.size(both["found"]) - 1),
-                           F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("part"), F.array().cast(f"array<{_SPANS}>").alias("parts"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(both["found"]) - 1), start, step,
+                           lambda s: F.flatten(F.concat(s["parts"], F.array(s["part"]))))
 
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int,text:string>>")
-    return F.when(text.rlike(pattern), _let(F.struct(found.alias("found"), gaps.alias("gaps")), spans)).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(F.struct(found.alias("found"), gaps.alias("gaps")), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _peak_entropy(token: Column, window: int) -> Column:

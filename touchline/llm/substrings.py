@@ -180,7 +180,7 @@ def op4_sql(k: int = K) -> str:
     return f"""
 WITH words AS (
   SELECT doc_id, row_number() OVER () AS r,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 starts AS (SELECT r, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words WHERE len(w) >= {k}),
 grams AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + {k - 1}), ' ')) AS g FROM starts),
 again AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
