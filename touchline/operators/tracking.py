@@ -47,13 +47,10 @@ def track_summary(points: DataFrame) -> DataFrame:
     """Per track: majority class (ties: the class seen first), frame
     count, first and last frame."""
     per_class = points.groupBy("clip_name", "track_id", "class").agg(
-        F.count(F.lit(1)).alias("n"), F.min("frame_index").alias("first_seen"))
-    w = Window.partitionBy("clip_name", "track_id").orderBy(F.desc("n"), "first_seen")
-    majority = per_class.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("clip_name", "track_id", "class")
-    frames = points.groupBy("clip_name", "track_id").agg(
-        F.count(F.lit(1)).alias("frame_count"), F.min("frame_index").alias("first_frame"),
-        F.max("frame_index").alias("last_frame"))
-    return frames.join(majority, ["clip_name", "track_id"])
+        F.count(F.lit(1)).alias("n"), F.min("frame_index").alias("first_seen"), F.max("frame_index").alias("last_seen"))
+    return per_class.groupBy("clip_name", "track_id").agg(
+        F.sum("n").alias("frame_count"), F.min("first_seen").alias("first_frame"), F.max("last_seen").alias("last_frame"),
+        F.max_by("class", F.struct(F.col("n"), -F.col("first_seen"))).alias("class"))
 
 
 def track_movement(points: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame:
@@ -63,17 +60,14 @@ def track_movement(points: DataFrame, x: str = "cx", y: str = "cy") -> DataFrame
     dx = F.col(x) - F.lag(x).over(w)
     dy = F.col(y) - F.lag(y).over(w)
     dt = F.col("time_seconds") - F.lag("time_seconds").over(w)
-    seg = points.select("clip_name", "track_id", "time_seconds",
+    seg = points.select("clip_name", "track_id", "time_seconds", "frame_index",
                         F.sqrt(dx * dx + dy * dy).alias("seg"), dt.alias("dt"))
     speed = F.when(F.col("dt") > 0, F.col("seg") / F.col("dt"))
-    agg = seg.groupBy("clip_name", "track_id").agg(
-        F.coalesce(F.sum("seg"), F.lit(0.0)).alias("dist"),
-        F.coalesce(F.max(speed), F.lit(0.0)).alias("top"))
-    # time span between the first and the last known time (in frame order)
-    span = (points.where(F.col("time_seconds").isNotNull()).groupBy("clip_name", "track_id")
-            .agg(F.min_by("time_seconds", "frame_index").alias("t0"), F.max_by("time_seconds", "frame_index").alias("t1"),
-                 F.count(F.lit(1)).alias("nt")))
-    j = agg.join(span, ["clip_name", "track_id"], "left")
+    timed = F.when(F.col("time_seconds").isNotNull(), F.col("frame_index"))
+    # the window's order by track also serves the aggregation: one shuffle
+    j = seg.groupBy("clip_name", "track_id").agg(
+        F.coalesce(F.sum("seg"), F.lit(0.0)).alias("dist"), F.coalesce(F.max(speed), F.lit(0.0)).alias("top"),
+        F.min_by("time_seconds", timed).alias("t0"), F.max_by("time_seconds", timed).alias("t1"), F.count("time_seconds").alias("nt"))
     tracked = F.when((F.col("nt") >= 2) & (F.col("t1") - F.col("t0") > 0), F.col("t1") - F.col("t0")).otherwise(0.0)
     return j.select("clip_name", "track_id",
                     F.round(tracked, 3).alias("time_tracked_seconds"),
@@ -88,6 +82,22 @@ def metric_units(calibrated: Column, pitch_units: Column) -> tuple[Column, Colum
     return base, F.concat(base, F.lit("_per_second"))
 
 
+def calibrated_movement(points: DataFrame, homographies: DataFrame, pitch_units: str) -> DataFrame:
+    """N3 after N5: the points of clips with a homography are projected to the
+    pitch before distances are measured; those of other clips stay pixels. The
+    unit names say which."""
+    known = homographies.select("clip_id").distinct().withColumn("calibrated", F.lit(True))
+    own = points.withColumn("clip_id", F.concat(F.lit(CV_PREFIX), F.col("clip_name")))
+    placed = apply_calibration(own.select("clip_id", "track_id", "frame_index", F.col("cx").alias("x"), F.col("cy").alias("y")), homographies)
+    placed = placed.select("clip_id", "track_id", "frame_index", "pitch_x", "pitch_y")
+    both = own.join(placed, ["clip_id", "track_id", "frame_index"], "left").select(
+        "clip_name", "track_id", "frame_index", "time_seconds", F.coalesce("pitch_x", "cx").alias("x"), F.coalesce("pitch_y", "cy").alias("y"))
+    moved = track_movement(both, "x", "y").withColumn("clip_id", F.concat(F.lit(CV_PREFIX), F.col("clip_name"))).join(known, "clip_id", "left")
+    distance, speed = metric_units(F.coalesce("calibrated", F.lit(False)), F.lit(pitch_units))
+    return moved.select("clip_id", "track_id", "time_tracked_seconds", "total_distance", "top_speed", "average_speed",
+                        distance.alias("distance_units"), speed.alias("speed_units"))
+
+
 def license_lookup(clips: DataFrame, licences: DataFrame) -> DataFrame:
     """Licence by lower-cased file base name, else 'unknown'."""
     base = F.lower(F.regexp_extract(F.col("source_video"), r"([^/\\]+)$", 1))

@@ -242,9 +242,38 @@ def calibration_pairs(md: MatchData) -> DataFrame:
                       ((h[3] * F.col("px") + h[4] * F.col("py") + h[5]) / w).alias("Y"))
 
 
-@register("calibrate_clips")
+@register("calibrate_clips", """
+SELECT DISTINCT 'cv:' || clip_name AS clip_id, 0.875::double AS h0, 0.0::double AS h1, (clip_name::bigint % 5)::double AS h2,
+       0.0::double AS h3, 0.85::double AS h4, 0.0::double AS h5, (clip_name::bigint % 7) / 100000.0 AS h6, 0.0::double AS h7, 1.0::double AS h8
+FROM v_track_points
+""", ("v_track_points",))
 def calibrate_clips(md: MatchData) -> DataFrame:
-    return _rounded(TR.calibrate_clips(calibration_pairs(md)), *[f"h{i}" for i in range(9)])
+    """The fitted matrices; the points were made with known ones."""
+    h = TR.calibrate_clips(calibration_pairs(md))
+    return h.select("clip_id", *((F.round(f"h{i}", 6) + 0.0).alias(f"h{i}") for i in range(9)))
+
+
+@register("calibrated_movement", """
+SELECT s.clip_id, s.track_id, round(t, 3) AS time_tracked_seconds, round(round(coalesce(d, 0), 3), 2) AS total_distance,
+       round(round(coalesce(v, 0), 3), 2) AS top_speed, CASE WHEN even THEN 'meters' ELSE 'pixels' END AS distance_units,
+       CASE WHEN even THEN 'meters' ELSE 'pixels' END || '_per_second' AS speed_units
+FROM spans s LEFT JOIN (SELECT clip_id, track_id, sum(d) AS d, max(CASE WHEN dt > 0 THEN d / dt END) AS v FROM steps GROUP BY ALL) m
+  ON m.clip_id = s.clip_id AND m.track_id = s.track_id
+""", ("v_track_points",), {
+    "placed": """
+  SELECT 'cv:' || clip_name AS clip_id, track_id, frame_index, time_seconds, even,
+         CASE WHEN even THEN (0.875 * cx + n % 5) / w ELSE cx END AS x, CASE WHEN even THEN 0.85 * cy / w ELSE cy END AS y
+  FROM (SELECT *, n % 2 = 0 AS even, (n % 7) / 100000.0 * cx + 1.0 AS w FROM (SELECT *, clip_name::bigint AS n FROM v_track_points))""",
+    "steps": """
+  SELECT a.clip_id, a.track_id, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d, b.time_seconds - a.time_seconds AS dt
+  FROM placed a ASOF JOIN placed b ON b.clip_id = a.clip_id AND b.track_id = a.track_id AND b.frame_index > a.frame_index""",
+    "spans": """SELECT clip_id, track_id, even, max(time_seconds) - min(time_seconds) AS t FROM placed GROUP BY ALL"""})
+def calibrated_movement(md: MatchData) -> DataFrame:
+    """N3 with every second clip calibrated."""
+    pairs = calibration_pairs(md).where(F.regexp_extract("clip_id", r"(\d+)$", 1).cast("long") % 2 == 0)
+    out = TR.calibrated_movement(track_points(md), TR.calibrate_clips(pairs), "meters")
+    return out.select("clip_id", "track_id", "time_tracked_seconds", F.round("total_distance", 2).alias("total_distance"),
+                      F.round("top_speed", 2).alias("top_speed"), "distance_units", "speed_units")
 
 
 @register("apply_calibration", """
