@@ -254,8 +254,8 @@ def calibrate_clips(md: MatchData) -> DataFrame:
 
 
 @register("calibrated_movement", """
-SELECT s.clip_id, s.track_id, round(t, 3) AS time_tracked_seconds, round(round(coalesce(d, 0), 3), 2) AS total_distance,
-       round(round(coalesce(v, 0), 3), 2) AS top_speed, CASE WHEN even THEN 'meters' ELSE 'pixels' END AS distance_units,
+SELECT s.clip_id, s.track_id, round(t, 3) AS time_tracked_seconds, round(coalesce(d, 0), 3) AS total_distance,
+       round(coalesce(v, 0), 3) AS top_speed, CASE WHEN even THEN 'meters' ELSE 'pixels' END AS distance_units,
        CASE WHEN even THEN 'meters' ELSE 'pixels' END || '_per_second' AS speed_units
 FROM spans s LEFT JOIN (SELECT clip_id, track_id, sum(d) AS d, max(CASE WHEN dt > 0 THEN d / dt END) AS v FROM steps GROUP BY ALL) m
   ON m.clip_id = s.clip_id AND m.track_id = s.track_id
@@ -272,8 +272,8 @@ def calibrated_movement(md: MatchData) -> DataFrame:
     """N3 with every second clip calibrated."""
     pairs = calibration_pairs(md).where(F.regexp_extract("clip_id", r"(\d+)$", 1).cast("long") % 2 == 0)
     out = TR.calibrated_movement(track_points(md), TR.calibrate_clips(pairs), "meters")
-    return out.select("clip_id", "track_id", "time_tracked_seconds", F.round("total_distance", 2).alias("total_distance"),
-                      F.round("top_speed", 2).alias("top_speed"), "distance_units", "speed_units")
+    return out.select("clip_id", "track_id", "time_tracked_seconds", "total_distance",
+                      "top_speed", "distance_units", "speed_units")
 
 
 @register("apply_calibration", """
