@@ -90,8 +90,8 @@ def path_rows(rows: DataFrame, text_col: str, k: int, seed: int) -> DataFrame:
 
 
 def window_rows(rows: DataFrame, k: int) -> DataFrame:
-    """Windows ``h, check, _t1, _t2, start`` of the open paths of ``rows(text,
-    _t1, _t2, open)``, from the words at their places."""
+    """Windows ``h, check, _t1, _t2, start, copies`` of the open paths of
+    ``rows(text, _t1, _t2, open, copies)``, from the words at their places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -104,9 +104,10 @@ def window_rows(rows: DataFrame, k: int) -> DataFrame:
             take = pa.array(own)
             yield pa.RecordBatch.from_pydict({
                 "h": pa.array(h.view(np.int64)), "check": pa.array(check.view(np.int64)),
-                "_t1": batch.column(1).take(take), "_t2": batch.column(2).take(take), "start": pa.array(at.astype(np.int32))})
+                "_t1": batch.column(1).take(take), "_t2": batch.column(2).take(take), "start": pa.array(at.astype(np.int32)),
+                "copies": batch.column(4).take(take)})
 
-    return rows.select("text", *_KEY, "open").mapInArrow(run, "h long, check long, _t1 long, _t2 long, start int")
+    return rows.select("text", *_KEY, "open", "copies").mapInArrow(run, "h long, check long, _t1 long, _t2 long, start int, copies long")
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", k: int = K, seed: int = SEED) -> DataFrame:
@@ -114,15 +115,19 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", k: int = K, seed: in
     that repeated windows cover; texts without any are absent."""
     rows = keyed(docs, text_col)
     found = path_rows(rows, text_col, k, seed)
-    nodes = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).filter("n > 1")
-    tied = stored(found.join(nodes.select("seed", (F.col("low") != F.col("high")).alias("branches")), "seed")
+    # the small side of each join below is written first: both sides then come straight from a
+    # shuffle, and Spark can split the rows of a very common seed or window over several tasks
+    nodes = stored(found.groupBy("seed").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
+                   .filter("n > 1").select("seed", (F.col("low") != F.col("high")).alias("branches")))
+    tied = stored(found.join(nodes, "seed")
                   .select(*_KEY, "start", "windows", "branches"))
     plain = tied.filter("NOT branches").groupBy(*_KEY).agg(F.collect_set(
         F.struct("start", (F.col("start") + F.col("windows") + (k - 1)).alias("stop"))).alias("spans"))
     opened = tied.filter("branches").groupBy(*_KEY).agg(F.collect_set(F.struct("start", "windows")).alias("open"))
-    texts = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_KEY)
+    # each text once, with its number of copies: copies collapse before they are shuffled
+    texts = rows.groupBy(*_KEY).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.count("*").alias("copies"))
     windows = stored(window_rows(texts.join(opened.hint("shuffle_hash"), list(_KEY)), k))
-    again = windows.groupBy("h", "check").count().filter("count > 1").select("h", "check")
+    again = stored(windows.groupBy("h", "check").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", "check"))
     edges = windows.join(again, ["h", "check"], "left_semi").groupBy(*_KEY).agg(F.collect_set(
         F.struct("start", (F.col("start") + k).alias("stop"))).alias("spans"))
     return plain.unionByName(edges).groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
