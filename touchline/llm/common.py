@@ -98,6 +98,12 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, keys: list, values: list) -> None:
+        if len(self) + len(keys) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values))
+
 
 # ---------------------------------------------------------------- word hashes
 

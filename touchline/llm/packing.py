@@ -11,6 +11,8 @@ need no padding.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,18 +42,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokens:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer cuts at white space before it merges, so a text's ids are
-    the ids of its parts between spaces and newlines, one after the other;
-    parts seen before are looked up."""
+    The tokenizer lower-cases, then cuts at white space and between letters or
+    digits and other signs before it merges. So a text's ids are the ids of its
+    parts between white space, one after the other, a point or comma that ends a
+    word being a part of its own; parts seen before are looked up."""
 
     _made: dict[str, "WordTokens"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = Recent(lambda part: self.encode([part])[0])
+        ids = self.tok.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for piece, i in ids.items() if piece.endswith("</w>")]] = True
+        self.parts = Recent(lambda part: self.encode([part])[0], 200_000)
+        self.end = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|\Z))")
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -60,15 +68,36 @@ class WordTokens:
         return cls._made[path]
 
     def encode(self, parts: list[bytes]) -> list[bytes]:
-        found = self.tok.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+        """Ids of parts. Parts of letters are one word each, and a word's last
+        id is known by its end mark: many of them go through the tokenizer as
+        one text and are told apart again."""
+        words = [p.decode() for p in parts]
+        letters = [w.isalpha() and (w.isascii() or w.lower().isalpha()) for w in words]
+        alone = [i for i, yes in enumerate(letters) if not yes]
+        joined = [i for i, yes in enumerate(letters) if yes]
+        out: list[bytes] = [b""] * len(parts)
+        lines = [joined[i:i + 64] for i in range(0, len(joined), 64)]
+        found = self.tok.encode_batch_fast([" ".join([words[i] for i in own]) for own in lines], add_special_tokens=False)
+        for own, ids in zip(lines, found):
+            ids = np.array(ids.ids, np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if stop.size != len(own):  # a sign that the tokenizer takes apart
+                alone += own
+                continue
+            data, at = ids.astype("<u4").tobytes(), [0, *(4 * stop).tolist()]
+            for i, x, y in zip(own, at, at[1:]):
+                out[i] = data[x:y]
+        for i, ids in zip(alone, self.tok.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
+            out[i] = np.array(ids.ids, "<u4").tobytes()
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        cut = [[p for p in t.replace(b"\n", b" ").split(b" ") if p] for t in texts]
+        # bytes.lower() touches A-Z only, which the tokenizer lower-cases too
+        cut = [self.end.sub(b" ", t.lower()).split() for t in texts]
+        known = self.parts.get
+        new = list({p for own in cut for p in own if known(p) is None} - self.parts.old.keys())
+        self.parts.keep_all(new, self.encode(new))
         parts = self.parts
-        new = [p for p in set().union(*cut) if p not in parts and p not in parts.old]
-        for p, ids in zip(new, self.encode(new)):
-            parts.keep(p, ids)
         return [b"".join([parts[p] for p in own]) for own in cut]
 
 
