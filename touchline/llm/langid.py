@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ from .common import Recent, slices, stored
 from .pieces import META, Pieces, model_path
 
 #: Labelled documents of each language that the fit draws (about, by hash).
-SAMPLE = 3_000
+SAMPLE = 1_500
 ROUNDS, SMOOTH = 3, 0.1
 #: Probability of a character that no piece covers.
 UNKNOWN_CHAR = 1e-8
@@ -34,10 +35,15 @@ PART = 32
 _RUN = re.compile(r"[^\W\d_]+")
 
 
-def letter_runs(token: str) -> list[str]:
-    """Lower-case runs of letters of a token, in parts of bounded length."""
-    runs = (("".join(filter(str.isalpha, r))) for r in _RUN.findall(token.lower()))
-    return [r[i:i + PART] for r in runs for i in range(0, len(r), PART)]
+def letter_runs(text: str) -> list[str]:
+    """Lower-case runs of word characters of a text (see :func:`parts`)."""
+    return _RUN.findall(text.lower())
+
+
+def parts(run: str) -> list[str]:
+    """The letters of a run, in parts of bounded length."""
+    letters = run if run.isalpha() else "".join(filter(str.isalpha, run))
+    return [letters[i:i + PART] for i in range(0, len(letters), PART)]
 
 
 class Lattice:
@@ -50,7 +56,7 @@ class Lattice:
             chosen = [p for p in Pieces.of(path).rank if p == p.lower() and p.lstrip(META).isalpha() and len(p.lstrip(META)) == len(p.replace(META, ""))]
             found = ahocorasick.Automaton()
             for i, p in enumerate(chosen):
-                found.add_word(p, (len(p), i))
+                found.add_word(p, len(p) << 32 | i)
             found.make_automaton()
             self._automata[path] = found, chosen
         self.automaton, self.pieces = self._automata[path]
@@ -60,14 +66,15 @@ class Lattice:
         the other, sorted by the stop's place in its word; each word's start
         and end. Places lie between characters."""
         text = "\n".join(META + w for w in words)
-        flat = np.array([(end, size, i) for end, (size, i) in self.automaton.iter(text)], np.int64).reshape(-1, 3)
+        flat = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+        last, size, piece = flat[:, 0], flat[:, 1] >> 32, flat[:, 1] & 0xFFFFFFFF
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         begin = np.cumsum(np.concatenate(([0], sizes[:-1] + 1)))
-        stop = flat[:, 0] + 1
-        owner = np.searchsorted(begin, flat[:, 0], "right") - 1
-        step = stop - begin[owner]
-        order = np.argsort(step, kind="stable")
-        return (stop - flat[:, 1])[order], stop[order], flat[order, 2], step[order], begin, begin + sizes
+        stop = last + 1
+        place = np.arange(int(sizes.sum()) + len(words)) - np.repeat(begin, sizes + 1)
+        step = place[last] + 1
+        order = np.argsort(step.astype(np.int16), kind="stable")
+        return (stop - size)[order], stop[order], piece[order], step[order], begin, begin + sizes
 
     def forward(self, found: tuple, weights: np.ndarray) -> np.ndarray:
         """Sums over the ways to reach each place; ``weights`` per match (k x L)."""
@@ -166,7 +173,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             seen: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 number = langs.index(lang)
-                seen.update((number, run) for token in text.split() for run in letter_runs(token))
+                for run, n in Counter(letter_runs(text)).items():
+                    for part in parts(run):
+                        seen[number, part] += n
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in seen], pa.int32()), "word": pa.array([k[1] for k in seen], pa.string()),
                                               "n": pa.array(list(seen.values()), pa.int64())})
 
@@ -179,8 +188,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(path)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
+                for at in range(0, batch.num_rows, 5000):
+                    part = batch.slice(at, 5000)
                     own = lattice.expected(part.column(1).to_pylist(), part.column(0).to_numpy().astype(np.int64),
                                            part.column(2).to_numpy().astype(float), now.value)
                     yield pa.RecordBatch.from_pydict({"cell": pa.array(list(own), pa.int64()), "uses": pa.array(list(own.values()), pa.float64())})
@@ -196,13 +205,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 class Scorer:
-    """Scores of tokens under a model; tokens seen before are looked up."""
+    """Scores of texts under a model; tokens and runs of letters seen before are looked up."""
 
     _made: dict[str, "Scorer"] = {}
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.path)
-        self.tokens = Recent(lambda token: self.score([token])[0], 200_000)
+        self.runs = Recent(lambda run: self.score([run])[0], 150_000)
+        self.tokens = Recent(self.token, 250_000)
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
@@ -211,24 +221,37 @@ class Scorer:
             cls._made[model.digest] = cls(model)
         return cls._made[model.digest]
 
-    def score(self, tokens: list[str]) -> list[bytes]:
-        """Log score per language and the letter count of each token, as 32-bit floats."""
-        runs = [letter_runs(t) for t in tokens]
-        flat = [r for own in runs for r in own]
-        each = np.concatenate([self.lattice.log_scores(flat, self.model.table), np.array([len(r) for r in flat], float).reshape(-1, 1)], 1)
-        owner = np.repeat(np.arange(len(tokens)), [len(own) for own in runs])
-        out = np.zeros((len(tokens), each.shape[1]))
-        np.add.at(out, owner, each)
-        return [row.tobytes() for row in out.astype("<f4")]
+    def score(self, runs: list[str]) -> list[bytes]:
+        """Log score per language and the letter count of each run, as 32-bit floats."""
+        cut = [parts(r) for r in runs]
+        flat = [p for own in cut for p in own]
+        each = np.concatenate([self.lattice.log_scores(flat, self.model.table), np.array([len(p) for p in flat], float).reshape(-1, 1)], 1)
+        if len(flat) != len(runs) or not all(cut):
+            whole = np.zeros((len(runs), each.shape[1]))
+            np.add.at(whole, np.repeat(np.arange(len(runs)), [len(own) for own in cut]), each)
+            each = whole
+        data, width = each.astype("<f4").tobytes(), 4 * each.shape[1]
+        return [data[i:i + width] for i in range(0, len(data), width)]
+
+    def token(self, token: str) -> bytes:
+        """Summed scores of a token between white space, from its runs."""
+        own = [self.runs[r] for r in letter_runs(token)]
+        if len(own) == 1:
+            return own[0]
+        width = len(self.model.langs) + 1
+        return np.frombuffer(b"".join(own), "<f4").reshape(-1, width).sum(0, dtype=np.float32).tobytes()
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs = self.model.langs
         cut = [(t or "").split() for t in texts]
-        tokens = self.tokens
+        tokens, runs = self.tokens, self.runs
         new = [t for t in set().union(*cut) if t not in tokens and t not in tokens.old]
-        for at in range(0, len(new), 4000):
-            for token, value in zip(new[at:at + 4000], self.score(new[at:at + 4000])):
-                tokens.keep(token, value)
+        fresh = [r for r in {r for t in new for r in letter_runs(t)} if r not in runs and r not in runs.old]
+        for at in range(0, len(fresh), 5000):
+            for run, value in zip(fresh[at:at + 5000], self.score(fresh[at:at + 5000])):
+                runs.keep(run, value)
+        for t in new:
+            tokens.keep(t, self.token(t))
         names, scores = [], []
         for own in cut:
             sums = np.frombuffer(b"".join([tokens[t] for t in own]), "<f4").reshape(-1, len(langs) + 1).sum(0, dtype=float)
