@@ -264,31 +264,26 @@ def replay_clips(md: MatchData) -> DataFrame:
 
 
 @register("replay_tracks", f"""
-SELECT clip_id, track_id, coalesce(class, 'player') AS track_class, count(*) AS points, max(frame_index) AS last_frame,
-       max(max(frame_index)) OVER (PARTITION BY clip_id) + 1 AS frame_count FROM (
-  SELECT p.*, m.class, row_number() OVER (PARTITION BY p.clip_id ORDER BY p.track_id, p.frame_index) AS rn
-  FROM (SELECT 'cv:' || clip_name AS clip_id, track_id, frame_index FROM v_track_points) p
-  LEFT JOIN (SELECT 'cv:' || clip_name AS clip_id, track_id, class FROM (
-      SELECT clip_name, track_id, class, row_number() OVER (PARTITION BY clip_name, track_id ORDER BY n DESC, first_seen) AS rk
-      FROM (SELECT clip_name, track_id, class, count(*) AS n, min(frame_index) AS first_seen FROM v_track_points GROUP BY 1, 2, 3) x) y
-    WHERE rk = 1) m ON m.clip_id = p.clip_id AND m.track_id = p.track_id) s
-WHERE rn <= {TR.POINT_LIMIT}
-GROUP BY clip_id, track_id, class
+SELECT p.clip_id, p.clip_id || ':' || p.track_id AS track_id, coalesce(m.class, 'player') AS track_class, p.points, p.last_frame,
+       max(p.last_frame) OVER (PARTITION BY p.clip_id) + 1 AS frame_count
+FROM (SELECT clip_id, track_id, count(*) AS points, max(frame_index) AS last_frame
+      FROM (SELECT 'cv:' || clip_name AS clip_id, track_id, frame_index FROM v_track_points
+            QUALIFY row_number() OVER (PARTITION BY clip_name ORDER BY track_id, frame_index) <= {TR.POINT_LIMIT}) GROUP BY 1, 2) p
+LEFT JOIN (SELECT 'cv:' || clip_name AS clip_id, track_id, arg_max(class, 100000 * n - first_seen) AS class
+           FROM (SELECT clip_name, track_id, class, count(*) AS n, min(frame_index) AS first_seen FROM v_track_points GROUP BY 1, 2, 3)
+           GROUP BY 1, 2) m ON m.clip_id = p.clip_id AND m.track_id = p.track_id
 """, ("v_track_points",))
 def replay_tracks(md: MatchData) -> DataFrame:
-    """K8: points per track (frame order, capped per clip), class default
-    'player', frames = highest frame + 1. Arrays are bounded by the cap."""
+    """K8: points per track (capped per clip), class default 'player', frames =
+    highest frame + 1. Points and classes meet on the clip-prefixed track id."""
     pts = TR.load_track_points(track_points(md), FRAME_W, FRAME_H)
     w = Window.partitionBy("clip_id").orderBy("track_id", "frame_index")
     capped = pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= TR.POINT_LIMIT)
-    cls = track_metrics(md).select("clip_id", "track_id", "class")
-    per_track = (capped.groupBy("clip_id", "track_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("frame_index", "x", "y"))).alias("pts"),
-                      F.max("frame_index").alias("last_frame"))
+    cls = track_metrics(md).select("clip_id", F.concat_ws(":", "clip_id", "track_id").alias("track_id"), "class")
+    per_track = (capped.groupBy("clip_id", "track_id").agg(F.count(F.lit(1)).alias("points"), F.max("frame_index").alias("last_frame"))
                  .join(cls, ["clip_id", "track_id"], "left"))
     return per_track.select(
-        "clip_id", "track_id", F.coalesce("class", F.lit("player")).alias("track_class"),
-        F.size("pts").cast("bigint").alias("points"), "last_frame",
+        "clip_id", "track_id", F.coalesce("class", F.lit("player")).alias("track_class"), "points", "last_frame",
         (F.max("last_frame").over(Window.partitionBy("clip_id")) + 1).alias("frame_count"))
 
 
