@@ -211,8 +211,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.path)
-        self.runs = Recent(lambda run: self.score([run])[0], 100_000)
-        self.tokens = Recent(self.token, 200_000)
+        self.runs = Recent(lambda run: self.score([run])[0], 150_000)
+        self.tokens = Recent(self.token, 400_000)
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
@@ -234,24 +234,27 @@ class Scorer:
         return [data[i:i + width] for i in range(0, len(data), width)]
 
     def token(self, token: str) -> bytes:
-        """Summed scores of a token between white space, from its runs."""
-        own = [self.runs[r] for r in letter_runs(token)]
+        return self.summed(letter_runs(token))
+
+    def summed(self, own: list[str]) -> bytes:
+        """Summed scores of the runs of a token between white space."""
         if len(own) == 1:
-            return own[0]
-        width = len(self.model.langs) + 1
-        return np.frombuffer(b"".join(own), "<f4").reshape(-1, width).sum(0, dtype=np.float32).tobytes()
+            return self.runs[own[0]]
+        parts_of = b"".join([self.runs[r] for r in own])
+        return np.frombuffer(parts_of, "<f4").reshape(-1, len(self.model.langs) + 1).sum(0, dtype=np.float32).tobytes()
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs = self.model.langs
         cut = [(t or "").split() for t in texts]
         tokens, runs = self.tokens, self.runs
-        new = [t for t in set().union(*cut) if t not in tokens and t not in tokens.old]
-        fresh = [r for r in {r for t in new for r in letter_runs(t)} if r not in runs and r not in runs.old]
+        known, older = tokens.get, tokens.old
+        new = [t for t in {t for own in cut for t in own if known(t) is None} if t not in older]
+        runs_of = [letter_runs(t) for t in new]
+        known, older = runs.get, runs.old
+        fresh = [r for r in {r for own in runs_of for r in own if known(r) is None} if r not in older]
         for at in range(0, len(fresh), 5000):
-            for run, value in zip(fresh[at:at + 5000], self.score(fresh[at:at + 5000])):
-                runs.keep(run, value)
-        for t in new:
-            tokens.keep(t, self.token(t))
+            runs.keep_all(fresh[at:at + 5000], self.score(fresh[at:at + 5000]))
+        tokens.keep_all(new, [self.summed(own) for own in runs_of])
         names, scores = [], []
         for own in cut:
             sums = np.frombuffer(b"".join([tokens[t] for t in own]), "<f4").reshape(-1, len(langs) + 1).sum(0, dtype=float)
