@@ -58,7 +58,7 @@ class WordTokens:
         ids = self.tok.get_vocab()
         self.ends = np.zeros(max(ids.values()) + 1, bool)  # ids that end a word
         self.ends[[i for piece, i in ids.items() if piece.endswith("</w>")]] = True
-        self.parts = Recent(lambda part: self.encode([part])[0], 200_000)
+        self.parts = Recent(lambda part: self.encode([part])[0], 400_000)
         self.end = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|\Z))")
 
     @classmethod
@@ -94,8 +94,8 @@ class WordTokens:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # bytes.lower() touches A-Z only, which the tokenizer lower-cases too
         cut = [self.end.sub(b" ", t.lower()).split() for t in texts]
-        known = self.parts.get
-        new = list({p for own in cut for p in own if known(p) is None} - self.parts.old.keys())
+        known, older = self.parts.get, self.parts.old
+        new = [p for p in {p for own in cut for p in own if known(p) is None} if p not in older]
         self.parts.keep_all(new, self.encode(new))
         parts = self.parts
         return [b"".join([parts[p] for p in own]) for own in cut]
