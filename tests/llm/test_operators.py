@@ -221,6 +221,90 @@ def test_license_sequences(spark):
     assert [got[i] for i in range(len(texts))] == [name for name, _ in licenses.RULES] + [""]
 
 
+WRAPPED_LICENSES = [
+    ("MIT", 4, """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""),
+    ("GPL-3.0-or-later", 2, """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""),
+    ("GPL-2.0-or-later", 2, """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+ * without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""),
+    ("Apache-2.0", 4, """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""),
+    ("BSD-3-Clause", 4, """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""),
+    ("MPL-2.0", 1, """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("MIT", 1, "This project is\nlicensed under the MIT License"),  # the longest sentence, once
+    ("proprietary", 1, "All rights\nreserved."),
+    ("", 0, "Licensed under\n \nthe MIT License"),  # a blank line ends a sentence
+    ("", 0, "It is not licensed under the\nMIT License"),  # a part of another sentence
+]
+
+
+def test_wrapped_licenses(spark):
+    df = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(WRAPPED_LICENSES)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in licenses.op10_licenses(df).collect()}
+    assert [got[i] for i in range(len(got))] == [(name, n) for name, n, _ in WRAPPED_LICENSES]
+
+
+def test_license_sentence_positions(spark):
+    df = spark.createDataFrame([(1, "a. b\nReleased under the MIT\nLicense. c:\n\nAll rights reserved")], "doc_id long, text string")
+    assert sorted((r.position, r.id) for r in licenses.sentence_ids(df).collect()) == [(2, "mit_ref"), (7, "reserved")]
+
+
 def test_license_markers_cover_every_sentence():
     assert all(re.search(licenses.MARKERS, s) for s in licenses.SENTENCES)
 

@@ -1,11 +1,13 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, signs to single
-spaces), and an equi-join with a fixed table maps known licence sentences to
-identifiers. A document's identifiers, in order of position, are matched
-against ordered rules: a rule holds if its identifiers follow one another in
-the sequence. Where several rules hold, one whose identifiers are a part of
-another's is left out.
+A text is cut into parts at sentence signs and line ends, and normalised
+(lower case, signs to single spaces). A known licence sentence is one part or
+several that follow one another, since known sentences contain signs and wrap
+over lines; a blank line ends a sentence. An equi-join with a fixed table maps
+the sentences found to identifiers. A document's identifiers, in order of
+position, are matched against ordered rules: a rule holds if its identifiers
+follow one another in the sequence. Where several rules hold, one whose
+identifiers are a part of another's is left out.
 """
 
 from __future__ import annotations
@@ -70,9 +72,12 @@ RULES = (
 )
 
 #: A text without any of these words has no known sentence (a test proves it of the table).
-MARKERS = r"(?i)licens|permission|warrant|liable|redistribut|copyright|endorse|rights reserved"
-#: Sentences end at . ! ? ; : or a line's end, where white space or the text's end follows.
-SENTENCE_END = r"[.!?;:]+(?=\s|$)|\n"
+MARKERS = r"(?i)licens|permission|warrant|liable|redistribut|copyright|endorse|rights[^a-z0-9]+reserved"
+#: Parts end at . ! ? ; : where white space or the text's end follows, and at a line's end.
+PART_END = r"[.!?;:]+(?=\s|$)"
+BLANK_LINE = r"\n[^\S\n]*(?=\n)"
+#: Signs for a part's end, a blank line and the digits of a part's number; capitals cannot occur in a lowered text.
+PART, BLANK, DIGITS = "Z", "Y", "ABCDEFGHIJ"
 
 
 def known_sentences(spark: SparkSession) -> DataFrame:
@@ -80,15 +85,32 @@ def known_sentences(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS known(sentence, id)")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def numbered_parts(text: Column) -> Column:
+    """The words of a text with single spaces; every part starts with its number."""
+    ended = F.regexp_replace(F.regexp_replace(F.lower(text), PART_END, PART), BLANK_LINE, PART + BLANK)
+    words = F.regexp_replace(F.regexp_replace(ended, "\n", PART), f"[^a-z0-9{PART}{BLANK}]+", " ")
+    parts = F.transform(F.split(words, PART), lambda part, at: F.concat(
+        F.lit(PART), F.translate(at.cast("string"), "0123456789", DIGITS), part))
+    return F.concat(F.array_join(parts, ""), F.lit(PART))
+
+
+def sentence_pattern() -> str:
+    """The known sentences, longest first, from a part's start to a part's end."""
+    longest = sorted(SENTENCES, key=lambda s: (-len(s.split()), s))
+    gap = f"[ {PART}{DIGITS}]+"
+    return f"{PART}[{DIGITS}]+ ?(?:{'|'.join(s.replace(' ', gap) for s in longest)})(?= ?{PART})"
 
 
 def sentence_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, position, id`` of every known sentence, counted from 0."""
+    """``doc_id, position, id`` of every known sentence; the position is that of
+    its first part, counted from 0. Of sentences that share words, the first
+    and longest counts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(MARKERS))
-    parts = rows.select("doc_id", F.posexplode(F.split("text", SENTENCE_END)).alias("position", "sentence"))
-    own = parts.select("doc_id", "position", normalised(F.col("sentence")).alias("sentence"))
+    found = F.regexp_extract_all(numbered_parts(F.col("text")), F.lit(sentence_pattern()), F.lit(0))
+    number = F.regexp_extract("found", f"^{PART}([{DIGITS}]+)", 1)
+    own = rows.select("doc_id", F.explode(found).alias("found")).select(
+        "doc_id", F.translate(number, DIGITS, "0123456789").cast("int").alias("position"),
+        F.trim(F.regexp_replace("found", f"[ {PART}{DIGITS}]+", " ")).alias("sentence"))
     # the sentence table is fixed and holds a few dozen rows
     return own.join(F.broadcast(known_sentences(docs.sparkSession)), "sentence").select("doc_id", "position", "id")
 
