@@ -184,6 +184,30 @@ def test_streamed_decisions_of_a_busy_subject(spark, tmp_path, shuffled):
     assert not both[90_000].allowed and both[90_002].allowed and both[90_002].day_count == 1
 
 
+def test_streamed_decisions_keep_the_counts_of_old_days(spark, tmp_path):
+    """Files that share days far apart, one of them with a row far in the future:
+    every window counts on where earlier batches left it."""
+    import datetime as dt
+
+    base = dt.datetime(2024, 5, 1, 10)
+    rows, n = [], 0
+    for file, days in enumerate([(0, 9), (9, 0, 20_000), (5, 0), (0, 9)]):
+        part = [(n + i, "user", str(i % 2), base + dt.timedelta(days=d, seconds=i)) for i, d in enumerate(days * 4)] + [(n + 50, "user", "0", None)]
+        spark.createDataFrame(part, REQUESTS).coalesce(1).write.parquet(str(tmp_path / f"in/{file}"))
+        rows, n = rows + part[:-1], n + 100
+    limits = spark.createDataFrame([("user", s, 100, 5) for s in "01"], "subject_kind string, subject string, minute_limit int, day_limit int")
+    got = {r.request_id: r for r in jobs.rate_decisions_stream(
+        spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), limits).collect()}
+    assert len(got) == len(rows)
+    windows = {}
+    for i, _, subject, ts in rows:
+        windows.setdefault((subject, ts.date()), []).append(got[i])
+    for found in windows.values():
+        assert sorted(r.day_count for r in found) == list(range(1, len(found) + 1))
+        assert sorted(r.minute_count for r in found) == list(range(1, len(found) + 1))
+        assert all(r.allowed == (r.day_count <= 5) for r in found)
+
+
 def test_carried_counts_are_added(spark):
     import datetime as dt
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.usage import rate_decisions, rate_windows
@@ -72,8 +72,7 @@ def overwrite_batch(df: DataFrame, batch_id: int, out: str) -> None:
 
 # ----------------------------------------------------------- Q2s decisions
 WINDOW_SCHEMA = "subject_kind string, subject string, window_kind string, window_start timestamp, request_count long"
-#: Windows that ended this long before the newest request are forgotten.
-KEEP_WINDOWS = "2 days"
+INDEX_SCHEMA = "day int, batch long"
 
 
 def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
@@ -82,10 +81,11 @@ def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
 
     Within a batch requests count in (ts, id) order, in whatever order they
     arrive; a request that arrives in a later batch counts after those already
-    decided, as a limiter counts it. Blocked requests count. The window counts
-    are a table version per batch in the shared folder (a batch that is run
-    again after a failure replaces its own version and its own output), and
-    windows older than ``KEEP_WINDOWS`` are dropped from it.
+    decided, as a limiter counts it. Blocked requests count. The counts of every
+    window are kept, however late a request comes: they lie in the shared folder
+    by day, and a batch reads and writes only the days of its own requests. An
+    index (one row a day) names the batch that wrote a day last; a batch that is
+    run again after a failure replaces its own counts, index and output.
     """
     spark = requests.sparkSession
     root = scratch_path(spark, f"streams/rate-state-{uuid.uuid4().hex[:12]}")
@@ -93,17 +93,25 @@ def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
     def apply(batch: DataFrame, batch_id: int, out: str) -> None:
         rows = batch.persist()
         session = batch.sparkSession
-        before = session.read.schema(WINDOW_SCHEMA).parquet(f"{root}/v{batch_id - 1}") if batch_id else session.createDataFrame([], WINDOW_SCHEMA)
+        index = session.read.schema(INDEX_SCHEMA).parquet(f"{root}/index/v{batch_id - 1}") if batch_id else session.createDataFrame([], INDEX_SCHEMA)
+        days = rows.where(F.col("ts").isNotNull()).select(_day("ts").alias("day")).distinct()
+        # bounded by the calendar: one path for each day of the batch that has counts
+        known = [f"{root}/counts/batch={r['batch']}/day={r['day']}" for r in index.join(days, "day").collect()]
+        before = session.read.schema(WINDOW_SCHEMA).parquet(*known) if known else session.createDataFrame([], WINDOW_SCHEMA)
         rate_decisions(rows, limits, before).select(*DECISION_COLUMNS).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        both = before.unionByName(rate_windows(rows)).groupBy("subject_kind", "subject", "window_kind", "window_start").agg(
-            F.sum("request_count").alias("request_count"))
-        newest = rows.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            both = both.where(F.col("window_start") >= F.lit(newest) - F.expr(f"INTERVAL {KEEP_WINDOWS}"))
-        both.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+        both = before.unionByName(rate_windows(rows)).where(F.col("window_start").isNotNull()).groupBy(
+            "subject_kind", "subject", "window_kind", "window_start").agg(F.sum("request_count").alias("request_count"))
+        both.withColumn("day", _day("window_start")).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(
+            f"{root}/counts/batch={batch_id}")
+        index.join(days, "day", "left_anti").unionByName(days.withColumn("batch", F.lit(batch_id).cast("long"))).coalesce(1).write.mode(
+            "overwrite").parquet(f"{root}/index/v{batch_id}")
         rows.unpersist()
 
     return run_available(requests, "rate_decisions", foreach_batch=apply).drop("batch")
 
 
+def _day(ts: str) -> Column:
+    return F.unix_date(F.to_date(ts))
+
+
 DECISION_COLUMNS = ("request_id", "subject_kind", "subject", "minute_count", "day_count", "allowed")
