@@ -26,21 +26,26 @@ def goal_shots(events: DataFrame) -> DataFrame:
 
 
 def list_goals(events: DataFrame, matches: DataFrame, teams: DataFrame, players: DataFrame,
-               final_stage: str, limit: int = GOAL_LIMIT) -> DataFrame:
-    """K1: goal list with CASE ordering (final open-play goals first)."""
+               final_stage: str, limit: int = GOAL_LIMIT, group: str | None = None) -> DataFrame:
+    """K1: goal list with CASE ordering (final open-play goals first). With
+    ``group`` set (a column of ``matches``), the first ``limit`` of each group."""
     g = goal_shots(events).where(F.col("period") <= 4)
     ht = teams.select(F.col("team_id").alias("home_team_id"), F.col("name").alias("home_team_name"))
     at = teams.select(F.col("team_id").alias("away_team_id"), F.col("name").alias("away_team_name"))
-    m = matches.select("match_id", "home_team_id", "away_team_id", "stage", "match_date")
+    own = [group] if group else []
+    m = matches.select("match_id", "home_team_id", "away_team_id", "stage", "match_date", *own)
     p = players.select("player_id", "display_name")
-    j = g.join(m, "match_id").join(ht, "home_team_id").join(at, "away_team_id").join(p, "player_id", "left")
+    j = g.drop(*own).join(m, "match_id").join(ht, "home_team_id").join(at, "away_team_id").join(p, "player_id", "left")
     final = F.col("stage") == final_stage
-    return (j.select("event_id", "match_id", "period", "minute", "second",
+    found = j.select(*own, "event_id", "match_id", "period", "minute", "second",
                      F.coalesce("display_name", "player_name").alias("scorer"), "team_name",
                      "home_team_name", "away_team_name", "stage", "shot_type", "play_pattern", "match_date")
-            .orderBy(F.when(final & (F.col("shot_type") == "open_play"), 0).otherwise(1),
-                     F.when(final, 0).otherwise(1), F.desc("match_date"), "minute", "second", "event_id")
-            .limit(limit).drop("match_date"))
+    order = (F.when(final & (F.col("shot_type") == "open_play"), 0).otherwise(1),
+             F.when(final, 0).otherwise(1), F.desc("match_date"), "minute", "second", "event_id")
+    if group:
+        w = Window.partitionBy(group).orderBy(*order)
+        return found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit).drop("match_date", "__rn")
+    return found.orderBy(*order).limit(limit).drop("match_date")
 
 
 def possession_runs(events: DataFrame) -> DataFrame:

@@ -62,5 +62,5 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every plan module so its queries register."""
-    from . import (accounts, assets, entities, forecast, golden, insights, loading, normalize, providers,  # noqa: F401
-                   replay, services, streams, valuation)
+    from . import (accounts, assets, entities, everywhere, forecast, golden, insights, loading, normalize,  # noqa: F401
+                   providers, replay, services, streams, valuation)
