@@ -1,21 +1,26 @@
 """Vector retrieval: cosine distance, exact k-nearest search, cache lookup.
 
 Exact search never forms the full question x entry product as rows. Questions
-are numbered into blocks of bounded size; every block is sent to the tasks in
-turn, a task scores its entries block by block with matrix products, keeps a
-running top k per question over all its batches, and a window over those
-few candidates picks the global top k. Any number of questions can be asked.
+are dealt into blocks and entries into parts of bounded size; each pair of a
+block and a part meets in one cogrouped call, which scores it with matrix
+products and keeps the top k per question, and a window over those few
+candidates picks the global top k. No vector passes the driver, so any number
+of questions can be asked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 2_000  # questions sent to the tasks at a time
+QUERY_BLOCK = 2_000  # about the questions of a block
+ENTRY_PART = 20_000  # about the entries of a part; smaller ones share out a small table
 ENTRY_BLOCK = 1_000  # entries scored at a time
+MOST_TASKS = 10_000
 CACHE_SIMILARITY = 0.97
 
 
@@ -45,61 +50,54 @@ def nearest(entries: DataFrame, queries: DataFrame, k: int, entry_id: str = "ent
     With ``group`` set, only entries of the query's group are candidates
     (the cache's same-language rule).
     """
-    schema = f"{query_id} long, {entry_id} long, distance double"
-    spark = entries.sparkSession
-    cols = [entry_id, vec] + ([group] if group else [])
-    found, block = None, []
-    for row in _rows(queries.select(query_id, vec, *([group] if group else []))):
-        block.append(row)
-        if len(block) == block_size:
-            found, block = _add(found, _nearest_block(entries.select(*cols), block, k, schema, entry_id, query_id, vec, group)), []
-    if block or found is None:
-        part = (_nearest_block(entries.select(*cols), block, k, schema, entry_id, query_id, vec, group) if block
-                else spark.createDataFrame([], schema))
-        found = _add(found, part)
+    q = queries.where(F.col(vec).isNotNull()).select(query_id, vec, *([group] if group else []))
+    e = entries.where(F.col(vec).isNotNull()).select(entry_id, vec, *([group] if group else []))
+    n_entries = e.count()
+    blocks = max(1, math.ceil(q.count() / block_size))
+    parts = max(1, math.ceil(n_entries / min(ENTRY_PART, max(ENTRY_BLOCK, n_entries // 32))))
+    tasks = min(blocks * parts, MOST_TASKS)
+    q = _dealt(q, "__block", query_id, blocks, "__part", parts).repartition(tasks, "__block", "__part")
+    e = _dealt(e, "__part", entry_id, parts, "__block", blocks).repartition(tasks, "__block", "__part")
+
+    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_of(asked, stored, k, entry_id, query_id, vec, group)
+
+    found = q.groupBy("__block", "__part").cogroup(e.groupBy("__block", "__part")).applyInPandas(
+        score, f"{query_id} long, {entry_id} long, distance double")
     w = Window.partitionBy(query_id).orderBy(F.round("distance", 9), entry_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _rows(df: DataFrame):
-    """Rows of ``df`` on the driver, a partition at a time."""
-    return df.toLocalIterator()
-
-
-def _add(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
-
-
-def _nearest_block(entries: DataFrame, rows: list, k: int, schema: str, entry_id: str, query_id: str, vec: str,
-                   group: str | None) -> DataFrame:
-    """Each task's k nearest entries of every question of one block."""
-    qids = np.array([r[query_id] for r in rows], dtype=np.int64)
-    qmat = np.array([np.asarray(r[vec], dtype=np.float64) for r in rows])
-    qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
-    qgrp = np.array([r[group] for r in rows]) if group else None
-    shared = entries.sparkSession.sparkContext.broadcast((qids, qmat, qgrp))
-
-    def score(batches):
-        ids_q, mat_q, grp_q = shared.value
-        best_d = np.full((len(ids_q), 0), np.inf)
-        best_e = np.zeros((len(ids_q), 0), np.int64)
-        for pdf in batches:
-            for at in range(0, len(pdf), ENTRY_BLOCK):
-                part = pdf.iloc[at:at + ENTRY_BLOCK]
-                emat = np.stack([np.asarray(v, dtype=np.float64) for v in part[vec]])
-                emat = emat / np.linalg.norm(emat, axis=1, keepdims=True)
-                dist = 1.0 - mat_q @ emat.T
-                if grp_q is not None:
-                    dist = np.where(part[group].to_numpy()[None, :] == grp_q[:, None], dist, np.inf)
-                d = np.concatenate([best_d, dist], axis=1)
-                e = np.concatenate([best_e, np.broadcast_to(part[entry_id].to_numpy(np.int64), dist.shape)], axis=1)
-                # by distance (rounded as in the final order), then entry id
-                order = np.lexsort((e, np.round(d, 9)), axis=1)[:, :k]
-                best_d, best_e = np.take_along_axis(d, order, 1), np.take_along_axis(e, order, 1)
-        q, c = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({query_id: ids_q[q], entry_id: best_e[q, c], "distance": best_d[q, c]})
-
-    return entries.mapInPandas(score, schema)
+def _dealt(df: DataFrame, own: str, key: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Each row in its own block (by a hash of its key), once for every block of the other side."""
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    mat = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return mat / np.linalg.norm(mat, axis=1, keepdims=True)
+
+
+def _nearest_of(asked: pd.DataFrame, stored: pd.DataFrame, k: int, entry_id: str, query_id: str, vec: str,
+                group: str | None) -> pd.DataFrame:
+    """The k nearest entries of one part for every question of one block."""
+    best_d = np.full((len(asked), 0), np.inf)
+    best_e = np.zeros((len(asked), 0), np.int64)
+    mat_q = _unit(asked[vec]) if len(asked) else None
+    for at in range(0, len(stored) if len(asked) else 0, ENTRY_BLOCK):
+        part = stored.iloc[at:at + ENTRY_BLOCK]
+        dist = 1.0 - mat_q @ _unit(part[vec]).T
+        if group:
+            same = part[group].to_numpy()[None, :] == asked[group].to_numpy()[:, None]
+            dist = np.where(same & part[group].notna().to_numpy()[None, :], dist, np.inf)
+        d = np.concatenate([best_d, dist], axis=1)
+        e = np.concatenate([best_e, np.broadcast_to(part[entry_id].to_numpy(np.int64), dist.shape)], axis=1)
+        # by distance (rounded as in the final order), then entry id
+        order = np.lexsort((e, np.round(d, 9)), axis=1)[:, :k]
+        best_d, best_e = np.take_along_axis(d, order, 1), np.take_along_axis(e, order, 1)
+    q, c = np.nonzero(np.isfinite(best_d))
+    return pd.DataFrame({query_id: asked[query_id].to_numpy(np.int64)[q], entry_id: best_e[q, c], "distance": best_d[q, c]})
 
 
 def cache_lookup(entries: DataFrame, queries: DataFrame, threshold: float = CACHE_SIMILARITY,

@@ -101,6 +101,57 @@ def semantic_cache_nearest(md: MatchData) -> DataFrame:
     return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"))
 
 
+# ------------------------------------- O1-O3: questions that grow with the table
+ASK_EVERY = 50
+
+
+def _asked(md: MatchData) -> DataFrame:
+    return _embeddings(md).where(F.col("vec_id") % ASK_EVERY == 0).select(
+        F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("language"))
+
+
+def _stored(md: MatchData) -> DataFrame:
+    return _embeddings(md).select(F.col("vec_id").alias("entry_id"), "embedding", F.col("label").alias("language"))
+
+
+def _asked_sql(same: str, last: str) -> str:
+    return f"""
+SELECT query_id, entry_id, round(distance, 6) AS distance{", cast(rank AS integer) AS rank" if last.startswith("rank") else ""} FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), entry_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id AS entry_id, 1.0 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
+    FROM embeddings q JOIN embeddings e ON {same} WHERE q.vec_id % {ASK_EVERY} = 0) p) s
+WHERE {last}"""
+
+
+@register("cosine_distance_all", """
+SELECT e.vec_id AS entry_id, round(1.0 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance
+FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+""")
+def cosine_distance_all(md: MatchData) -> DataFrame:
+    """Distance of every vector to one question vector (a query parameter)."""
+    q = _embeddings(md).where(F.col("vec_id") == 0).select("embedding").first()
+    qv = F.array(*[F.lit(float(x)) for x in q["embedding"]])
+    return _stored(md).select("entry_id", F.round(V.cosine_distance(F.col("embedding"), qv), 6).alias("distance"))
+
+
+@register("glossary_top_k_all", _asked_sql("true", f"rank <= {TOP_K}"))
+def glossary_top_k_all(md: MatchData) -> DataFrame:
+    r = V.nearest(_stored(md), _asked(md), TOP_K)
+    return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@register("semantic_cache_lookup_all", _asked_sql("e.label = q.label", "1 = rank AND distance <= 1.0 - 0.97"))
+def semantic_cache_lookup_all(md: MatchData) -> DataFrame:
+    r = V.cache_lookup(_stored(md), _asked(md))
+    return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"))
+
+
+@register("semantic_cache_nearest_all", _asked_sql("e.label = q.label", "1 = rank"))
+def semantic_cache_nearest_all(md: MatchData) -> DataFrame:
+    r = V.nearest(_stored(md), _asked(md), 1, group="language")
+    return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"))
+
+
 # ------------------------------------------------------------------- O4
 @register("embedding_dimension_check", f"""
 SELECT dimension, count(*) AS vectors, dimension = {DIM} AS ok
