@@ -124,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     code points, end exclusive; kinds 0 assign, 1 access, 2 hex, 3 entropy.
 
     A null or empty text has none. ``base`` is sorted by start, then kind.
-    ``added`` holds entropy spans that no base span touches, by start. One
+    ``added`` holds entropy spans outside the base spans, by start. One
     row per input row; repeated rows repeat.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -141,10 +141,37 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(keyed)
 
 
+def _uncovered(c: Column, base: Column, window: int) -> Column:
+    """The parts of a candidate that no base span covers. A cut part loses the
+    signs at the cut and must be a candidate by itself."""
+    def part(start: Column, end: Column) -> Column:
+        own = F.substring(c["text"], start - c["start"] + 1, end - start)
+        lead = F.when(start > c["start"], F.length(F.regexp_extract(own, "^[+/_=-]*", 0))).otherwise(0)
+        tail = F.when(end < c["end"], F.length(F.regexp_extract(own, "(?<![+/_=-])[+/_=-]*$", 0))).otherwise(0)
+        size = F.greatest(F.length(own) - lead - tail, F.lit(0))
+        return F.struct((start + lead).alias("start"), (start + lead + size).alias("end"), c["kind"].alias("kind"),
+                        F.substring(own, lead + 1, size).alias("text"))
+
+    def step(state: Column, b: Column) -> Column:
+        free = F.when(b["start"] > state["at"], F.array(part(state["at"], b["start"]))).otherwise(F.array().cast(_SPANS))
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), F.concat(state["parts"], free).alias("parts"))
+
+    def last(state: Column) -> Column:
+        return F.when(state["at"] < c["end"], F.concat(state["parts"], F.array(part(state["at"], c["end"])))).otherwise(state["parts"])
+
+    def cut(touching: Column) -> Column:
+        start = F.struct(c["start"].alias("at"), F.array().cast(_SPANS).alias("parts"))
+        parts = F.filter(F.aggregate(touching, start, step, last), lambda s: (F.length(s["text"]) >= window) & s["text"].rlike("[0-9]")
+                         & s["text"].rlike("[A-Za-z]"))
+        return F.when(F.size(touching) > 0, parts).otherwise(F.array(c))
+
+    return _let(F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), cut)
+
+
 def entropy_spans(text: Column, base: Column, window: int = WINDOW) -> Column:
-    """Spans of candidates that no base span touches and whose entropy is high, by start."""
+    """Spans of candidates, less what base spans cover, whose entropy is high, by start."""
     def free(both: Column) -> Column:
-        return F.filter(both["c"], lambda c: ~F.exists(both["b"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+        return F.flatten(F.transform(both["c"], lambda c: _uncovered(c, both["b"], window)))
 
     apart = _let(F.struct(base.alias("b"), _matches(text, CANDIDATE, 3).alias("c")), free)
     return F.transform(F.filter(apart, lambda s: _suspicious(s["text"], window)), lambda s: F.struct(
