@@ -9,7 +9,8 @@ of their input. Columns other than ``doc_id`` and ``text`` are carried along;
 ``n_chars`` follows the text where the table has it.
 
 Defined cases: a null text has no language, so its row goes in the first
-stage. Rows with a null id go in the second, where documents are named by id.
+stage; where no document has a label, nothing else goes there, and where
+labels are, a text without a likely language does. Rows with a null id go in the second, where documents are named by id.
 An empty table gives empty stages. Repeated rows are copies of each other and
 one of them stays.
 """
@@ -37,7 +38,10 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language."""
     configure(spark)
-    judged = langid.predict(docs, langid.fit(docs), lang_out="_lang_pred", score_out="_lang_score")
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").isNotNull())
+    judged = langid.predict(docs, model, lang_out="_lang_pred", score_out="_lang_score")
     return judged.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 

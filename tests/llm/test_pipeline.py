@@ -43,6 +43,11 @@ def test_language_stage(stages):
     assert len(plain) == len([r for r in plain if r in got])
 
 
+def test_language_stage_without_labels(spark):
+    df = spark.createDataFrame([(1, "a plain text", None), (2, None, None), (3, "7", None)], "doc_id long, text string, lang string")
+    assert rows(corpus_pipeline.language(spark, df, "")) == [(1, "a plain text"), (3, "7")]
+
+
 def test_near_duplicate_stage(stages):
     before = {d: t for d, t in rows(stages[1]) if d is not None}
     own = brute.components({d: brute.simhash(t) for d, t in before.items()})
