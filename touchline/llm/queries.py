@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from ..sources.tables import read_table
-from . import licenses, substrings, twins
+from . import licenses, lines, substrings, twins
 
 
 def _over(table: str, module: str, function: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": _over("documents", "quality", "op8_quality"),
     "op9_pieces": _over("documents", "pieces", "op9_pieces"),
     "op10_licenses": _over("documents", "licenses", "op10_licenses"),
+    "op13_lines": _over("documents", "lines", "op13_lines"),
 }
 
 ORACLE: dict[str, str] = {
@@ -41,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op4_substrings": substrings.op4_sql(),
     "op8_quality": twins.op8_sql(),
     "op10_licenses": licenses.op10_sql(),
+    "op13_lines": lines.op13_sql(),
 }
