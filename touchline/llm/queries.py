@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": _over("documents", "quality", "op8_quality"),
     "op9_pieces": _over("documents", "pieces", "op9_pieces"),
     "op10_licenses": _over("documents", "licenses", "op10_licenses"),
+    "op11_spelling": _over("documents", "spelling", "op11_spelling"),
     "op12_alignment": _over("documents", "alignment", "op12_alignment"),
     "op13_lines": _over("documents", "lines", "op13_lines"),
 }
