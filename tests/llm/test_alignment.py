@@ -101,16 +101,26 @@ SIGNS = [*"abcdefghijklmnop  \n\n\t▁éß漢😀.,'-#0123THE", "the", "ing", "
          "<|endoftext|>", "'s", "'LL", "ǅ", "ɏ", "×", "᠎", "​", "٣", "Ⅷ", "²", "\x1c", "\r\n", "ﬁ"]
 
 
-def test_parts_give_the_ids_of_whole_texts(libraries):
-    """Cutting at spaces changes no id of either library."""
+def test_ids_are_those_of_the_libraries(libraries, small_docs):
+    """Both ways to the first stream's ids give those of its own library."""
     model, rng = alignment.Tokenizers.of(alignment.byte_bpe_path(), alignment.piece_path()), random.Random(6)
     texts = ["".join(rng.choices(SIGNS, k=rng.randint(1, 40))) for _ in range(4000)] + ["x" * 3000, "a b " * 2000, " lead", "tail ", "Ā " * 50]
+    texts += ["".join(rng.choices([s for s in SIGNS if alignment.SURE.fullmatch(s)], k=rng.randint(1, 40))) for _ in range(4000)]
+    texts += [r.text for r in small_docs.collect()]
     a, b = model.encode(texts)
+    assert 3000 < sum(alignment.SURE.fullmatch(t) is not None for t in texts) < len(texts) - 3000
     for text, x, y in zip(texts, a, b):
         left, right = tokens(libraries, text)
         assert x.tolist() == [i for i, _ in left] and y.tolist() == [i for i, _ in right]
 
 
+def test_every_token_is_what_its_bytes_merge_to():
+    model = alignment.Tokenizers.of(alignment.byte_bpe_path(), alignment.piece_path())
+    for spelt, i in model.quick._mergeable_ranks.items():
+        assert model.quick._core_bpe.encode_single_piece(spelt) == [i]
+    assert len(model.quick._mergeable_ranks) == 50256
+
+
 @pytest.mark.parametrize("lane", [1, 3, 10**6])
 def test_lockstep(lane):
     """Lanes of any length give the links and cuts of the overlap rule."""

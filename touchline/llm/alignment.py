@@ -14,10 +14,12 @@ summed by slice before they are shuffled. Each slice then gets the counts of
 the pairs it holds and nothing else, so no table is broadcast and no key is
 hotter than the number of slices.
 
-Tokens: texts are cut at single spaces between two visible Latin signs, where
-neither tokenizer has a token across (checked when the model is loaded and
-fuzzed against the libraries); each part is encoded by its library once and
-kept in a bounded lookup.
+Tokens are the libraries' own. Texts of common signs get their first-stream ids
+from a faster library with the ranks of the same vocabulary: merging by rank of
+the joined bytes equals merging by the list of pairs where every token is what
+its own bytes merge to (a region that no merge has crossed yet merges as if it
+stood alone), which a test checks for all of the vocabulary. Other texts go to
+the vocabulary's own library, whose letters may follow another Unicode version.
 
 Defined cases: null and empty texts, and texts whose joined token bytes differ
 from a space and the text (for instance those with U+2581), have no tokens.
@@ -37,17 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, ddl, frame, rows_of, slices, stored
+from .common import ddl, frame, rows_of, slices, stored
 
 META = "▁"
 #: First-stream tokens of a lane.
 LANE = 512
 #: Text bytes merged at a time.
 SLICE = 4 << 20
-#: A single space between two signs that are white space in no Unicode version.
-CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
-#: Parts up to this length are kept in the lookup.
-KEPT_CHARS = 40
+#: Signs that are letter, mark or white space alike in every Unicode version.
+SURE = re.compile("[\t\n\r -~À-ɏ–—‘’“”…一-龥]*")
 
 
 def byte_bpe_path() -> str:
@@ -70,8 +70,11 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         import os
 
+        from public_tokenizers import PATTERN as split
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
@@ -88,11 +91,11 @@ class Tokenizers:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(META, " ").encode())
-            if META in piece.lstrip(META) and not self.b.is_control(i):
-                raise ValueError("a piece crosses a space")
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.parts = Recent(self._one, 150_000)
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.a_bytes[i]: i for token, i in vocab.items() if token not in special}
+        self.quick = tiktoken.Encoding("a", pat_str=split, mergeable_ranks=ranks, special_tokens={})
         # an id as text with the sign that follows it: inside a group, at its end
         self.a_text = np.array([f"{i}{s}" for s in ",|" for i in range(self.a_size.size)], object)
         self.b_text = np.array([f"{i}{s}" for s in ",;" for i in range(self.b_size.size)], object)
@@ -103,40 +106,26 @@ class Tokenizers:
             cls._made[a_path, b_path] = cls(a_path, b_path)
         return cls._made[a_path, b_path]
 
-    def _all(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of both streams (32-bit little-endian) of each part."""
-        own = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        other = self.b.encode(parts, num_threads=1)
-        return [(np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for x, y in zip(own, other)]
-
-    def _one(self, part: str) -> tuple[bytes, bytes]:
-        return self._all([part])[0]
+    def _first(self, texts: list[str]) -> list[np.ndarray]:
+        """First-stream ids of a space and each text."""
+        sure = [SURE.fullmatch(t) is not None for t in texts]
+        rest = iter(self.a.encode_batch_fast([" " + t for t, s in zip(texts, sure) if not s], add_special_tokens=False))
+        return [self.quick.encode_to_numpy(" " + t, disallowed_special=()) if s else np.array(next(rest).ids, np.uint32)
+                for t, s in zip(texts, sure)]
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text in both streams; a text that its tokens do not spell
         has none."""
-        parts = self.parts
-        split = [CUT.split(t) if t else [] for t in texts]
-        new = list({p for own in split for p in own if p not in parts and p not in parts.old and len(p) <= KEPT_CHARS})
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
-            parts.keep_all(some, self._all(some))
-        out_a, out_b = [], []
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
         none = np.empty(0, np.uint32)
-        for text, own in zip(texts, split):
-            if not own:
-                out_a.append(none)
-                out_b.append(none)
-                continue
-            found = [parts[p] if len(p) <= KEPT_CHARS else self._one(p) for p in own]
-            a = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-            b = np.frombuffer(b"".join([f[1] for f in found]), "<u4")
+        out_a, out_b = self._first(texts), []
+        for i, (text, ids) in enumerate(zip(texts, self.b.encode(texts, num_threads=1))):
             want = b" " + text.encode()
-            a_bytes, b_bytes = self.a_bytes, self.b_bytes
-            if b"".join([a_bytes[i] for i in a.tolist()]) != want or b"".join([b_bytes[i] for i in b.tolist()]) != want:
-                a = b = none
-            out_a.append(a)
-            out_b.append(b)
+            if text and b"".join([b_bytes[x] for x in ids]) == want and b"".join([a_bytes[x] for x in out_a[i].tolist()]) == want:
+                out_b.append(np.array(ids, np.uint32))
+            else:
+                out_a[i] = none
+                out_b.append(none)
         return out_a, out_b
 
 
