@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import vector_index as VI
 from ..operators import vectors as V
+from ..session import stored_once
 from ..sources.projections import MatchData
 from .catalog import register
 
@@ -103,6 +105,7 @@ def semantic_cache_nearest(md: MatchData) -> DataFrame:
 
 # ------------------------------------- O1-O3: questions that grow with the table
 ASK_EVERY = 50
+RECALL = 0.9
 
 
 def _asked(md: MatchData) -> DataFrame:
@@ -152,6 +155,37 @@ def semantic_cache_nearest_all(md: MatchData) -> DataFrame:
     return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"))
 
 
+# ------------------------------------- O2/O3 approximate: a stored vector index
+def _index(md: MatchData) -> VI.VectorIndex:
+    """The index of all vectors, written once for a state of the tables."""
+    path = stored_once(md.spark, f"{md.token}/vector-index", lambda p: VI.build(_stored(md), p, keep=("language",), k=TOP_K))
+    return VI.load(md.spark, path)
+
+
+@register("glossary_top_k_index")
+def glossary_top_k_index(md: MatchData) -> DataFrame:
+    """O2 by the index: nearest of the entries in the cells a question asks."""
+    r = VI.search(_index(md), _asked(md), TOP_K)
+    return r.select("query_id", "entry_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@register("semantic_cache_lookup_index", _asked_sql("e.label = q.label", "1 = rank AND distance <= 1.0 - 0.97"))
+def semantic_cache_lookup_index(md: MatchData) -> DataFrame:
+    """O3 by the index. A hit is at most 0.03 away; the twin is the exact answer."""
+    r = VI.search(_index(md), _asked(md), 1, group="language")
+    return r.where(F.col("distance") <= 1.0 - V.CACHE_SIMILARITY).select("query_id", "entry_id", F.round("distance", 6).alias("distance"))
+
+
+@register("vector_index_recall", f"""
+SELECT count(*) AS questions, cast(count(*) * least({TOP_K}, (SELECT count(*) FROM embeddings)) AS bigint) AS wanted, true AS reached
+FROM embeddings WHERE vec_id % {ASK_EVERY} = 0
+""")
+def vector_index_recall(md: MatchData) -> DataFrame:
+    """Share of the exact neighbours of every 50th vector that the index finds: at least 0.9."""
+    found = VI.recall(VI.search(_index(md), _asked(md), TOP_K), V.nearest(_stored(md), _asked(md), TOP_K))
+    return found.select("questions", "wanted", (F.col("recall") >= RECALL).alias("reached"))
+
+
 # ------------------------------------------------------------------- O4
 @register("embedding_dimension_check", f"""
 SELECT dimension, count(*) AS vectors, dimension = {DIM} AS ok
