@@ -45,11 +45,11 @@ SELECT e.team_id, m.competition_id, count(*) FILTER (WHERE e.type = 'Shot') AS s
 FROM v_events e JOIN v_matches m ON m.match_id = e.match_id WHERE e.team_id IS NOT NULL GROUP BY 1, 2
 """, ("v_events", "v_matches"))
 def metric_totals_stream(md: MatchData) -> DataFrame:
-    """Q4: live counts per team and competition over landed event files."""
+    """Q4: live counts per team and competition over landed event files, in update
+    mode: a micro-batch merges the keys it changed into the stored table."""
     path = _land(md, md.events.repartition(4, "match_id"), "events")
     events = md.spark.readStream.schema(md.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stream = J.metric_totals_stream(events, md.matches)
-    return J.run_available(stream, "metric_totals", mode="complete", foreach_batch=J.overwrite_batch)
+    return J.stored_totals(events, md.matches)
 
 
 @register("elo_stream", "SELECT team_id, elo_rating, matches_played FROM v_elo_final", ("v_elo_final",))
@@ -80,7 +80,7 @@ def elo_stream(md: MatchData) -> DataFrame:
         "team_id", F.round("rating", 2).alias("elo_rating"), F.col("played").alias("matches_played"))
 
 
-@register("rate_decisions_stream", """
+DECISIONS_SQL = """
 SELECT request_id, subject_kind, subject, minute_count, day_count,
        minute_count <= l.minute_limit AND day_count <= l.day_limit AS allowed
 FROM (SELECT request_id, subject_kind, subject,
@@ -90,11 +90,24 @@ FROM (SELECT request_id, subject_kind, subject,
 JOIN (SELECT subject_kind, subject,
              CASE tier WHEN 'anonymous' THEN 12 WHEN 'user' THEN 30 ELSE 90 END AS minute_limit,
              CASE tier WHEN 'anonymous' THEN 300 WHEN 'user' THEN 1000 ELSE 3000 END AS day_limit FROM lim) l USING (subject_kind, subject)
-""", (), {"r": REQUESTS_SQL, "subs": SUBS_SQL, "ent": ENT_SQL, "lim": LIMITS_SQL})
-def rate_decisions_stream(md: MatchData) -> DataFrame:
-    """Q2s: the rate decision inside a stream (window counts carried between batches)."""
+"""
+DECISION_VIEWS = {"r": REQUESTS_SQL, "subs": SUBS_SQL, "ent": ENT_SQL, "lim": LIMITS_SQL}
+
+
+def _request_stream(md: MatchData) -> DataFrame:
     schema = md.read("events").schema
     events = (md.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("pathGlobFilter", table_path(md.sf_dir, "events").rsplit("/", 1)[1]).parquet(md.sf_dir))
-    req = requests_from(events.withColumn("ts", F.col("ts").cast("timestamp")))
-    return J.rate_decisions_stream(req, limits(md))
+    return requests_from(events.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@register("rate_decisions_stream", DECISIONS_SQL, (), DECISION_VIEWS)
+def rate_decisions_stream(md: MatchData) -> DataFrame:
+    """Q2s: the rate decision inside a stream (window counts carried between batches)."""
+    return J.rate_decisions_stream(_request_stream(md), limits(md))
+
+
+@register("rate_limiter_stream", DECISIONS_SQL, (), DECISION_VIEWS)
+def rate_limiter_stream(md: MatchData) -> DataFrame:
+    """Q2s with keyed state: one state a subject, cleared by a timer when idle."""
+    return J.rate_limiter_stream(_request_stream(md), limits(md)).drop("reason")

@@ -1,9 +1,10 @@
 """Structured Streaming twins of the usage and totals jobs.
 
-Every stream reads files as they land (a file source), keeps its state in the
-checkpoint location under the shared ``spark.checkpoint.dir`` (so a restarted
-query resumes exactly where it stopped) and writes to a parquet sink in the
-same shared folder. ``run_available`` drives a query with
+Every stream reads files as they land (a file source). The caller names the
+folder ``at`` of a query: its checkpoint, state and output lie there, so a query started
+again with the same name resumes where it stopped, after a kill in the middle of a batch too
+(the batch is run again and replaces its own output). Without a name a query is a run of
+its own, under the shared ``spark.checkpoint.dir``. ``run_available`` drives a query with
 ``trigger(availableNow=True)``, i.e. it processes everything that has landed
 and stops; a deployment runs the same query with a processing-time trigger.
 """
@@ -17,30 +18,41 @@ from pyspark.sql import functions as F
 
 from ..operators.usage import rate_decisions, rate_windows
 from ..session import scratch_path
+from ..sources import stored
+from . import limiter
 
 WATERMARK = "10 minutes"
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    run = uuid.uuid4().hex[:12]
-    return scratch_path(spark, f"streams/{name}-{run}/out"), scratch_path(spark, f"streams/{name}-{run}/checkpoint")
+def own_folder(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", foreach_batch=None) -> DataFrame:
-    """Run a streaming DataFrame to completion over the landed files and
-    return its output as a batch DataFrame read from the sink."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", foreach_batch=None, at: str | None = None,
+                  conf: dict[str, str] | None = None, read: bool = True) -> DataFrame | None:
+    """Run a streaming DataFrame over the files that have landed and return its
+    output as a batch DataFrame read from the sink (``<at>/out``). ``conf`` holds while
+    the query starts, which keeps it."""
     spark = stream.sparkSession
-    out, ckpt = _paths(spark, name)
-    writer = stream.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
+    at = at or own_folder(spark, name)
+    out = f"{at}/out"
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True)
     if foreach_batch is not None:
         writer = writer.foreachBatch(lambda df, batch_id: foreach_batch(df, batch_id, out))
     else:
         writer = writer.format("parquet").option("path", out)
-    q = writer.start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        q = writer.start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(out) if read else None
 
 
 def rate_windows_stream(requests: DataFrame) -> DataFrame:
@@ -54,7 +66,7 @@ def rate_windows_stream(requests: DataFrame) -> DataFrame:
 
 def metric_totals_stream(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Q4: live event counts per team and competition (stream-static join with
-    the match table; complete-mode state is one row per team-competition)."""
+    the match table; the state is one row per team-competition)."""
     m = matches.select("match_id", "competition_id")
     e = events.drop("competition_id").join(m, "match_id")
     t, o = F.col("type"), F.col("outcome")
@@ -65,9 +77,21 @@ def metric_totals_stream(events: DataFrame, matches: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"))
 
 
-def overwrite_batch(df: DataFrame, batch_id: int, out: str) -> None:
-    """Complete-mode sink: every batch carries the whole (bounded) result."""
-    df.write.mode("overwrite").parquet(out)
+TOTAL_KEYS = ["team_id", "competition_id"]
+TOTAL_SCHEMA = "team_id string, competition_id string, shots long, goals long, passes long, events long"
+
+
+def stored_totals(events: DataFrame, matches: DataFrame, at: str | None = None) -> DataFrame:
+    """Q4 into a stored table: in update mode a micro-batch carries only the
+    keys it changed, and only their buckets are read and written."""
+    spark = events.sparkSession
+    at = at or own_folder(spark, "metric_totals")
+
+    def merge(df: DataFrame, batch_id: int, out: str) -> None:
+        stored.merge(df, out, TOTAL_KEYS, f"batch-{batch_id}")
+
+    run_available(metric_totals_stream(events, matches), "metric_totals", "update", merge, at, read=False)
+    return stored.read(spark, f"{at}/out", TOTAL_SCHEMA)
 
 
 # ----------------------------------------------------------- Q2s decisions
@@ -75,7 +99,15 @@ WINDOW_SCHEMA = "subject_kind string, subject string, window_kind string, window
 INDEX_SCHEMA = "day int, batch long"
 
 
-def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
+def rate_limiter_stream(requests: DataFrame, limits: DataFrame, at: str | None = None, **options) -> DataFrame:
+    """Q2s with keyed state and timers (:mod:`limiter`)."""
+    return run_available(limiter.decisions(requests, limits, **options), "rate_limiter", at=at,
+                         conf={"spark.sql.streaming.stateStore.providerClass": limiter.ROCKSDB,
+                               # with clock timers, batches without data would follow each other without end
+                               "spark.sql.streaming.noDataMicroBatches.enabled": "false"})
+
+
+def rate_decisions_stream(requests: DataFrame, limits: DataFrame, at: str | None = None) -> DataFrame:
     """Q2s: every micro-batch is decided by the batch plan plus the counts that
     earlier batches left in each subject's minute and day window.
 
@@ -88,11 +120,18 @@ def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
     run again after a failure replaces its own counts, index and output.
     """
     spark = requests.sparkSession
-    root = scratch_path(spark, f"streams/rate-state-{uuid.uuid4().hex[:12]}")
+    at = at or own_folder(spark, "rate_decisions")
+    root = f"{at}/state"
 
     def apply(batch: DataFrame, batch_id: int, out: str) -> None:
         rows = batch.persist()
-        session = batch.sparkSession
+        try:
+            decide(rows, batch_id, out)
+        finally:
+            rows.unpersist()
+
+    def decide(rows: DataFrame, batch_id: int, out: str) -> None:
+        session = rows.sparkSession
         index = session.read.schema(INDEX_SCHEMA).parquet(f"{root}/index/v{batch_id - 1}") if batch_id else session.createDataFrame([], INDEX_SCHEMA)
         days = rows.where(F.col("ts").isNotNull()).select(_day("ts").alias("day")).distinct()
         # bounded by the calendar: one path for each day of the batch that has counts
@@ -105,9 +144,8 @@ def rate_decisions_stream(requests: DataFrame, limits: DataFrame) -> DataFrame:
             f"{root}/counts/batch={batch_id}")
         index.join(days, "day", "left_anti").unionByName(days.withColumn("batch", F.lit(batch_id).cast("long"))).coalesce(1).write.mode(
             "overwrite").parquet(f"{root}/index/v{batch_id}")
-        rows.unpersist()
 
-    return run_available(requests, "rate_decisions", foreach_batch=apply).drop("batch")
+    return run_available(requests, "rate_decisions", foreach_batch=apply, at=at).drop("batch")
 
 
 def _day(ts: str) -> Column:
