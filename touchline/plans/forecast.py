@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import dixon_coles as DC
 from ..operators import ratings as R
 from ..sources.projections import MatchData
 from .catalog import register
@@ -31,10 +32,15 @@ def dc_fits(md: MatchData) -> DataFrame:
     return md.memo("dc_fits", lambda: R.dc_fits(R.dc_cutoff_stats(md.matches)).checkpoint(eager=True))
 
 
+def block_fits(md: MatchData, refit: str = "match") -> DataFrame:
+    """Fits for the teams of each cutoff, rows linear in the matches."""
+    return md.memo(f"block_fits_{refit}", lambda: DC.fits_in_blocks(md.matches, refit).checkpoint(eager=True))
+
+
 def predictions(md: MatchData) -> DataFrame:
     """match_predictions: Elo prior blended with the walk-forward fits."""
     def build():
-        rates = R.dc_rates(md.matches, elo_walk(md), dc_fits(md))
+        rates = R.dc_rates(md.matches, elo_walk(md), block_fits(md))
         probs = R.match_probabilities(R.scoreline_matrix(rates))
         m = md.matches.select("match_id", "home_team_id", "away_team_id", "home_team_name", "away_team_name",
                               "match_date", "stage", "home_score", "away_score")
@@ -132,14 +138,19 @@ def dc_fit(md: MatchData) -> DataFrame:
 @register("dc_fit_by_date")
 def dc_fit_by_date(md: MatchData) -> DataFrame:
     """L6 with ``refit='date'``: one fit per match date (the scale mode)."""
-    fits = R.dc_fits(R.dc_cutoff_stats(md.matches, refit="date"))
-    rates = R.dc_rates(md.matches, elo_walk(md), fits, refit="date")
+    rates = R.dc_rates(md.matches, elo_walk(md), block_fits(md, "date"), refit="date")
     return _rounded(rates, "lambda_home", "lambda_away", "rho")
 
 
 @register("dc_predict")
 def dc_predict(md: MatchData) -> DataFrame:
-    return _rounded(R.dc_rates(md.matches, elo_walk(md), dc_fits(md)), "lambda_home", "lambda_away", "rho")
+    return _rounded(R.dc_rates(md.matches, elo_walk(md), block_fits(md)), "lambda_home", "lambda_away", "rho")
+
+
+@register("dc_fit_blocks")
+def dc_fit_blocks(md: MatchData) -> DataFrame:
+    """L6 from block prefixes: the fits of :func:`dc_fit` for the teams that play at each cutoff."""
+    return _rounded(block_fits(md), "attack", "defense", "intercept", "home_advantage", "rho")
 
 
 # ------------------------------------------------------------------ L8 / L9
