@@ -257,3 +257,62 @@ SELECT DISTINCT match_id AS fixture_id FROM v_events WHERE source = 'api_footbal
 def envelope_errors(md: MatchData) -> DataFrame:
     _, bad = FD.envelope_errors(md.spark, land_fixture_events(md))
     return bad.select("fixture_id")
+
+
+# ------------------------------------- A1, A2, A6, A7, A9: files as the providers send them
+def _pretty(md: MatchData, landed: str, name: str, envelope: bool, files: int = 4) -> str:
+    """Records landed one a line, rewritten as pretty-printed arrays or envelopes, some records a file."""
+    path = _landing(md, name)
+    line = md.spark.read.text(landed).select("value", F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"))
+    page = line.groupBy("file").agg(F.concat(F.lit("[\n  "), F.array_join(F.sort_array(F.collect_list(
+        F.regexp_replace("value", r'([{,])"', '$1\n    "'))), ",\n  "), F.lit("\n]")).alias("text"))
+    if envelope:
+        page = page.select("file", F.concat(F.lit('{\n "get": "x",\n "errors": [],\n "response": '), F.col("text"), F.lit("\n}")).alias("text"))
+    page.repartition(files, "file").write.partitionBy("file").text(path)
+    return path
+
+
+def _twin(name: str) -> str:
+    from .catalog import ORACLE
+    return ORACLE[name]
+
+
+register("read_competitions_array", _twin("read_competitions"))(
+    lambda md: FD.read_competitions(md.spark, _pretty(md, land_competitions(md), "competitions-array", False)))
+register("read_matches_array", _twin("read_matches"))(
+    lambda md: FD.read_matches(md.spark, _pretty(md, land_matches(md), "matches-array", False)))
+register("leagues_envelope", _twin("leagues_to_competitions"))(
+    lambda md: FD.leagues_to_competitions(md.spark, _pretty(md, land_leagues(md), "leagues-envelope", True)))
+register("fixtures_envelope", _twin("fixtures_to_matches"))(
+    lambda md: FD.fixtures_to_matches(md.spark, _pretty(md, land_fixtures(md), "fixtures-envelope", True)))
+
+
+def land_squads(md: MatchData) -> str:
+    """One envelope per team; the page of every 5th team lists other squads only,
+    and the pages of the rest list another squad first."""
+    path = _landing(md, "squad-pages")
+    p = md.players.where(F.col("source") == SOURCE_FEED)
+    n = F.regexp_extract("player_id", r"-P(\d+)$", 1).cast("int")
+    team = _bare(F.col("team_id"))
+    label = F.element_at(F.array(*(F.lit(x) for x in ("Goalkeeper", "Defender", "Midfielder", "Attacker"))), n % 4 + 1)
+    squads = p.groupBy(team.alias("id")).agg(F.array_sort(F.collect_list(F.struct(
+        (_bare(F.col("team_id")) * 100 + n).alias("id"), "name", F.lit(25).cast("long").alias("age"), F.col("jersey_number").cast("long").alias("number"),
+        F.when(n % 4 != 3, label).alias("position")))).alias("players"))
+    one = squads.select(F.struct(F.struct("id", F.lit("x").alias("name")).alias("team"), "players").alias("own"), F.col("id").alias("team"))
+    other = squads.agg(F.min_by(F.struct(F.struct("id", F.lit("x").alias("name")).alias("team"), "players"), "id").alias("first"))
+    page = one.join(F.broadcast(other)).select("team", F.when(F.col("team") % 5 == 0, F.array("first")).otherwise(F.array("first", "own")).alias("response"))
+    page.withColumn("errors", F.array().cast("array<string>")).write.partitionBy("team").json(path)
+    return path
+
+
+@register("squads_to_players_all", """
+SELECT t.team_id, cast(cast(substr(p.team_id, 4) AS bigint) * 100 + cast(split_part(p.player_id, '-P', 2) AS bigint) AS varchar) AS player_id,
+       p.name, p.jersey_number,
+       CASE WHEN cast(split_part(p.player_id, '-P', 2) AS int) % 4 = 3 THEN [] ELSE [['Goalkeeper', 'Defender', 'Midfielder', 'Attacker'][cast(split_part(p.player_id, '-P', 2) AS int) % 4 + 1]] END AS positions
+FROM (SELECT DISTINCT team_id, cast(substr(team_id, 4) AS bigint) AS n FROM v_players WHERE source = 'api_football') t
+JOIN v_players p ON p.source = 'api_football'
+ AND cast(substr(p.team_id, 4) AS bigint) = CASE WHEN t.n % 5 = 0 THEN (SELECT min(cast(substr(team_id, 4) AS bigint)) FROM v_players WHERE source = 'api_football') ELSE t.n END
+""", ("v_players",))
+def squads_to_players_all(md: MatchData) -> DataFrame:
+    """A9 for every team's page."""
+    return FD.squads_to_players(md.spark, land_squads(md))

@@ -13,6 +13,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, LongType, Str
                                StructType)
 
 from ..functions import labels as L
+from . import envelopes
 
 EVENTS_SOURCE = "statsbomb"
 FEED_SOURCE = "api_football"
@@ -62,6 +63,9 @@ FIXTURE_SCHEMA = _s(
     ("teams", _s(("home", ID_NAME), ("away", ID_NAME))),
     ("goals", _s(("home", LongType()), ("away", LongType()))))
 
+SQUAD_SCHEMA = _s(("team", ID_NAME), ("players", ArrayType(_s(
+    ("id", LongType()), ("name", StringType()), ("age", LongType()), ("number", LongType()), ("position", StringType())))))
+
 FIXTURE_EVENT = _s(("time", _s(("elapsed", LongType()), ("extra", LongType()))), ("team", ID_NAME),
                    ("player", ID_NAME), ("assist", ID_NAME), ("type", StringType()), ("detail", StringType()),
                    ("comments", StringType()))
@@ -74,9 +78,25 @@ def _json(spark: SparkSession, path: str, schema: StructType, multiline: bool =
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+#: Schema and required fields of the landed kinds whose files may be arrays, envelopes or lines.
+def _kinds() -> dict[str, tuple[StructType, tuple[str, ...]]]:
+    return {"competitions": (COMPETITION_SCHEMA, ("competition_id", "season_id")), "matches": (MATCH_SCHEMA, ("match_id",)),
+            "leagues": (LEAGUE_SCHEMA, ("league.id",)), "fixtures": (FIXTURE_SCHEMA, ("fixture.id", "league.id")),
+            "squads": (SQUAD_SCHEMA, ("team.id",))}
+
+
+def _records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return envelopes.records(spark, path, *_kinds()[kind])
+
+
+def rejects(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """``path, reason, text`` of what a reader of this kind left out."""
+    return envelopes.rejects(spark, path, *_kinds()[kind])
+
+
 def read_competitions(spark: SparkSession, path: str) -> DataFrame:
     """A1: open-data competitions -> neutral competition rows."""
-    c = _json(spark, path, COMPETITION_SCHEMA)
+    c = _records(spark, path, "competitions")
     return c.select(
         L.competition_key(F.col("competition_id"), F.col("season_id")).alias("competition_id"),
         F.col("competition_name").alias("name"), F.col("country_name").alias("country"), "season_name",
@@ -88,7 +108,7 @@ def read_competitions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """A2: open-data matches; the score is kept only when both sides are present."""
-    m = _json(spark, path, MATCH_SCHEMA)
+    m = _records(spark, path, "matches")
     both = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
     return m.select(
         "match_id",
@@ -163,7 +183,7 @@ def read_events(spark: SparkSession, path: str, multiline: bool = False) -> Data
 
 def leagues_to_competitions(spark: SparkSession, path: str) -> DataFrame:
     """One competition per league x season; gender left 'unknown'."""
-    lg = _json(spark, path, LEAGUE_SCHEMA)
+    lg = _records(spark, path, "leagues")
     s = lg.select("league", "country", F.explode("seasons").alias("season"))
     return s.select(
         L.competition_key(F.col("league.id"), F.col("season.year")).alias("competition_id"),
@@ -174,7 +194,7 @@ def leagues_to_competitions(spark: SparkSession, path: str) -> DataFrame:
 
 def fixtures_to_matches(spark: SparkSession, path: str) -> DataFrame:
     """date = first 10 characters, kickoff = characters 12-19 when HH:MM:SS."""
-    fx = _json(spark, path, FIXTURE_SCHEMA)
+    fx = _records(spark, path, "fixtures")
     d = F.col("fixture.date")
     kick = F.substring(d, 12, 8)
     both = F.col("goals.home").isNotNull() & F.col("goals.away").isNotNull()
@@ -195,6 +215,20 @@ def fixtures_to_matches(spark: SparkSession, path: str) -> DataFrame:
         F.col("fixture.referee").alias("referee"), F.lit(FEED_SOURCE).alias("source"))
 
 
+def squads_to_players(spark: SparkSession, path: str) -> DataFrame:
+    """One page per asked team (in a folder ``team=<id>`` or a file ``<id>.json``).
+    The team's own squad in the page is taken, else the page's first; positions
+    are a list of one or none; rows carry the asked team's id."""
+    sq = _records(spark, path, "squads").withColumn("asked", F.coalesce(
+        F.nullif(F.regexp_extract("__path", r"team=(\d+)", 1), F.lit("")), F.regexp_extract("__path", r"/(\d+)\.json$", 1)).try_cast("bigint"))
+    own = F.struct((F.col("team.id") != F.col("asked")).alias("other"), "__place")
+    taken = sq.where(F.col("asked").isNotNull()).groupBy("asked").agg(F.min_by("players", own).alias("players"))
+    p = taken.select("asked", F.explode("players").alias("p"))
+    return p.select(L.prefix_entity_id(F.col("asked"), FEED_PREFIX).alias("team_id"),
+                    F.col("p.id").cast("string").alias("player_id"), F.col("p.name").alias("name"), F.col("p.number").cast("int").alias("jersey_number"),
+                    F.when(F.col("p.position").isNotNull(), F.array("p.position")).otherwise(F.array().cast("array<string>")).alias("positions"))
+
+
 def envelope_errors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A10: split fixture-event envelopes into accepted and rejected ones: a
     non-empty ``errors``, list or object, fails the page even though the
