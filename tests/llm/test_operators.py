@@ -204,12 +204,17 @@ def brute_licenses(text):
 
 
 def test_licenses(docs, texts):
-    docs = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    want = {d: brute_licenses(t) for d, t in texts(docs)}
-    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licenses) for r in licenses.op10_licenses(docs).collect()}
+    want = Counter((d, *brute_licenses(t)) for d, t in texts(docs))
+    got = Counter((r.doc_id, r.n_sentences, r.sentence_ids, r.licenses) for r in licenses.op10_licenses(docs).collect())
     assert got == want
 
 
+def test_licenses_of_rows_that_share_an_id(spark):
+    rows = [(None, "Released under the MIT License."), (2, "All rights reserved."), (2, "nothing"), (2, "All rights reserved."), (None, None)]
+    got = Counter((r.doc_id, r.licenses) for r in licenses.op10_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, "MIT"), (2, "proprietary"), (2, ""), (2, "proprietary"), (None, "")])
+
+
 def test_license_sequences(spark):
     sentence = {}
     for s, i in licenses.SENTENCES.items():
@@ -353,12 +358,23 @@ def test_substrings_branching(spark):
     assert {tuple(r) for r in substrings.op4_substrings(df).collect()} == want
 
 
+def test_special_strings_are_special_tokens():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordTokens.of(packing.tokenizer_path())
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = [f"{a}{s}{b}" for s in (special[0], special[-1], special[-1].upper(), special[0][:-1], special[0] * 2)
+             for a in ("", "one ", "One\n", "x.") for b in ("", " two", "two.", "\n, end")] + ["plain text."]
+    got = [[int.from_bytes(x[i:i + 4], "little") for i in range(0, len(x), 4)] for x in own([t.encode() for t in texts])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(tok.token_to_id(special[-1]) in ids for ids in got)
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = texts(docs)
     want = Counter((d, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*tok.encode(t or "", add_special_tokens=False).ids, 2]))) for d, t in rows)
     pieces_of = packing.pack(docs, packing.tokenizer_path(), range_tokens=50_000).collect()

@@ -119,15 +119,19 @@ def _holds(rule: tuple[str, ...]) -> Column:
     return F.col("path").contains(">" + ">".join(rule) + ">")
 
 
-def licenses_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, licenses`` of documents with a known sentence, one row
-    per id value: the identifiers in order, and the licences whose rule
-    holds, sorted. Sentences that no rule takes give ``licenses`` empty.
-    Rows that share a doc_id count as one document."""
-    ordered = (sentence_ids(docs, id_col, text_col).groupBy("doc_id")
-               .agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("found"))
-               .select("doc_id", F.transform("found", lambda s: s["id"]).alias("ids"))
-               .withColumn("path", F.concat(F.lit(">"), F.array_join("ids", ">"), F.lit(">"))))
+def _ids(text: Column) -> Column:
+    """The identifiers of a text's known sentences in order, without a shuffle:
+    the table is a literal map of a few dozen entries."""
+    known = F.create_map(*(F.lit(x) for pair in sorted(SENTENCES.items()) for x in pair))
+    found = F.regexp_extract_all(numbered_parts(text), F.lit(sentence_pattern()), F.lit(0))
+    plain = F.transform(found, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, f"[ {PART}{DIGITS}]+", " "))))
+    return F.when(text.rlike(MARKERS), F.array_compact(plain)).otherwise(F.array().cast("array<string>"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, ids, licenses`` of every row, judged by itself."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), _ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    rows = rows.withColumn("path", F.concat(F.lit(">"), F.array_join("ids", ">"), F.lit(">")))
     held = []
     for name, rule in RULES:
         larger = [other for label, other in RULES if label != name and len(other) > len(rule)
@@ -136,20 +140,23 @@ def licenses_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for other in larger:
             ok = ok & ~_holds(other)
         held.append(F.when(ok, F.lit(name)))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*held))))
-    return ordered.select("doc_id", "ids", found.alias("licenses"))
+    return rows.select("doc_id", "ids", F.array_sort(F.array_distinct(F.array_compact(F.array(*held)))).alias("licenses"))
+
+
+def licenses_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, licenses`` of rows with a known sentence: the identifiers
+    in order, and the licences whose rule holds, sorted. Sentences that no rule
+    takes give ``licenses`` empty. Each row is a document, also one with a null
+    id or an id that another row has."""
+    return _judged(docs, id_col, text_col).filter(F.size("ids") > 0)
 
 
 def op10_licenses(docs: DataFrame) -> DataFrame:
     """Every document: its sentence identifiers and licences, comma-joined
     (empty if none), and their numbers. Null texts have none."""
-    found = licenses_of(docs)
-    every = docs.select("doc_id")
-    return every.join(found, "doc_id", "left").select(
-        "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_sentences"),
-        F.coalesce(F.array_join("ids", ","), F.lit("")).alias("sentence_ids"),
-        F.coalesce(F.array_join("licenses", ","), F.lit("")).alias("licenses"))
+    return _judged(docs, "doc_id", "text").select(
+        "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"))
 
 
 def _sql_text(value: str) -> str:

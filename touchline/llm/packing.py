@@ -54,7 +54,8 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole = Tokenizer.from_file(path)  # for texts with the string of a special token, which is that token
+        self.special = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         ids = self.tok.get_vocab()
         self.ends = np.zeros(max(ids.values()) + 1, bool)  # ids that end a word
         self.ends[[i for piece, i in ids.items() if piece.endswith("</w>")]] = True
@@ -93,12 +94,17 @@ class WordTokens:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # bytes.lower() touches A-Z only, which the tokenizer lower-cases too
-        cut = [self.end.sub(b" ", t.lower()).split() for t in texts]
+        lowered = [t.lower() for t in texts]
+        marked = {i for i, t in enumerate(lowered) if any([x in t for x in self.special])}
+        cut = [self.end.sub(b" ", t).split() if i not in marked else [] for i, t in enumerate(lowered)]
         known, older = self.parts.get, self.parts.old
         new = [p for p in {p for own in cut for p in own if known(p) is None} if p not in older]
         self.parts.keep_all(new, self.encode(new))
         parts = self.parts
-        return [b"".join([parts[p] for p in own]) for own in cut]
+        return [b"".join([parts[p] for p in own]) if i not in marked else self.of_whole(texts[i]) for i, own in enumerate(cut)]
+
+    def of_whole(self, text: bytes) -> bytes:
+        return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def projection(hashed: int = HASHED, dims: int = DIMS) -> np.ndarray:
