@@ -10,9 +10,10 @@ of their input. Columns other than ``doc_id`` and ``text`` are carried along;
 
 Defined cases: a null text has no language, so its row goes in the first
 stage; where no document has a label, nothing else goes there, and where
-labels are, a text without a likely language does. Rows with a null id go in the second, where documents are named by id.
-An empty table gives empty stages. Repeated rows are copies of each other and
-one of them stays.
+labels are, a text without a letter does (``und``). In the second stage a row is
+named by its id and its text, so different texts that share an id, or have none, are
+documents of their own. An empty table gives empty stages. Rows of the same id and text
+are copies of each other and one of them stays.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from touchline.llm.common import stored
 from touchline.session import configure
 from touchline.sources.tables import read_table
 
-#: A document goes if no language is found, or none is likelier than this.
-LEAST_SCORE = 0.5
-
 
 def _with_length(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
@@ -36,20 +34,28 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language."""
+    """Drop documents without a recognised language; a low score alone drops
+    none, as labels that are near equal share it."""
     configure(spark)
     model = langid.fit(docs)
     if not model.langs:
         return docs.filter(F.col("text").isNotNull())
     judged = langid.predict(docs, model, lang_out="_lang_pred", score_out="_lang_score")
-    return judged.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return judged.filter(F.col("_lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each SimHash component."""
+    """Keep one document of each SimHash component: that of the least id, a
+    null id last, then the least digest of the text."""
     configure(spark)
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    named = docs.withColumn("_named", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
+    found = simhash.near_duplicates(named.select("_named", "text"), id_col="_named")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
+    rows = docs.withColumn("_text_digest", digest)
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("_text_digest"))
+    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
