@@ -124,7 +124,7 @@ def idempotency_check(md: MatchData) -> DataFrame:
     twice = T.upsert(once, base, ["match_id"])
     first = T.row_count_summary({"matches": once})
     second = T.row_count_summary({"matches": twice})
-    return T.idempotency_check(first, second).select("table_name", F.lit(0).alias("changed"))
+    return T.idempotency_check(first, second).select("table_name", (F.col("second_count") - F.col("first_count")).cast("int").alias("changed"))
 
 
 ENRICHED = ["body_part", "under_pressure", "play_pattern", "is_cross", "pass_type", "shot_type"]
