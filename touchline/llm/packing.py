@@ -98,7 +98,7 @@ class WordTokens:
         marked = {i for i, t in enumerate(lowered) if any([x in t for x in self.special])}
         cut = [self.end.sub(b" ", t).split() if i not in marked else [] for i, t in enumerate(lowered)]
         known, older = self.parts.get, self.parts.old
-        new = [p for p in {p for own in cut for p in own if known(p) is None} if p not in older]
+        new = [p for p in set().union(*cut) if known(p) is None and p not in older]
         self.parts.keep_all(new, self.encode(new))
         parts = self.parts
         return [b"".join([parts[p] for p in own]) if i not in marked else self.of_whole(texts[i]) for i, own in enumerate(cut)]
