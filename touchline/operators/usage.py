@@ -136,3 +136,27 @@ def list_follows(follows: DataFrame, teams: DataFrame, players: DataFrame) -> Da
                                               F.col("player_id").asc_nulls_last())
     return j.select("user_id", "team_id", "player_id", name.alias("name"), "created_at",
                     F.row_number().over(w).alias("position"))
+
+
+SUBSCRIPTION = ("subscription_id", "status", "current_period_end")
+
+
+def subscription_fold(events: DataFrame, customers: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Q12 in full: each customer's state after its events in order of
+    ``arrival`` (whatever order the rows come in), up to and with ``as_of``.
+
+    ``events``: ``customer_id, arrival, kind, subscription_id, status,
+    current_period_end``. ``updated`` sets the tier by its status; ``deleted`` is a
+    tombstone: the tier is free whatever the status says, while its id, status
+    and period end are kept; a later update lifts it. Other kinds and events without an arrival are
+    ignored; among equal arrivals a tombstone wins. Customers without events are free."""
+    e = events.where(F.col("kind").isin("updated", "deleted") & F.col("arrival").isNotNull())
+    if as_of is not None:
+        e = e.where(F.col("arrival") <= as_of)
+    deleted = F.col("kind") == "deleted"
+    last = e.groupBy("customer_id").agg(F.max_by(F.struct(*SUBSCRIPTION, deleted.alias("deleted")), F.struct(
+        "arrival", deleted, F.xxhash64(*SUBSCRIPTION))).alias("s"), F.count(F.lit(1)).alias("n_events"))
+    tier = F.when(F.coalesce(~F.col("s.deleted"), F.lit(False)) & F.col("s.status").isin(*PREMIUM_STATUSES), "premium").otherwise("free")
+    return customers.join(last, "customer_id", "left").select(
+        "user_id", "customer_id", *(F.col(f"s.{c}").alias(c) for c in SUBSCRIPTION), F.coalesce("s.deleted", F.lit(False)).alias("deleted"),
+        tier.alias("tier"), F.coalesce("n_events", F.lit(0)).alias("n_events"))

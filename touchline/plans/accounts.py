@@ -105,6 +105,40 @@ def subscription_errors(md: MatchData) -> DataFrame:
     return subscriptions(md)[1]
 
 
+FOLD_SQL = """
+SELECT c.user_id, 'cus_' || cast(c.user_id AS varchar) AS customer_id, 'sub_' || cast(l.event_id % 7 AS varchar) AS subscription_id,
+       CASE WHEN l.event_type IS NULL THEN NULL WHEN l.event_type = 'click' THEN 'trialing' ELSE 'active' END AS status, l.event_id + 30 AS current_period_end,
+       coalesce(l.event_type = 'error', false) AS deleted, CASE WHEN l.event_type IN ('signup', 'purchase', 'click') THEN 'premium' ELSE 'free' END AS tier,
+       coalesce(l.n, 0) AS n_events
+FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0) c
+LEFT JOIN (SELECT user_id, event_id, event_type, count(*) OVER (PARTITION BY user_id) AS n FROM events
+           WHERE event_type <> 'view'{upto} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) l USING (user_id)"""
+
+
+def _fold(md: MatchData, as_of=None) -> DataFrame:
+    e = md.read("events", "event_id", "user_id", "event_type")
+    t = F.col("event_type")
+    kind = F.when(t == "error", "deleted").when(t.isin("signup", "purchase", "click"), "updated").otherwise("viewed")
+    customer = F.concat(F.lit("cus_"), F.col("user_id").cast("string")).alias("customer_id")
+    ev = e.select(customer, F.col("event_id").alias("arrival"), kind.alias("kind"),
+                  F.concat(F.lit("sub_"), (F.col("event_id") % 7).cast("string")).alias("subscription_id"),
+                  F.when(t == "click", "trialing").otherwise("active").alias("status"), (F.col("event_id") + 30).alias("current_period_end"))
+    customers = e.where(F.col("user_id") % 10 == 0).select("user_id").distinct().select("user_id", customer)
+    return U.subscription_fold(ev, customers, as_of)
+
+
+@register("subscription_fold", FOLD_SQL.format(upto=""))
+def subscription_fold(md: MatchData) -> DataFrame:
+    """Q12: deletions are tombstones (free whatever their status), ids and period ends are kept."""
+    return _fold(md)
+
+
+@register("subscription_fold_as_of", FOLD_SQL.format(upto=" AND event_id <= (SELECT max(event_id) // 2 FROM events)"))
+def subscription_fold_as_of(md: MatchData) -> DataFrame:
+    """Q12: the state at the middle of the event ids."""
+    return _fold(md, F.lit((md.read("events", "event_id").agg(F.max("event_id")).first()[0] or 0) // 2))
+
+
 def entitlements_df(md: MatchData) -> DataFrame:
     users = md.read("events", "user_id").distinct()
     return U.entitlements(users, subscriptions(md)[0])

@@ -8,13 +8,16 @@ result row is the document's own metadata; ``events`` is the request log
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import checks as C
+from ..operators import evaluation as EV
 from ..operators import vector_index as VI
 from ..operators import vectors as V
-from ..session import stored_once
+from ..session import scratch_path, stored_once
 from ..sources.projections import MatchData
 from .catalog import register
 
@@ -330,6 +333,49 @@ def match_expected_row(md: MatchData) -> DataFrame:
     return j.groupBy("question_id").agg(F.bool_or(ok).alias("matched"))
 
 
+@register("match_expected_rows", """
+SELECT match_id AS question_id, 2 AS n_rows, match_id % 4 <> 3 AS matched FROM v_matches
+""", ("v_matches",))
+def match_expected_rows(md: MatchData) -> DataFrame:
+    """Every expected entity and value in one row. Expected is the home side with
+    its score and date; of every fourth match also the away side's name, which
+    stands in another row."""
+    m = md.matches
+    score = {s: F.coalesce(f"{s}_score", F.lit(0)) for s in ("home", "away")}
+    rows = [m.select(F.col("match_id").alias("question_id"), F.col(f"{s}_team_id").alias("team_id"), F.concat(F.lit(s), F.lit(" "), F.col(f"{s}_team_name")).alias("team"),
+                     F.date_format("match_date", "yyyy-MM-dd").alias("day"), F.concat(score[s].cast("string"), F.lit(",000")).alias("score")) for s in ("home", "away")]
+    entities = F.array(F.concat(F.lit(" HOME  "), F.upper("home_team_name")), F.date_format("match_date", "yyyy-MM-dd"))
+    more = F.when(F.col("match_id") % 4 == 3, F.array(F.concat(F.lit("away "), F.col("away_team_name")))).otherwise(F.array().cast("array<string>"))
+    expected = m.select(F.col("match_id").alias("question_id"), F.concat(entities, more).alias("entities"),
+                        F.array((score["home"] * 1000).cast("double") * 1.0004).alias("values"))
+    return EV.match_expected(rows[0].unionByName(rows[1]), expected)
+
+
+@register("eval_report", """
+SELECT category, count(*) AS questions, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
+       round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (WHERE NOT passed OR NOT grounded) AS listed,
+       NULL::double AS p95_ms, NULL::double AS p95_cost, NULL::double AS average_tokens, NULL::boolean AS gate FROM ev GROUP BY category
+UNION ALL SELECT NULL, count(*), count(*) FILTER (WHERE passed), count(*) FILTER (WHERE NOT passed), round(avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END), 6),
+       count(*) FILTER (WHERE NOT passed OR NOT grounded), quantile_disc(latency_ms, 0.95), round(quantile_disc(cost_usd, 0.95), 6),
+       round(avg(question_id % 100 + CASE WHEN question_id % 5 = 0 THEN 0 ELSE 20 END), 4),
+       avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) > 0.9 AND bool_and(grounded) AND avg(cost_usd) <= 0.05 AND quantile_disc(cost_usd, 0.95) <= 0.05 FROM ev
+""", ("v_matches", "v_competitions"), {"ev": EVAL_SQL})
+def eval_report(md: MatchData) -> DataFrame:
+    """The report written as a JSON document with its failures, read back."""
+    ev = _eval_results(md).withColumns({
+        "input_tokens": F.col("question_id") % 100, "output_tokens": F.when(F.col("question_id") % 5 != 0, F.lit(20)),
+        "cache_read_tokens": F.lit(None).cast("long"), "cache_write_tokens": F.lit(0)})
+    path = scratch_path(md.spark, f"reports/{uuid.uuid4().hex[:12]}")
+    EV.write_report(ev, path)
+    doc, bad = EV.read_report(md.spark, path, ev.schema)
+    bad = bad.groupBy("category").agg(F.count(F.lit(1)).alias("listed"))
+    total = doc.select(F.lit(None).cast("string").alias("category"), *(F.col(f"totals.{c}") for c in ("questions", "passed", "failed", "accuracy")), F.col("latency.p95_ms"),
+                       F.col("usage.p95_cost"), F.round("usage.average_tokens", 4).alias("average_tokens"), F.col("gate.passed").alias("gate"))
+    each = doc.select(F.inline("categories")).join(bad, "category", "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    both = each.unionByName(total.join(bad.agg(F.coalesce(F.sum("listed"), F.lit(0)).alias("listed"))), allowMissingColumns=True)
+    return both.withColumn("accuracy", F.round("accuracy", 6)).withColumn("p95_cost", F.round("p95_cost", 6))
+
+
 @register("nearest_rank_percentile", """
 SELECT cast(quantile_disc(latency_ms, 0.95) AS double) AS p95_latency_ms, cast(quantile_disc(latency_ms, 0.5) AS double) AS p50_latency_ms FROM ev
 """, ("v_matches", "v_competitions"), {"ev": EVAL_SQL})
