@@ -63,4 +63,5 @@ def as_entry_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from . import (accounts, assets, entities, everywhere, forecast, golden, insights, loading, normalize,  # noqa: F401
-                   providers, replay, services, stored_tables, streams, valuation)
+                   providers, replay, services, stored_tables, streams, tracking_files,  # noqa: F401
+                   valuation)
