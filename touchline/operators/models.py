@@ -54,5 +54,7 @@ def fit_predict(df: DataFrame, inputs: list[str], label: str, out: str,
                            probabilityCol="__prob", rawPredictionCol="__raw_pred", predictionCol="__pred"),
     ])
     model = pipeline.fit(filled)
+    if model.stages[-1].summary.totalIterations >= MAX_ITER:
+        raise RuntimeError(f"the fit of {out} did not converge in {MAX_ITER} iterations")
     scored = model.transform(filled)
     return scored.select(*keep, vector_to_array(F.col("__prob")).getItem(1).alias(out))

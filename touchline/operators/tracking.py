@@ -123,14 +123,24 @@ def detection_filter(detections: DataFrame, min_confidence: float) -> DataFrame:
 
 
 # ------------------------------------------------------------ calibration
-def _dlt(pixels: np.ndarray, pitch: np.ndarray) -> np.ndarray:
-    rows = []
-    for (x, y), (u, v) in zip(pixels, pitch):
-        rows.append([-x, -y, -1, 0, 0, 0, u * x, u * y, u])
-        rows.append([0, 0, 0, -x, -y, -1, v * x, v * y, v])
-    _, _, vt = np.linalg.svd(np.asarray(rows, dtype=float))
-    h = vt[-1].reshape(3, 3)
-    if abs(h[2, 2]) < 1e-12:
+def _unit_scaled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points in homogeneous form around 0 with a mean distance of sqrt(2), and the map that does this."""
+    centre = points.mean(axis=0)
+    scale = np.sqrt(2) / max(float(np.linalg.norm(points - centre, axis=1).mean()), 1e-12)
+    to_unit = np.array([[scale, 0, -scale * centre[0]], [0, scale, -scale * centre[1]], [0, 0, 1]])
+    return np.c_[points, np.ones(len(points))] @ to_unit.T, to_unit
+
+
+def homography(pixels: np.ndarray, pitch: np.ndarray) -> np.ndarray:
+    """The matrix H with pitch x (H pixel) = 0 in least squares over all pairs,
+    solved on scaled points; its last element is 1."""
+    p, p_unit = _unit_scaled(pixels)
+    q, q_unit = _unit_scaled(pitch)
+    none = np.zeros_like(p)
+    cross = np.block([[none, -p, q[:, [1]] * p], [p, none, -q[:, [0]] * p]])
+    least = np.linalg.svd(cross)[2][-1].reshape(3, 3)
+    h = np.linalg.solve(q_unit, least @ p_unit)
+    if abs(h[2, 2]) < 1e-12 * np.linalg.norm(h):
         raise ValueError("degenerate homography")
     return h / h[2, 2]
 
@@ -143,7 +153,7 @@ def calibrate_clips(pairs: DataFrame) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 4:
             raise ValueError(f"clip {pdf['clip_id'].iloc[0]}: at least 4 point pairs are needed")
-        h = _dlt(pdf[["px", "py"]].to_numpy(float), pdf[["X", "Y"]].to_numpy(float))
+        h = homography(pdf[["px", "py"]].to_numpy(float), pdf[["X", "Y"]].to_numpy(float))
         return pd.DataFrame([[pdf["clip_id"].iloc[0], *h.ravel().tolist()]],
                             columns=["clip_id"] + [f"h{i}" for i in range(9)])
 
