@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.projections import SOURCE_EVENTS, SOURCE_FEED, MatchData
+from ..sources.projections import SOURCE_FEED, MatchData
 from .catalog import register
 from .golden import WC_VIEWS, bound_competition, wc_events, wc_matches
-from .valuation import light_totals, spadl, xt_values
+from .valuation import light_totals, xt_values
 
 LIMIT = 10
 MIN_SHOTS = 1
@@ -57,11 +57,12 @@ def _sides(m: DataFrame) -> DataFrame:
     return m.select("match_id", "competition_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
 
 
-@register("list_entities_teams", """
-SELECT DISTINCT t.team_id AS id, t.name AS name FROM v_teams t
-JOIN v_matches m ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
-WHERE m.competition_id IN (SELECT competition_id FROM wc_comp)
-""", ("v_teams", "v_matches", "wc_comp"))
+#: A row for each side of a match, as the plans stack them.
+PLAYED_SQL = "SELECT competition_id, unnest([home_team_id, away_team_id]) AS team_id FROM v_matches"
+BOUND_TEAMS_SQL = f"""SELECT team_id AS id, name FROM v_teams SEMI JOIN (SELECT team_id FROM ({PLAYED_SQL}) SEMI JOIN wc_comp USING (competition_id)) p USING (team_id)"""
+
+
+@register("list_entities_teams", BOUND_TEAMS_SQL, ("v_teams", "v_matches", "wc_comp"))
 def list_entities_teams(md: MatchData) -> DataFrame:
     s = _sides(md.matches.join(_wc_id(md), "competition_id")).select("team_id").distinct()
     return s.join(md.teams, "team_id").select(F.col("team_id").alias("id"), F.col("name"))
@@ -73,11 +74,11 @@ def _feed_comp(md: MatchData) -> DataFrame:
 
 
 @register("team_score_goals", """
-SELECT t.team_id, t.name,
-       cast(coalesce((SELECT sum(CASE WHEN m.home_team_id = t.team_id THEN m.home_score ELSE m.away_score END)
-                 FROM v_matches m WHERE m.competition_id IN (SELECT competition_id FROM feed_comp)
-                   AND (m.home_team_id = t.team_id OR m.away_team_id = t.team_id)), 0) AS bigint) AS goals
-FROM v_teams t WHERE t.source = 'api_football'
+SELECT team_id, name, cast(coalesce(g.goals, 0) AS bigint) AS goals
+FROM (SELECT team_id, name FROM v_teams WHERE source = 'api_football') t
+LEFT JOIN (SELECT side.t AS team_id, sum(side.g) AS goals
+           FROM (SELECT unnest([{'t': home_team_id, 'g': home_score}, {'t': away_team_id, 'g': away_score}]) AS side
+                 FROM v_matches SEMI JOIN feed_comp USING (competition_id)) GROUP BY side.t) g USING (team_id)
 """, ("v_teams", "v_matches", "feed_comp"))
 def team_score_goals(md: MatchData) -> DataFrame:
     m = md.matches.join(_feed_comp(md), "competition_id")
@@ -253,16 +254,10 @@ def pitch_density(md: MatchData) -> DataFrame:
                       F.floor(F.col("location_y") / BIN).cast("int").alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["SOURCE_EVENTS", "spadl", "LIMIT"]
 
-
-@register("list_entities", """
-SELECT 'players' AS entity_type, player_id AS id, player_name AS name FROM v_player_totals
-WHERE competition_id IN (SELECT competition_id FROM wc_comp)
-UNION ALL
-SELECT DISTINCT 'teams', t.team_id, t.name FROM v_teams t
-JOIN v_matches m ON m.home_team_id = t.team_id OR m.away_team_id = t.team_id
-WHERE m.competition_id IN (SELECT competition_id FROM wc_comp)
+@register("list_entities", f"""
+SELECT 'players' AS entity_type, player_id AS id, player_name AS name FROM v_player_totals SEMI JOIN wc_comp USING (competition_id)
+UNION ALL SELECT 'teams', id, name FROM ({BOUND_TEAMS_SQL})
 """, TOT + ("v_teams", "v_matches", "wc_comp"))
 def list_entities(md: MatchData) -> DataFrame:
     """Both entity kinds of the golden competition."""
