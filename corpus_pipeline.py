@@ -46,16 +46,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component: that of the least id, a
-    null id last, then the least digest of the text."""
+    null id last, then the least digest of id and text."""
     configure(spark)
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    named = docs.withColumn("_named", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")))
-    found = simhash.near_duplicates(named.select("_named", "text"), id_col="_named")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id.id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct()
-    rows = docs.withColumn("_text_digest", digest)
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("_text_digest"))
-    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).select(*docs.columns)
+    # the digest names a row by its id and text, so one key serves the join and the copies
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x01")), F.lit("\x00"), F.coalesce("text", F.lit("\x01"))))
+    named = docs.select("text", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("_named"))
+    found = simhash.near_duplicates(named, id_col="_named")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id.digest").alias("_digest")).distinct()
+    return docs.withColumn("_digest", digest).join(first, "_digest", "left_semi").dropDuplicates(["_digest"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
