@@ -55,7 +55,7 @@ def test_language_stage_without_labels(spark):
 
 
 def test_near_duplicate_stage(stages):
-    before = sorted({(d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t) for d, t in rows(stages[1])})
+    before = sorted({(d is None, d or 0, hashlib.md5(f"{chr(1) if d is None else d}\0{t}".encode()).hexdigest(), t) for d, t in rows(stages[1])})
     own = brute.components({i: brute.simhash(r[3]) for i, r in enumerate(before)})
     assert rows(stages[2]) == rows_sorted((None if r[0] else r[1], r[3]) for i, r in enumerate(before) if own[i] == i)
 
