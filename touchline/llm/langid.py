@@ -211,8 +211,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.path)
-        self.runs = Recent(lambda run: self.score([run])[0], 150_000)
-        self.tokens = Recent(self.token, 250_000)
+        self.runs = Recent(lambda run: self.score([run])[0], 100_000)
+        self.tokens = Recent(self.token, 150_000)
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
