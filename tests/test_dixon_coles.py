@@ -96,3 +96,46 @@ def test_edges(spark):
     assert DC.fits_in_blocks(spark.createDataFrame(few, SCHEMA)).count() == 0
     unscored = [(i, dt.date(2020, 1, 1 + i), "a", "b", None, None) for i in range(20)]
     assert DC.fits_in_blocks(spark.createDataFrame(unscored, SCHEMA)).count() == 0
+
+
+def leagues(n, first=0, sizes=(5, 5, 5, 5, 5)):
+    """Matches in leagues that never meet, scores by a rule on the number."""
+    rows = []
+    for i in range(first, first + n):
+        league, k = i % len(sizes), sizes[i % len(sizes)]
+        h = (i // len(sizes)) % k
+        rows.append((i, f"{league}:{h}", f"{league}:{(h + 1 + i % (k - 1)) % k}", float((i + i * 7 // 3) % 4), float((i * 5 + i // 7) % 3)))
+    return pd.DataFrame(rows, columns=["position", "home_team_id", "away_team_id", "home_score", "away_score"])
+
+
+def test_many_matches_in_leagues_that_never_meet():
+    """Directions that only the ridge holds, beside thousands of matches."""
+    m = leagues(6000)
+    x, y = m["home_score"], m["away_score"]
+    m = m.assign(n=1.0, shg=x, sag=y, **{f"n{i}{j}": ((x == i) & (y == j)).astype(float) for i in (0, 1) for j in (0, 1)})
+    before = m.groupby(["home_team_id", "away_team_id"])[list(DC.STATS)].sum().reset_index()
+    got = DC.walk(before, leagues(40, 6000))
+    assert got["cutoff"].nunique() == 40 and (got["n_matches"] == got["cutoff"]).all()
+
+
+def test_second_derivatives():
+    rng = np.random.default_rng(3)
+    home, away = np.array([0, 1, 2, 3, 0, 2]), np.array([1, 2, 3, 0, 2, 1])
+    stats = np.array([rng.integers(4, 9, 6), rng.integers(0, 20, 6), rng.integers(0, 20, 6), *rng.integers(0, 2, (4, 6))], float)
+    for _ in range(10):
+        theta = np.concatenate([rng.normal(size=2) * 0.3, rng.uniform(-0.2, 0.2, 1), rng.normal(size=8) * 0.3])
+        times, diagonal = DC.curvature(theta, home, away, stats, 4)
+        for k, e in enumerate(np.eye(11)):
+            up, down = (DC.objective(theta + s * 1e-5 * e, home, away, stats, 4)[1] for s in (1, -1))
+            assert np.allclose(times(e), (up - down) / 2e-5, atol=1e-4) and np.isclose(times(e)[k], diagonal[k])
+
+
+@pytest.mark.parametrize("block", [7, None])
+def test_every_team_at_every_cutoff(spark, block):
+    """The rows of one cold fit a cutoff for all its teams; a match without id is a cutoff."""
+    rows = [*made(60), (None, dt.date(2020, 1, 6), "t0", "t1", 1, 1)]
+    m = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.cutoff, r.team_id): r[2:] for r in DC.fits_in_blocks(m, block=block, every=True).collect()}
+    want = {(r.cutoff, r.team_id): r[2:] for r in R.dc_fits(R.dc_cutoff_stats(m)).collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want)

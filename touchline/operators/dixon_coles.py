@@ -8,9 +8,12 @@ prefix rows are at most four times the matches, so rows grow with the matches an
 with pairs x cutoffs. Blocks are independent and spread over tasks; a
 block's memory is its pairs and its matches.
 
-The solver is a projected limited-memory quasi-Newton method: it keeps
-:data:`MEMORY` steps, never a matrix over the parameters. Fits are returned
-for the teams that play at a cutoff, which is what a prediction asks for.
+The solver takes projected Newton steps. Each is solved by conjugate gradients
+from products with the second derivatives, pair by pair, so there is never a
+matrix over the parameters. (Leagues that never meet leave directions that only
+the ridge holds; there a quasi-Newton method with a few kept steps stalls.)
+Fits are returned for the teams that play at a cutoff, which is what a
+prediction asks for, or for every team that has played before it.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ MEMORY = 12
 GTOL = 1e-7
 MAX_ITER = 2_000
 LEAST_BLOCK = 128
+MOST_TASKS = 1024
 STATS = ("n", "shg", "sag", "n00", "n01", "n10", "n11")
 
 
@@ -59,19 +63,76 @@ def objective(theta: np.ndarray, home: np.ndarray, away: np.ndarray, stats: np.n
     return value, gradient
 
 
-def minimise(f, theta: np.ndarray, low: np.ndarray, high: np.ndarray, gtol: float = GTOL, max_iter: int = MAX_ITER) -> np.ndarray:
-    """Least point of ``f`` (value, gradient) between the bounds; raises if it is not reached."""
+def curvature(theta: np.ndarray, home: np.ndarray, away: np.ndarray, stats: np.ndarray, n_teams: int):
+    """Second derivatives of :func:`objective`: their product with a vector, and their diagonal."""
+    n, _, _, n00, n01, n10, n11 = stats
+    rho, att, dfn = theta[2], theta[3:3 + n_teams], theta[3 + n_teams:]
+    x, y = np.exp(theta[0] + theta[1] + att[home] - dfn[away]), np.exp(theta[0] + att[away] - dfn[home])
+    hh, aa, ha, hr, ar, rr = n * x, n * y, np.zeros_like(x), np.zeros_like(x), np.zeros_like(x), 0.0
+    for count, slope, in_home, in_away in zip((n00, n01, n10, n11), (-x * y, x, y, np.full_like(x, -1.0)), (1, 1, 0, 0), (1, 0, 1, 0)):
+        term = 1.0 + rho * slope
+        # log(1 + u), u = rho * slope: by log rate u / (1 + u)^2, by log rate and rho slope / (1 + u)^2
+        part = np.where(term > 1e-9, count / np.maximum(term, 1e-9) ** 2, 0.0) * slope
+        rr += float(part @ slope)
+        hh, aa, ha = hh - in_home * rho * part, aa - in_away * rho * part, ha - in_home * in_away * rho * part
+        hr, ar = hr - in_home * part, ar - in_away * part
+    both = np.concatenate([home, away])
+
+    def times(v: np.ndarray) -> np.ndarray:
+        va, vd = v[3:3 + n_teams], v[3 + n_teams:]
+        vh, vw = v[0] + v[1] + va[home] - vd[away], v[0] + va[away] - vd[home]
+        oh, ow = hh * vh + ha * vw + hr * v[2], ha * vh + aa * vw + ar * v[2]
+        return np.concatenate([[oh.sum() + ow.sum(), oh.sum(), hr @ vh + ar @ vw + rr * v[2]],
+                               np.bincount(both, np.concatenate([oh, ow]), n_teams) + 2 * RIDGE * va,
+                               np.bincount(both, np.concatenate([-ow, -oh]), n_teams) + 2 * RIDGE * vd])
+
+    diagonal = np.concatenate([[(hh + 2 * ha + aa).sum(), hh.sum(), rr],
+                               np.bincount(both, np.concatenate([hh, aa]), n_teams) + 2 * RIDGE,
+                               np.bincount(both, np.concatenate([aa, hh]), n_teams) + 2 * RIDGE])
+    return times, diagonal
+
+
+def newton_step(g: np.ndarray, times, diagonal: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for the step on the free parameters; a direction of
+    no positive curvature ends them with the step found so far."""
+    scale = np.where(free, 1.0 / np.maximum(np.abs(diagonal), 1e-6), 0.0)
+    r = np.where(free, -g, 0.0)
+    z = scale * r
+    step, d, rz = np.zeros_like(g), z, r @ z
+    goal = rz * min(1e-2, math.sqrt(rz)) ** 2
+    for i in range(4 * len(g)):
+        hd = np.where(free, times(d), 0.0)
+        dhd = d @ hd
+        if dhd <= 1e-14 * (d @ d):
+            return step if i else z
+        alpha = rz / dhd
+        step, r = step + alpha * d, r - alpha * hd
+        z = scale * r
+        new = r @ z
+        if new <= goal:
+            break
+        d, rz = z + (new / rz) * d, new
+    return step
+
+
+def minimise(f, theta: np.ndarray, low: np.ndarray, high: np.ndarray, gtol: float = GTOL, max_iter: int = MAX_ITER,
+             second=None) -> np.ndarray:
+    """Least point of ``f`` (value, gradient) between the bounds; raises if it is not reached.
+    With ``second`` (see :func:`curvature`) the steps are Newton steps, without it
+    those of a limited-memory quasi-Newton method that keeps :data:`MEMORY` steps."""
     value, g = f(theta)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
+    plain = False
     for _ in range(max_iter):
         free = ~(((theta <= low) & (g > 0)) | ((theta >= high) & (g < 0)))
         size = np.max(np.abs(g[free]), initial=0.0)
         if size < gtol:
             return theta
-        d = -_inverse_times(np.where(free, g, 0.0), steps, free)
+        newton = second is not None and not plain
+        d = newton_step(g, *second(theta), free) if newton else -_inverse_times(np.where(free, g, 0.0), steps, free)
         if g @ d >= 0:
-            steps, d = [], np.where(free, -g, 0.0)
-        t = 1.0 if steps else min(1.0, 1.0 / max(size, 1e-12))
+            steps, d, newton = [], np.where(free, -g, 0.0), False
+        t = 1.0 if steps or newton else min(1.0, 1.0 / max(size, 1e-12))
         while True:
             new = np.clip(theta + t * d, low, high)
             v, h = f(new)
@@ -86,12 +147,12 @@ def minimise(f, theta: np.ndarray, low: np.ndarray, high: np.ndarray, gtol: floa
         if t < 1e-14:
             if size < 1e-5:
                 return theta
-            if not steps:
+            if not steps and not newton:
                 raise RuntimeError(f"no descent step found (gradient {size:.3g})")
-            steps = []
+            steps, plain = [], True
             continue
-        s, y = new - theta, h - g
-        if s @ y > 1e-14:
+        s, y, plain = new - theta, h - g, False
+        if second is None and s @ y > 1e-14:
             steps = [*steps[-MEMORY + 1:], (s, y)]
         theta, value, g = new, v, h
     raise RuntimeError(f"the fit did not converge in {max_iter} iterations")
@@ -116,14 +177,16 @@ def _inverse_times(g: np.ndarray, steps: list, free: np.ndarray) -> np.ndarray:
     return np.where(free, q, 0.0)
 
 
-def walk(before: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
+def walk(before: pd.DataFrame, matches: pd.DataFrame, every: bool = False) -> pd.DataFrame:
     """Fits of one block: ``before`` holds pair totals, ``matches`` the block's
-    own matches with their position. Rows for the teams that play at a cutoff."""
-    teams = sorted(set(before["home_team_id"]) | set(before["away_team_id"]) | set(matches["home_team_id"]) | set(matches["away_team_id"]))
+    own matches with their position (without teams: a cutoff only). Rows for the
+    teams that play at a cutoff, or for ``every`` team with a match before it."""
+    played = matches.dropna(subset=["home_team_id", "away_team_id"])
+    teams = sorted(set(before["home_team_id"]) | set(before["away_team_id"]) | set(played["home_team_id"]) | set(played["away_team_id"]))
     number = {t: i for i, t in enumerate(teams)}
     n_teams = len(teams)
     pairs: dict[tuple[int, int], int] = {}
-    for frame in (before, matches):
+    for frame in (before, played):
         for h, a in zip(frame["home_team_id"], frame["away_team_id"]):
             pairs.setdefault((number[h], number[a]), len(pairs))
     home = np.array([h for h, _ in pairs], np.int64)
@@ -146,8 +209,11 @@ def walk(before: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
                 goals = (stats[1].sum() + stats[2].sum()) / (2.0 * n)
                 theta = np.concatenate([[math.log(max(goals, 0.2)), 0.2, 0.0], np.zeros(2 * n_teams)])
             if n != fitted_on:
-                theta, fitted_on = minimise(lambda x: objective(x, home, away, stats, n_teams), theta, low, high), n
-            for i in sorted({number[t] for c in ("home_team_id", "away_team_id") for t in rows[c]}):
+                theta, fitted_on = minimise(
+                    lambda x: objective(x, home, away, stats, n_teams), theta, low, high,
+                    second=lambda x: curvature(x, home, away, stats, n_teams)), n
+            at = np.flatnonzero(seen) if every else sorted({number[t] for c in ("home_team_id", "away_team_id") for t in rows[c]})
+            for i in at:
                 # a team without a match before the cutoff has no parameters, the shared ones stand
                 out.append((int(cutoff), teams[i], *((theta[3 + i], theta[3 + n_teams + i]) if seen[i] else (0.0, 0.0)), *theta[:3], int(n)))
         for h, a, x, y in zip(rows["home_team_id"], rows["away_team_id"], rows["home_score"], rows["away_score"]):
@@ -157,10 +223,11 @@ def walk(before: pd.DataFrame, matches: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cutoff", "team_id", "attack", "defense", "intercept", "home_advantage", "rho", "n_matches"])
 
 
-def fits_in_blocks(matches: DataFrame, refit: str = "match", block: int | None = None) -> DataFrame:
+def fits_in_blocks(matches: DataFrame, refit: str = "match", block: int | None = None, every: bool = False) -> DataFrame:
     """One fit a cutoff (see :func:`ratings.cutoff_order`), as rows of
-    ``FIT_SCHEMA`` for the teams that play there."""
-    m = matches.join(cutoff_order(matches, refit), "match_id").select("position", "home_team_id", "away_team_id", "home_score", "away_score")
+    ``FIT_SCHEMA`` for the teams that play there, or for ``every`` team that
+    has a match before it (then a match without id is a cutoff too)."""
+    m = cutoff_order(matches, refit).join(matches, "match_id", "left" if every else "inner").select("position", "home_team_id", "away_team_id", "home_score", "away_score")
     if block is None:
         block = max(LEAST_BLOCK, m.select("home_team_id", "away_team_id").distinct().count() // 4)
     m = m.withColumn("block", (F.col("position") / block).cast("long"))
@@ -178,4 +245,7 @@ def fits_in_blocks(matches: DataFrame, refit: str = "match", block: int | None =
     before = total.withColumn("of", F.explode(F.when(F.col("block") < last, F.sequence(
         F.col("block") + 1, F.least(F.coalesce("after", F.lit(last)), F.lit(last)))))).select(
         "of", *(F.col(c).alias(c) for c in ("home_team_id", "away_team_id", *STATS)))
-    return before.groupBy("of").cogroup(m.groupBy("block")).applyInPandas(walk, FIT_SCHEMA)
+    # the rows are few but each costs a fit: tasks by blocks, not by bytes
+    tasks = min(last + 1, MOST_TASKS)
+    return before.repartition(tasks, "of").groupBy("of").cogroup(m.repartition(tasks, "block").groupBy("block")).applyInPandas(
+        lambda totals, own: walk(totals, own, every), FIT_SCHEMA)
