@@ -29,7 +29,7 @@ def elo_probs(md: MatchData) -> DataFrame:
 
 
 def dc_fits(md: MatchData) -> DataFrame:
-    return md.memo("dc_fits", lambda: R.dc_fits(R.dc_cutoff_stats(md.matches)).checkpoint(eager=True))
+    return md.memo("dc_fits", lambda: DC.fits_in_blocks(md.matches, every=True).checkpoint(eager=True))
 
 
 def block_fits(md: MatchData, refit: str = "match") -> DataFrame:
