@@ -479,3 +479,28 @@ def test_pieces_encode_and_decode(odd_docs, texts):
     path = pieces.model_path()
     back = pieces.decode(pieces.encode(odd_docs, path), path)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((d, t or "") for d, t in texts(odd_docs))
+
+
+def test_language_runs_let_go_by_a_full_lookup_are_scored_together(monkeypatch):
+    import numpy as np
+
+    from touchline.llm import langid
+
+    path = langid.model_path()
+    size = len(langid.Lattice(path).pieces)
+    table = np.random.default_rng(1).random((size, 2))
+    model = langid.Model(path, ["a", "b"], table / table.sum(0))
+    texts = [" ".join(f"wort{chr(97 + i % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}, x{chr(97 + j % 26)}-y" for j in range(60)) for i in range(8)]
+    wide = langid.Scorer(model)(texts + texts)
+    tight = langid.Scorer(model)
+    tight.runs.most = tight.tokens.most = 50
+    calls = []
+    score = tight.score
+    tight.score = lambda runs: calls.append(len(runs)) or score(runs)
+    names, scores = [], []
+    for text in texts + texts:
+        n, s = tight([text])
+        names += n
+        scores += s
+    assert (names, scores) == wide
+    assert len(calls) <= len(texts) * 2  # once a batch at most, not once a run

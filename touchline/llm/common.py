@@ -92,6 +92,16 @@ class Recent(dict):
         self.keep(key, value)
         return value
 
+    def known(self, keys: set) -> tuple[dict, list]:
+        """The values held for some of the keys, and the other keys; old
+        entries move back."""
+        missing = keys.difference(self)
+        found = {key: self[key] for key in keys - missing}
+        new = missing.difference(self.old)
+        moved = {key: self.old[key] for key in missing - new}
+        self.keep_all(list(moved), list(moved.values()))
+        return found | moved, list(new)
+
     def keep(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)

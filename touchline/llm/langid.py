@@ -211,8 +211,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.path)
-        self.runs = Recent(lambda run: self.score([run])[0], 100_000)
-        self.tokens = Recent(self.token, 150_000)
+        self.runs = Recent(lambda run: self.score([run])[0], 50_000)
+        self.tokens = Recent(self.token, 75_000)
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
@@ -234,27 +234,30 @@ class Scorer:
         return [data[i:i + width] for i in range(0, len(data), width)]
 
     def token(self, token: str) -> bytes:
-        return self.summed(letter_runs(token))
+        return self.summed(letter_runs(token), self.runs)
 
-    def summed(self, own: list[str]) -> bytes:
+    def summed(self, own: list[str], runs: dict) -> bytes:
         """Summed scores of the runs of a token between white space."""
         if len(own) == 1:
-            return self.runs[own[0]]
-        parts_of = b"".join([self.runs[r] for r in own])
+            return runs[own[0]]
+        parts_of = b"".join([runs[r] for r in own])
         return np.frombuffer(parts_of, "<f4").reshape(-1, len(self.model.langs) + 1).sum(0, dtype=np.float32).tobytes()
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs = self.model.langs
         cut = [(t or "").split() for t in texts]
-        tokens, runs = self.tokens, self.runs
-        known, older = tokens.get, tokens.old
-        new = [t for t in {t for own in cut for t in own if known(t) is None} if t not in older]
+        # a batch holds what it found in plain dicts: what a full lookup lets go is not scored again, run by run
+        tokens, new = self.tokens.known({t for own in cut for t in own})
         runs_of = [letter_runs(t) for t in new]
-        known, older = runs.get, runs.old
-        fresh = [r for r in {r for own in runs_of for r in own if known(r) is None} if r not in older]
+        runs, fresh = self.runs.known({r for own in runs_of for r in own})
         for at in range(0, len(fresh), 5000):
-            runs.keep_all(fresh[at:at + 5000], self.score(fresh[at:at + 5000]))
-        tokens.keep_all(new, [self.summed(own) for own in runs_of])
+            some = fresh[at:at + 5000]
+            values = self.score(some)
+            runs.update(zip(some, values))
+            self.runs.keep_all(some, values)
+        values = [self.summed(own, runs) for own in runs_of]
+        tokens.update(zip(new, values))
+        self.tokens.keep_all(new, values)
         names, scores = [], []
         for own in cut:
             sums = np.frombuffer(b"".join([tokens[t] for t in own]), "<f4").reshape(-1, len(langs) + 1).sum(0, dtype=float)
