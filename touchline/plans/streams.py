@@ -16,6 +16,9 @@ from ..streaming import jobs as J
 from .accounts import ENT_SQL, LIMITS_SQL, REQUESTS_SQL, SUBS_SQL, limits, requests_from
 from .catalog import register
 
+#: Micro-batches, at most, that the landed event files are read in.
+EVENT_BATCHES = 4
+
 
 def _land(md: MatchData, df: DataFrame, name: str) -> str:
     """Write a derived table as landed files in the shared folder."""
@@ -47,11 +50,18 @@ FROM v_events e JOIN v_matches m ON m.match_id = e.match_id WHERE e.team_id IS N
 def metric_totals_stream(md: MatchData) -> DataFrame:
     """Q4: live counts per team and competition over landed event files, in update
     mode: a micro-batch merges the keys it changed into the stored table."""
-    path = _land(md, md.events.repartition(4, "match_id"), "events")
-    events = md.spark.readStream.schema(md.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = landed_events(md)
+    events = md.spark.readStream.schema(md.events.schema).option("maxFilesPerTrigger", -(-files // EVENT_BATCHES)).parquet(path)
     return J.stored_totals(events, md.matches)
 
 
+def landed_events(md: MatchData) -> tuple[str, int]:
+    """Folder and number of the landed event files: one a scan task, so a task's
+    share is bounded by the split size, whatever the number of events."""
+    path = _land(md, md.events, "events")
+    return path, max(1, len(md.spark.read.parquet(path).inputFiles()))
+
+
 @register("elo_stream", "SELECT team_id, elo_rating, matches_played FROM v_elo_final", ("v_elo_final",))
 def elo_stream(md: MatchData) -> DataFrame:
     """Q3: ratings updated as results land, one season file per micro-batch.
