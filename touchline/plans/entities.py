@@ -72,8 +72,7 @@ def rule_totals(md: MatchData, kind: str) -> DataFrame:
     def build() -> DataFrame:
         acts = rule_actions(md)
         names = (md.players if kind == "player" else md.teams).select(f"{kind}_id", "name")
-        shots = acts.where(F.col("xg").isNotNull()).select("match_id", "team_id", "player_id", "xg")
-        return TT.metric_totals(acts, None, shots, md.matches, names, f"{kind}_id", f"{kind}_name")
+        return TT.metric_totals(acts, None, F.col("xg").isNotNull(), md.matches, names, f"{kind}_id", f"{kind}_name")
 
     return md.memo(f"rule_totals_{kind}", build)
 
@@ -254,13 +253,33 @@ _follow_cards()
 def per_entity(events: DataFrame, kinds: tuple[str, ...], limit: int, *order: Column) -> DataFrame:
     """The first ``limit`` events of every entity of the given kinds, with
     ``truncated`` where the entity has more."""
-    parts = [events.where(F.col(f"{k}_id").isNotNull()).select(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("entity_id"), "*") for k in kinds]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = _first(_by_entity(events, kinds), limit + 1, *order)
     own = Window.partitionBy("kind", "entity_id")
-    return (rows.withColumn("__n", F.row_number().over(own.orderBy(*order)))
-            .withColumn("truncated", F.count(F.lit(1)).over(own) > limit).where(F.col("__n") <= limit).drop("__n"))
+    return rows.withColumn("truncated", F.count(F.lit(1)).over(own) > limit).where(F.col("__n") <= limit).drop("__n")
+
+
+def _by_entity(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """A row for each entity of an event, in one pass over the events."""
+    of = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_id").alias("entity_id")) for k in kinds)))
+    return events.select(of.alias("__of"), "*").where(F.col("__of.entity_id").isNotNull()).select(
+        "__of.kind", "__of.entity_id", *events.columns)
+
+
+def _first(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows of every entity, numbered from 1 in ``__n``; Spark also
+    cuts them before the shuffle, so it does not grow with an entity's events."""
+    own = Window.partitionBy("kind", "entity_id").orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= limit)
+
+
+def with_xg(md: MatchData, events: DataFrame, kinds: tuple[str, ...], limit: int, *order: Column) -> DataFrame:
+    """:func:`per_entity` of the events with their xG. An event keeps its place
+    when it gets its xG, so one row more than the limit of each entity decides
+    everything and no other row has to be joined."""
+    rows = _first(_by_entity(events, kinds), limit + 1, *order).drop("__n").join(_shot_xg(md), "event_id", "left")
+    own = Window.partitionBy("kind", "entity_id")
+    return (_first(rows, limit + 1, *order).withColumn("truncated", F.count(F.lit(1)).over(own) > limit)
+            .where(F.col("__n") <= limit).drop("__n"))
 
 
 def _located(md: MatchData, kind: str) -> DataFrame:
@@ -293,8 +312,7 @@ LEFT JOIN valued v ON v.action_id = x.event_id WHERE rn <= {limit}"""
                               "type = 'Shot'", SHOT_LIMIT), VIEWS, {"valued": RULE_SQL, "own": _ENTITY_EVENTS})
 def shot_map(md: MatchData) -> DataFrame:
     """The shots of every player and team, by minute."""
-    ev = _located(md, "Shot").join(_shot_xg(md), "event_id", "left")
-    return per_entity(ev, ("player", "team"), SHOT_LIMIT, *by_minute()).select(
+    return with_xg(md, _located(md, "Shot"), ("player", "team"), SHOT_LIMIT, *by_minute()).select(
         "kind", "entity_id", "event_id", "minute", "location_x", "location_y", "outcome",
         F.coalesce(F.col("outcome") == "Goal", F.lit(False)).alias("goal"), "xg", "player_name", "team_name", "truncated")
 
@@ -314,8 +332,7 @@ def _cited(event_type: str, label: str):
     name = "cited_events" if event_type == "Shot" else "cited_passes"
 
     def query(md: MatchData) -> DataFrame:
-        ev = _located(md, event_type).join(_shot_xg(md), "event_id", "left")
-        return per_entity(ev, ("player", "team"), EVIDENCE_LIMIT, *by_minute()).select(
+        return with_xg(md, _located(md, event_type), ("player", "team"), EVIDENCE_LIMIT, *by_minute()).select(
             "kind", "entity_id", "event_id", "player_name", "team_name", "minute", F.coalesce("outcome", F.lit(label)).alias("outcome_label"),
             "location_x", "location_y", "end_location_x", "end_location_y",
             F.coalesce(F.col("outcome") == "Goal", F.lit(False)).alias("goal"), "xg", "truncated")
