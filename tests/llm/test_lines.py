@@ -64,3 +64,13 @@ def test_lines_columns(odd_docs, no_docs):
     renamed = odd_docs.withColumnRenamed("text", "r1").withColumnRenamed("host", "at").withColumnRenamed("doc_id", "row")
     assert Counter(r.r1 for r in lines.drop_lines(renamed, "row", "r1").collect()) == Counter(r.text for r in out.collect())
     assert [r.text for r in out.filter("doc_id = 0").collect()] == [None]
+
+
+def test_texts_are_not_sorted_to_lose_their_lines(spark):
+    from touchline.llm.lines import drop_lines
+
+    docs = spark.createDataFrame([(i, f"same\nown {i}") for i in range(12)], "doc_id long, text string")
+    found = drop_lines(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [r1" not in plan
+    assert {r.text for r in found.collect()} == {f"own {i}" for i in range(12)}

@@ -504,3 +504,16 @@ def test_language_runs_let_go_by_a_full_lookup_are_scored_together(monkeypatch):
         scores += s
     assert (names, scores) == wide
     assert len(calls) <= len(texts) * 2  # once a batch at most, not once a run
+
+
+def test_points_and_commas_at_word_ends_are_set_apart():
+    import random
+    import re
+
+    from touchline.llm.packing import WordTokens, tokenizer_path
+
+    words = WordTokens.of(tokenizer_path())
+    rule, rng = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|\Z))"), random.Random(5)
+    for _ in range(20_000):
+        text = bytes(rng.choices(b"a9.,. ,\n\t!\xc3", k=rng.randrange(14)))
+        assert words.apart(text) == rule.sub(b" ", text)

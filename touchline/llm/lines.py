@@ -99,7 +99,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = list(docs.columns)
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of the input can clash with those used here
     own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    cuts = dropped_positions(rows, own, text, least_docs, least_chars, shares)
+    # the positions are the small side: hashed in a task, so that the texts stream by and are not sorted
+    cuts = dropped_positions(rows, own, text, least_docs, least_chars, shares).hint("shuffle_hash")
     lines = split_lines(F.col(text))
     kept = F.when(F.col("at").isNull(), F.col(text)).otherwise(F.array_join(_without(lines, F.col("at")), "\n"))
     return rows.withColumns({"r1": F.xxhash64(own, text), "r2": F.xxhash64(F.lit(1), own, text)}).join(cuts, ["r1", "r2"], "left").select(

@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,8 @@ class WordTokens:
         self.ends = np.zeros(max(ids.values()) + 1, bool)  # ids that end a word
         self.ends[[i for piece, i in ids.items() if piece.endswith("</w>")]] = True
         self.parts = Recent(lambda part: self.encode([part])[0], 400_000)
-        self.end = re.compile(rb"(?<=[a-z0-9])(?=[.,](?:[ \n]|\Z))")
+        # the sign stands first, so that a search runs from sign to sign
+        self.point, self.comma = (re.compile(rb"[%s](?<=[a-z0-9].)(?=[ \n]|\Z)" % sign) for sign in (b".", b","))
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -96,12 +98,15 @@ class WordTokens:
         # bytes.lower() touches A-Z only, which the tokenizer lower-cases too
         lowered = [t.lower() for t in texts]
         marked = {i for i, t in enumerate(lowered) if any([x in t for x in self.special])}
-        cut = [self.end.sub(b" ", t).split() if i not in marked else [] for i, t in enumerate(lowered)]
-        known, older = self.parts.get, self.parts.old
-        new = [p for p in set().union(*cut) if known(p) is None and p not in older]
+        cut = [self.apart(t).split() if i not in marked else [] for i, t in enumerate(lowered)]
+        new = list(filterfalse(self.parts.old.__contains__, filterfalse(self.parts.__contains__, set().union(*cut))))
         self.parts.keep_all(new, self.encode(new))
-        parts = self.parts
-        return [b"".join([parts[p] for p in own]) if i not in marked else self.of_whole(texts[i]) for i, own in enumerate(cut)]
+        ids_of = self.parts.__getitem__
+        return [b"".join(map(ids_of, own)) if i not in marked else self.of_whole(texts[i]) for i, own in enumerate(cut)]
+
+    def apart(self, text: bytes) -> bytes:
+        """A point or comma that ends a word set apart from it."""
+        return self.comma.sub(b" ,", self.point.sub(b" .", text))
 
     def of_whole(self, text: bytes) -> bytes:
         return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
