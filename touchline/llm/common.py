@@ -8,6 +8,8 @@ batch size the session sets.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -115,6 +117,29 @@ class Recent(dict):
         self.update(zip(keys, values))
 
 
+_SERVING: list[dict] = []
+
+
+def serve(made: dict | None = None) -> None:
+    """Note that this worker now works for the operator that keeps its lookups in
+    ``made`` (None: one without lookups). A Python worker outlives its task and
+    serves one operator after the other: what another one kept goes."""
+    if _SERVING and _SERVING[0] is not made:
+        _SERVING.pop().clear()
+        gc.collect()  # a lookup and its maker refer to each other
+        trim()
+    if made is not None and not _SERVING:
+        _SERVING.append(made)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # ---------------------------------------------------------------- word hashes
 
 def mix(x: np.ndarray) -> np.ndarray:

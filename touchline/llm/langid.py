@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Recent, slices, stored
+from .common import Recent, serve, slices, stored
 from .pieces import META, Pieces, model_path
 
 #: Labelled documents of each language that the fit draws (about, by hash).
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = pool.filter(draw < bound).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         for batch in slices(batches):
             seen: Counter = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -186,6 +187,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         now = spark.sparkContext.broadcast(table)  # pieces x languages: bounded by the vocabulary
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            serve()
             lattice = Lattice(path)
             for batch in batches:
                 for at in range(0, batch.num_rows, 5000):
@@ -216,6 +218,7 @@ class Scorer:
 
     @classmethod
     def of(cls, model: Model) -> "Scorer":
+        serve(cls._made)
         if model.digest not in cls._made:
             cls._made.clear()
             cls._made[model.digest] = cls(model)

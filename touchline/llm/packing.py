@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Recent, ddl, frame, mix, raw, rows_of, slices, stored
+from .common import Recent, ddl, frame, mix, raw, rows_of, serve, slices, stored
 
 LENGTH = 4096
 END_ID = 2
@@ -66,6 +66,7 @@ class WordTokens:
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
+        serve(cls._made)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ddl, frame, raw, rows_of, slices, stored
+from .common import components, ddl, frame, raw, rows_of, serve, slices, stored
 
 #: Buckets with more members than this are cut by finer blocks.
 HOT = 20_000
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows_of(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         for batch in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in raw(batch)], np.uint64)
             yield frame(batch, ["doc_id"], fp=pa.array(fp.view(np.int64)))
@@ -135,6 +136,7 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray
 
 def _link_rows(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last key seen, still open
 
         def out(key, fp):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, _INVERSE, _powers, gram_hashes, mix, raw, slices, stored, word_hashes
+from .common import BASE, _INVERSE, _powers, gram_hashes, mix, raw, serve, slices, stored, word_hashes
 
 #: Words of a window, and of the seed inside it.
 K, SEED = 35, 15
@@ -77,6 +77,7 @@ def paths(texts: list[bytes], k: int = K, seed: int = SEED) -> tuple[np.ndarray,
 def path_rows(rows: DataFrame, text_col: str, k: int, seed: int) -> DataFrame:
     """``seed, span, _t1, _t2, start, windows`` of every path of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         for batch in slices(batches):
             own, node, span, start, windows = paths(raw(batch), k, seed)
             take = pa.array(own)
@@ -93,6 +94,7 @@ def window_rows(rows: DataFrame, k: int) -> DataFrame:
     """Windows ``h, check, _t1, _t2, start, copies`` of the open paths of
     ``rows(text, _t1, _t2, open, copies)``, from the words at their places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         for batch in slices(batches):
             columns: list[list[np.ndarray]] = [[], [], [], []]
             for i, (text, found) in enumerate(zip(raw(batch), batch.column(3).to_pylist())):
@@ -157,6 +159,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", k: int = K, seed: in
     text_at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve()
         for batch in slices(batches, text_col):
             texts, total, gone = [], [], []
             for text, spans in zip(raw(batch, text_col), batch.column(len(names)).to_pylist()):
