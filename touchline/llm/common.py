@@ -64,6 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch, col  # before the next one is read
 
 
 def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -106,16 +107,20 @@ class Recent(dict):
 
     def keep(self, key, value) -> None:
         if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         self[key] = value
 
     def keep_all(self, keys: list, values: list) -> None:
         if len(self) + len(keys) > self.most:
-            self.old = dict(self)
-            self.clear()
+            self.turn()
         self.update(zip(keys, values))
 
+    def turn(self) -> None:
+        self.old = {}  # goes before the copy is made, so that never three tables are held
+        self.old = dict(self)
+        self.clear()
+        trim()
+
 
 _SERVING: list[dict] = []
 

@@ -55,7 +55,6 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tok = Tokenizer.from_file(path)
-        self.whole = Tokenizer.from_file(path)  # for texts with the string of a special token, which is that token
         self.special = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
         ids = self.tok.get_vocab()
         self.ends = np.zeros(max(ids.values()) + 1, bool)  # ids that end a word
@@ -110,7 +109,8 @@ class WordTokens:
         return self.comma.sub(b" ,", self.point.sub(b" .", text))
 
     def of_whole(self, text: bytes) -> bytes:
-        return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        """For texts with the string of a special token, which is that token."""
+        return np.array(self.tok.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def projection(hashed: int = HASHED, dims: int = DIMS) -> np.ndarray:
