@@ -11,7 +11,9 @@ reduction and the driver solves one system, whose size is that of the inputs,
 not of the rows. A few passes reach the least point. One-hot inputs stay
 codes: their sums are counts per code and pair of codes, so no pass handles a
 wide row. Centring the numeric inputs does not change the fit (the intercept
-absorbs it) and keeps the sums accurate.
+absorbs it) and keeps the sums accurate. The rows are written as blocks, the
+inputs of some thousand rows in one packed binary value each: a pass hands them
+to numpy as they are, and no pass takes a row's values one by one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,13 @@ from ..session import scratch_path
 MAX_ITER = 100
 #: A fit ends with the step that promises to lower the summed loss by less.
 TOL = 1e-8
+#: Bytes of the inputs of a block; a writer looks at its buffers after every block.
+BLOCK_BYTES = 8 << 20
+#: Rows of a block whose products are summed at once.
+CACHED_ROWS = 1024
+BLOCKS = "size int, inputs binary, codes binary, labels binary, moments binary, kept binary"
+BLOCK_FILES = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)} | {
+    f"parquet.{of}.size.row.check.{end}": "1" for of in ("page", "block") for end in ("min", "max")}
 
 
 def fit_predict(df: DataFrame, inputs: list[str], label: str, out: str,
@@ -49,8 +58,9 @@ def fit_predict_all(df: DataFrame, inputs: list[str], targets: dict[str, str], k
     integer columns and, for each, the 0/1 inputs of every value (values x
     inputs); a null or a value out of range has none of them.
 
-    The inputs are written once, packed into one array a row, to the shared
-    folder: a pass reads them as they are and derives nothing.
+    The inputs are written once, in blocks, to the shared folder: a pass reads
+    them as they are and derives nothing. A block also holds its own moments,
+    which need no pass over the inputs then, and its columns of ``keep``.
     """
     codes = codes or {}
     outs = list(targets.values())
@@ -58,26 +68,27 @@ def fit_predict_all(df: DataFrame, inputs: list[str], targets: dict[str, str], k
     packed = df.select(*keep, F.array(*[_number(F.col(c)) for c in inputs]).alias("x_inputs"),
                        *[F.col(c).cast("int").alias(f"x_code{i}") for i, c in enumerate(codes)],
                        *[F.col(c).cast("double").alias(f"x_label{i}") for i, c in enumerate(targets)])
-    packed.write.parquet(path)
-    table = df.sparkSession.read.schema(packed.schema).parquet(path)
-    rows = table.drop(*keep)
-    shape = Shape(len(inputs), [len(e) for e in codes.values()])
-    total = _reduced(rows, lambda batches: shape.moments(batches, len(targets)), _merged)
+    shape = Shape(len(inputs), [len(e) for e in codes.values()], len(targets))
+    kept = len(keep)
+    packed.mapInArrow(lambda batches: shape.blocks(batches, kept), BLOCKS).write.options(**BLOCK_FILES).parquet(path)
+    table = df.sparkSession.read.schema(BLOCKS).parquet(path)
+    total = _reduced(table.select("moments"), _summed, _merged)
     if total is None:
         return df.select(*keep, *[F.lit(None).cast("double").alias(o) for o in outs])
+    rows = table.select("size", "inputs", "codes", "labels")
     design = Design(shape, list(codes.values()), total)
     fitted = [i for i in range(len(targets)) if total["low"][i] != total["high"][i]]
     found = dict(zip(fitted, _fit(rows, design, fitted, total["y"], outs)))
-    kept = len(keep)
-    schema = T.StructType([*table.schema.fields[:kept], *[T.StructField(f"p{i}", T.DoubleType()) for i in fitted]])
+    schema = T.StructType([*packed.schema.fields[:kept], *[T.StructField(f"p{i}", T.DoubleType()) for i in fitted]])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z, at = shape.read(batch, design.mean, design.scale)
+        for block in _each(batches):
+            z, at = shape.read(block, design.mean, design.scale)
             probs = [_probability(design.margin(found[i], z, at)) for i in fitted]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(p) for p in probs]], names=schema.fieldNames())
+            own = pa.ipc.open_stream(block["kept"]).read_next_batch()
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(p) for p in probs]], names=schema.fieldNames())
 
-    done = table.mapInArrow(score, schema) if fitted else table
+    done = table.select("size", "inputs", "codes", "kept").mapInArrow(score, schema)
     return done.select(*keep, *[F.col(f"p{i}").alias(o) if i in found else F.lit(float(total["low"][i])).alias(o)
                                 for i, o in enumerate(outs)])
 
@@ -92,71 +103,95 @@ def _probability(margin: np.ndarray) -> np.ndarray:
 
 
 class Shape:
-    """How many numeric inputs and code values a row has, and how batches are read."""
+    """How many numeric inputs, code values and labels a row has, and how blocks are made and read."""
 
-    def __init__(self, width: int, values: list[int]):
-        self.width, self.values = width, values
+    def __init__(self, width: int, values: list[int], labels: int):
+        self.width, self.values, self.targets = width, values, labels
         # a code's last place counts the rows without a value
         self.starts = np.cumsum([width, *[v + 1 for v in values]])
         self.size = int(self.starts[-1])
+        self.place = np.dtype(np.int16 if max(values, default=0) < 32_000 else np.int32)
 
-    def read(self, batch: pa.RecordBatch, mean=0.0, scale=1.0) -> tuple[np.ndarray, list[np.ndarray]]:
+    def blocks(self, batches: Iterator[pa.RecordBatch], kept: int) -> Iterator[pa.RecordBatch]:
+        """The rows as blocks (see ``BLOCKS``); their first ``kept`` columns stay Arrow."""
+        most = max(1, BLOCK_BYTES // (8 * max(self.width, 1)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                own = batch.slice(start, most)
+                x = own.column("x_inputs").flatten().to_numpy().reshape(own.num_rows, self.width)
+                at = np.empty((len(self.values), own.num_rows), self.place)
+                for i, n in enumerate(self.values):
+                    c = own.column(f"x_code{i}").fill_null(-1).to_numpy(zero_copy_only=False)
+                    at[i] = np.where((c < 0) | (c >= n), n, c)
+                y = np.empty((self.targets, own.num_rows))
+                for i in range(self.targets):
+                    y[i] = own.column(f"x_label{i}").to_numpy(zero_copy_only=False)
+                sink = pa.BufferOutputStream()
+                rest = pa.RecordBatch.from_arrays(own.columns[:kept], names=[f"c{i}" for i in range(kept)])
+                with pa.ipc.new_stream(sink, rest.schema) as out:
+                    out.write_batch(rest)
+                cells = (*(pa.compress(v.tobytes(), "lz4", asbytes=True) for v in (x, at, y)), pickle.dumps(self.moments(x, at, y)), sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([own.num_rows], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]],
+                                                 names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+    def read(self, block: dict, mean=0.0, scale=1.0) -> tuple[np.ndarray, np.ndarray]:
         """Standardised numeric inputs (rows x inputs) and the place of each code."""
-        x = batch.column("x_inputs").flatten().to_numpy().reshape(batch.num_rows, self.width)
-        at = []
-        for i, n in enumerate(self.values):
-            c = batch.column(f"x_code{i}").fill_null(-1).to_numpy(zero_copy_only=False)
-            at.append(np.where((c < 0) | (c >= n), n, c).astype(np.int16 if n < 32_000 else np.int64))
-        return (x - mean) * scale, at
+        at = _plain(block["codes"], self.place, len(self.values), block["size"])
+        x = _plain(block["inputs"], np.dtype(float), block["size"], self.width)
+        z = x - mean
+        z *= scale
+        return z, at
 
-    def labels(self, batch: pa.RecordBatch, i: int) -> np.ndarray:
-        return batch.column(f"x_label{i}").to_numpy(zero_copy_only=False)
+    def labels(self, block: dict) -> np.ndarray:
+        return _plain(block["labels"], np.dtype(float), self.targets, block["size"])
 
-    def moments(self, batches: Iterator[pa.RecordBatch], labels: int) -> dict | None:
+    def moments(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
         """Counts, means and squared deviations of the inputs, sums and ranges of the labels."""
-        total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, at = self.read(batch)
-            y = [self.labels(batch, i) for i in range(labels)]
-            mean = x.mean(0)
-            own = {"n": batch.num_rows, "mean": mean, "square": ((x - mean) ** 2).sum(0), "least": x.min(0), "most": x.max(0),
-                   "seen": [np.bincount(c, minlength=n + 1).astype(float) for c, n in zip(at, self.values)],
-                   "y": np.array([v.sum() for v in y]), "low": np.array([v.min() for v in y]), "high": np.array([v.max() for v in y])}
-            total = _merged(total, own)
-        return total
+        mean = x.mean(0)
+        return {"n": len(x), "mean": mean, "square": ((x - mean) ** 2).sum(0), "least": x.min(0), "most": x.max(0),
+                "seen": [np.bincount(c, minlength=n + 1).astype(float) for c, n in zip(at, self.values)],
+                "y": y.sum(1), "low": y.min(1), "high": y.max(1)}
 
     def sums(self, batches: Iterator[pa.RecordBatch], design: "Design", points: dict[int, np.ndarray]) -> np.ndarray:
         """For each label: loss, gradient and second derivatives at its point, over the places of the row."""
         d, s, size = self.width, self.starts, self.size
         out = np.zeros((len(points), 1 + (size + 1) * (size + 2)))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            z, at = self.read(batch, design.mean, design.scale)
-            orders = [np.argsort(c, kind="stable") for c in at]
-            heads = [np.flatnonzero(np.diff(c[o], prepend=-1)) for c, o in zip(at, orders)]
+        for block in _each(batches):
+            z, at = self.read(block, design.mean, design.scale)
+            targets, weights = self.labels(block), []
             for own, (label, point) in zip(out, points.items()):
-                y, margin = self.labels(batch, label), design.margin(point, z, at)
+                y, margin = targets[label], design.margin(point, z, at)
                 p = _probability(margin)
                 r, w = p - y, p * (1.0 - p)
+                weights.append((w, np.sqrt(w)))
                 own[0] += (np.logaddexp(0.0, margin) - y * margin).sum()
                 g, h = own[1:size + 2], own[size + 2:].reshape(size + 1, size + 1)
                 g[:d] += r @ z
                 g[size] += r.sum()
-                zw = z * w[:, None]
-                h[:d, :d] += zw.T @ z
-                h[:d, size] += zw.sum(0)
+                h[:d, size] += w @ z
                 h[size, size] += w.sum()
-                for i, (c, o, head) in enumerate(zip(at, orders, heads)):
+                for i, c in enumerate(at):
                     n, a = self.values[i] + 1, s[i]
                     g[a:a + n] += np.bincount(c, r, n)
                     h[a:a + n, size] += np.bincount(c, w, n)
-                    h[a + c[o[head]].astype(int), :d] += np.add.reduceat(zw[o], head, axis=0)
                     for j in range(i):
                         m, b = self.values[j] + 1, s[j]
                         h[a:a + n, b:b + m] += np.bincount(c.astype(np.int64) * m + at[j], w, n * m).reshape(n, m)
+            # the numeric inputs with each other and with the codes, in parts that stay in the processor's cache
+            for start in range(0, len(z), CACHED_ROWS):
+                part = slice(start, start + CACHED_ROWS)
+                of_codes = []
+                for i, c in enumerate(at):
+                    o = np.argsort(c[part], kind="stable")
+                    c = c[part][o]
+                    head = np.flatnonzero(np.diff(c, prepend=-1))
+                    of_codes.append((o, head, s[i] + c[head].astype(int), z[part][o]))
+                for own, (w, root) in zip(out, weights):
+                    h = own[size + 2:].reshape(size + 1, size + 1)
+                    scaled = z[part] * root[part, None]
+                    h[:d, :d] += scaled.T @ scaled
+                    for o, head, rows, zs in of_codes:
+                        h[rows, :d] += np.add.reduceat(zs * w[part][o][:, None], head, axis=0)
         return out
 
 
@@ -239,6 +274,26 @@ def _fit(rows: DataFrame, design: Design, labels: list[int], positives: np.ndarr
     return [found[i] for i in labels]
 
 
+def _plain(packed: pa.Buffer, of: np.dtype, *shape: int) -> np.ndarray:
+    """The array of a block's binary value."""
+    return np.frombuffer(pa.decompress(packed, int(np.prod(shape)) * of.itemsize, "lz4"), of).reshape(shape)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks of the batches, one after the other: their size, and a buffer for each binary column."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {n: c[i].as_py() if n == "size" else c[i].as_buffer() for n, c in zip(batch.schema.names, batch.columns)}
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> dict | None:
+    """Moments of a task's blocks together."""
+    total = None
+    for block in _each(batches):
+        total = _merged(total, pickle.loads(block["moments"]))
+    return total
+
+
 def _merged(a: dict | None, b: dict | None) -> dict | None:
     if a is None or b is None:
         return b if a is None else a

@@ -13,11 +13,14 @@ labels and formula already do.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .models import fit_predict_all
 from .spadl import ACTION_TYPES, FIELD_LENGTH, FIELD_WIDTH, RESULTS, SHOT_TYPES
 
@@ -28,6 +31,9 @@ SAME_PHASE_SECONDS = 10
 PENALTY_PRIOR = 0.792453
 CORNER_PRIOR = 0.0465
 PERIOD_START_MINUTE = {1: 0, 2: 45, 3: 90, 4: 105, 5: 120}
+# columns that stay with an action through the fit
+CARRIED = ("team_id", "player_id", "spadl_type", "spadl_result", "spadl_bodypart", "time_seconds",
+           "start_x", "start_y", "end_x", "end_y")
 STATE_COLS = ("spadl_type", "spadl_result", "spadl_bodypart", "period", "time_seconds",
               "start_x", "start_y", "end_x", "end_y", "team_id")
 
@@ -40,14 +46,15 @@ def _by_period():
     return Window.partitionBy("match_id", "period").orderBy("action_order")
 
 
-def game_states(actions: DataFrame) -> DataFrame:
+def game_states(actions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """G1: columns ``<c>_a0`` (current) and ``<c>_a1``, ``<c>_a2`` (earlier
-    actions of the same match and period; a missing one is the period's first)."""
+    actions of the same match and period; a missing one is the period's first).
+    The columns ``keep`` of ``actions`` stay as they are."""
     w = _by_period()
     cols = [F.col(c).alias(f"{c}_a0") for c in STATE_COLS]
     for i in range(1, NB_PREV_ACTIONS):
         cols += [F.coalesce(F.lag(c, i).over(w), F.first(c).over(w)).alias(f"{c}_a{i}") for c in STATE_COLS]
-    return actions.select("action_id", "match_id", "action_order", *cols)
+    return actions.select("action_id", "match_id", "action_order", *keep, *cols)
 
 
 def _is_goal(t: Column, r: Column) -> Column:
@@ -89,11 +96,12 @@ def with_labels(df: DataFrame, type_col: str = "spadl_type", result_col: str = "
                 team_col: str = "team_id") -> DataFrame:
     """Add scores / concedes: does the acting team score / concede within this
     and the next nine actions of the match (an opponent own goal counts as
-    scoring). The look-ahead is a bounded frame of nine rows."""
+    scoring). The look-ahead is a bounded frame of nine rows, of which only the
+    goals are collected: a null is left out, so most rows collect nothing."""
     w = _by_match().rowsBetween(1, LOOK_AHEAD - 1)
     t, r, team = F.col(type_col), F.col(result_col), F.col(team_col)
-    ahead = F.collect_list(F.struct(
-        team.alias("team"), _is_goal(t, r).alias("goal"), _is_own_goal(t, r).alias("own"))).over(w)
+    goal, own = _is_goal(t, r), _is_own_goal(t, r)
+    ahead = F.collect_list(F.when(goal | own, F.struct(team.alias("team"), goal.alias("goal"), own.alias("own")))).over(w)
 
     def same(x):
         return F.coalesce(x["team"] == team, F.lit(False))
@@ -119,18 +127,19 @@ def _polar(x: Column, y: Column, prefix: str) -> list[Column]:
     return [F.sqrt(dx * dx + dy * dy).alias(f"{prefix}_dist_to_goal"), angle.alias(f"{prefix}_angle_to_goal")]
 
 
-def states(actions: DataFrame) -> DataFrame:
+def states(actions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Game states with the running goal score and the labels: all a feature
     row is made of, in one shuffle by match (the (match, period) game-state
     windows, the goal score and the look-ahead labels are satisfied by it)."""
-    gs = game_states(actions.repartition("match_id"))
+    gs = game_states(actions.repartition("match_id"), keep)
     return with_labels(with_goal_score(gs, "spadl_type_a0", "spadl_result_a0", "team_id_a0"),
                        "spadl_type_a0", "spadl_result_a0", "team_id_a0")
 
 
-def feature_table(gs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """Feature table of game states, its numeric inputs and its index columns."""
-    cols: list[Column] = [F.col("action_id"), F.col("match_id"), F.col("action_order")]
+def feature_table(gs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """Feature table of game states, its numeric inputs and its index columns.
+    The columns ``keep`` of ``gs`` stay as they are and are no inputs."""
+    cols: list[Column] = [F.col("action_id"), F.col("match_id"), F.col("action_order"), *map(F.col, keep)]
     numeric: list[str] = []
     index_cols: list[str] = []
     period_start = F.create_map(*[x for k, v in PERIOD_START_MINUTE.items() for x in (F.lit(k), F.lit(v))])
@@ -166,7 +175,7 @@ def feature_table(gs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
         cols += [dx.alias(f"dx_a0{i}"), dy.alias(f"dy_a0{i}"), F.sqrt(dx * dx + dy * dy).alias(f"mov_a0{i}")]
     extra = ["goalscore_team", "goalscore_opponent", "goalscore_diff", "scores", "concedes"]
     table = gs.select(*cols, *extra)
-    not_inputs = {"action_id", "match_id", "action_order", "scores", "concedes", *index_cols}
+    not_inputs = {"action_id", "match_id", "action_order", "scores", "concedes", *keep, *index_cols}
     numeric = [c for c in table.columns if c not in not_inputs]
     return table, numeric, index_cols
 
@@ -186,24 +195,65 @@ def one_hot_inputs() -> np.ndarray:
     return np.concatenate([np.repeat(np.eye(n), m, 0), np.tile(np.eye(m), (n, 1)), np.eye(n * m)], 1)
 
 
-def probabilities(actions: DataFrame) -> DataFrame:
-    """P(scores), P(concedes) per action from the two fitted models.
+def scored(actions: DataFrame) -> DataFrame:
+    """Every action (the columns in CARRIED) with its own P(scores) and
+    P(concedes) from the two fitted models, written once.
 
     Both fits share their passes. The one-hot inputs stay indexes: the pair's
-    index names its type and its result."""
-    table, numeric, _ = feature_table(states(actions))
+    index names its type and its result. ``repeated`` says that the action's id
+    is null or may be another row's too: such rows meet by their id
+    (:func:`with_probabilities`), all others have what belongs to them."""
+    spark = actions.sparkSession
+    carried = tuple(c for c in CARRIED if c in actions.columns)
+    table, numeric, _ = feature_table(states(actions, carried), carried)
     codes = {f"type_result_ix_a{i}": one_hot_inputs() for i in range(NB_PREV_ACTIONS)}
-    probs = fit_predict_all(table, numeric, {"scores": "p_scores", "concedes": "p_concedes"}, ["action_id"], codes)
-    # written once: the join below reads it on both sides
-    probs = probs.checkpoint(eager=True)
-    return probs.select("action_id", "p_scores").join(probs.select("action_id", "p_concedes"), "action_id")
+    probs = fit_predict_all(table, numeric, {"scores": "p_scores", "concedes": "p_concedes"},
+                            ["action_id", "match_id", "action_order", *carried], codes)
+    path = scratch_path(spark, f"scored-{uuid.uuid4().hex}")
+    probs.write.parquet(f"{path}/actions")
+    rows = spark.read.schema(probs.schema).parquet(f"{path}/actions")
+    # ids by their hash: one that two ids share only sends these rows the longer way
+    found = rows.groupBy(F.xxhash64("action_id").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count("action_id").alias("known"))
+    found.where("n > 1 OR known < n").select("h").write.parquet(f"{path}/repeated")
+    repeated = spark.read.schema("h long").parquet(f"{path}/repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("repeated", F.lit(False))
+    marked = rows.withColumn("h", F.xxhash64("action_id")).join(repeated.withColumn("repeated", F.lit(True)), "h", "left")
+    return marked.withColumn("repeated", F.coalesce("repeated", F.lit(False))).drop("h")
+
+
+def probabilities(actions: DataFrame) -> DataFrame:
+    """P(scores), P(concedes) per action from the two fitted models."""
+    return probabilities_of(scored(actions))
+
+
+def probabilities_of(rows: DataFrame) -> DataFrame:
+    """``action_id, p_scores, p_concedes`` of :func:`scored` rows: the two models'
+    columns joined on the id, for ids of one row without a join."""
+    columns = ["action_id", "p_scores", "p_concedes"]
+    again = rows.where("repeated")
+    both = again.select("action_id", "p_scores").join(again.select("action_id", "p_concedes"), "action_id")
+    return rows.where("NOT repeated").select(*columns).unionByName(both)
+
+
+def with_probabilities(rows: DataFrame) -> DataFrame:
+    """:func:`scored` rows joined with the probabilities of their id (see
+    :func:`probabilities_of`): what :func:`formula` takes."""
+    again = rows.where("repeated")
+    both = again.drop("p_scores", "p_concedes").join(probabilities_of(again), "action_id")
+    return rows.where("NOT repeated").unionByName(both)
+
 
+def formula(actions: DataFrame, probs: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Offensive / defensive / total value from P(scores), P(concedes).
 
-def formula(actions: DataFrame, probs: DataFrame) -> DataFrame:
-    """Offensive / defensive / total value from P(scores), P(concedes)."""
+    With ``probs`` None the probabilities are on ``actions`` already, which saves
+    the join on action id. The columns ``keep`` of ``actions`` stay."""
     w = _by_match()
-    a = actions.select("action_id", "match_id", "action_order", "team_id", "spadl_type",
-                       "spadl_result", "time_seconds").join(probs, "action_id")
+    own = ("action_id", "match_id", "action_order", "team_id", "spadl_type", "spadl_result", "time_seconds")
+    held = [*own, *(c for c in keep if c not in own)]
+    a = (actions.select(*held, "p_scores", "p_concedes") if probs is None
+         else actions.select(*held).join(probs, "action_id"))
 
     def prev(c):
         """Previous action of the match; the first action is its own previous."""
@@ -221,7 +271,7 @@ def formula(actions: DataFrame, probs: DataFrame) -> DataFrame:
     prev_concedes = F.when(same_team, prev("p_concedes")).otherwise(prev("p_scores"))
     prev_concedes = F.when(reset, 0.0).otherwise(prev_concedes)
     out = a.select(
-        "action_id",
+        "action_id", *keep,
         (F.col("p_scores") - prev_scores).alias("vaep_offensive"),
         (-(F.col("p_concedes") - prev_concedes)).alias("vaep_defensive"),
     )
@@ -229,4 +279,4 @@ def formula(actions: DataFrame, probs: DataFrame) -> DataFrame:
 
 
 def vaep_values(actions: DataFrame) -> DataFrame:
-    return formula(actions, probabilities(actions))
+    return formula(with_probabilities(scored(actions)))
